@@ -57,9 +57,12 @@ def get_tokenizer(name: str | None) -> Callable[[Column], Column]:
 # ---------------------------------------------------------------- helpers
 
 
-def send_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """``df`` marked for broadcast when it holds at most ``limit`` rows, and whether it does."""
-    small = df.limit(limit + 1).count() <= limit
+def send_small(df: DataFrame, limit: int = BROADCAST_ROWS, at_most: int | None = None) -> tuple[DataFrame, bool]:
+    """``df`` marked for broadcast when it holds at most ``limit`` rows, and whether it does.
+
+    ``at_most`` is a bound the caller knows; without it the rows are counted, up to the limit.
+    """
+    small = (df.limit(limit + 1).count() if at_most is None else at_most) <= limit
     return (F.broadcast(df) if small else df), small
 
 
@@ -333,9 +336,12 @@ def rerank_floor(hits: DataFrame, threshold: float | None) -> DataFrame:
     return hits.where(F.coalesce("rerank_score", F.lit(0.0)) >= float(threshold))
 
 
-def backfill_candidates(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Attach source, heading and text; chunks are filtered in place when the candidates are few."""
-    small, _ = send_small(candidates)
+def backfill_candidates(candidates: DataFrame, chunks: DataFrame, at_most: int | None = None) -> DataFrame:
+    """Attach source, heading and text; chunks are filtered in place when the candidates are few.
+
+    ``at_most`` bounds the number of candidates: questions times hits asked per question.
+    """
+    small, _ = send_small(candidates, at_most=at_most)
     return chunks.select("chunk_id", "source", "heading", "content").join(small, "chunk_id")
 
 

@@ -68,7 +68,7 @@ def retrieve_with_diagnostics(
     queries: DataFrame, chunks: DataFrame, embedder: Embedder, options: RetrieveOptions = RetrieveOptions()
 ) -> tuple[DataFrame, DataFrame]:
     """Hits, and one row per question with the switches and the counts of every stage."""
-    total = chunks.count()
+    total, asking = chunks.count(), queries.count()
     top_k = max(1, int(options.top_k))
     widened = options.hybrid or options.rerank
     pool = R.candidate_pool(top_k, options.candidate_pool_size, total, widened)
@@ -79,7 +79,7 @@ def retrieve_with_diagnostics(
         pooled = R.top_ranked(merged, pool, order).withColumnRenamed("rank", "pool_rank")
         asked = queries.select("query_id", "question")
         staged = R.rerank(
-            R.backfill_candidates(pooled, chunks).join(asked, "query_id"), options.scorer, options.min_rerank_score
+            R.backfill_candidates(pooled, chunks, asking * pool).join(asked, "query_id"), options.scorer, options.min_rerank_score
         )
         order = [F.desc(F.round("rerank_score", R.RANK_DIGITS)), F.asc("pool_rank")]
         hits = R.finalise(staged, top_k, "rerank_score", "rerank", order)
@@ -87,7 +87,7 @@ def retrieve_with_diagnostics(
         staged = None
         cut = R.top_ranked(merged, top_k, order).drop("rank")
         hits = R.finalise(
-            R.backfill_candidates(cut, chunks).withColumn("rerank_score", F.lit(None).cast("double")),
+            R.backfill_candidates(cut, chunks, asking * top_k).withColumn("rerank_score", F.lit(None).cast("double")),
             top_k,
             score,
             score_type,
@@ -170,7 +170,7 @@ def ablation(
     merged = _legs(queries, chunks, embedder, pool, replace(options, hybrid=True))
     # At most two pools per question, so a question is a bounded group.
     fused = R.top_ranked(merged, 2 * pool, R.fused_order()).withColumnRenamed("rank", "fused_rank")
-    texts = R.backfill_candidates(fused, chunks).join(queries.select("query_id", "question"), "query_id")
+    texts = R.backfill_candidates(fused, chunks, queries.count() * 2 * pool).join(queries.select("query_id", "question"), "query_id")
     scored = texts.withColumn("_pair", options.scorer(F.col("question"), F.col("content")).cast("double"))
     floor = F.lit(True) if options.min_rerank_score is None else F.col("_pair") >= options.min_rerank_score
     none = F.lit(None).cast("double")

@@ -98,7 +98,7 @@ def delete_where(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Stored chunks, and fresh chunks of the English documents with their text in upper case."""
+    """Stored chunks, and fresh chunks of the English documents with a mark before their text."""
     table = spread(load(spark, d, "documents"))
     stored = table.select(
         F.concat(F.lit("c"), "doc_id").alias("chunk_id"), F.col("source"), F.col("text").alias("content")
@@ -106,7 +106,7 @@ def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     fresh = table.where("lang = 'en'").select(
         F.concat(F.lit("c"), "doc_id").alias("chunk_id"),
         F.concat(F.col("source"), F.lit("-en")).alias("source"),
-        F.upper("text").alias("content"),
+        F.concat(F.lit("new "), F.col("text")).alias("content"),
     )
     return stored, fresh
 
@@ -250,7 +250,7 @@ ORACLES = {
     "scan_chunks": "SELECT doc_id, lang, n_chars FROM documents WHERE source = 'src2'",
     "delete_where": "SELECT doc_id, source FROM documents WHERE source <> 'src3'",
     "upsert_chunks": """SELECT 'c' || doc_id AS chunk_id, source || CASE WHEN lang = 'en' THEN '-en' ELSE '' END AS source,
-      length(CASE WHEN lang = 'en' THEN upper(text) ELSE text END) AS chars FROM documents""",
+      length(text) + CASE WHEN lang = 'en' THEN 4 ELSE 0 END AS chars FROM documents""",
     "replace_documents": f"""WITH RECURSIVE {CHUNKS_SQL}{chunks_sql("small", 250, 0)},
       l AS (SELECT 'doc' || doc_id || '.md' AS source FROM labels),
       m AS (SELECT source FROM chunks WHERE source NOT IN (FROM l) UNION ALL SELECT source FROM small WHERE source IN (FROM l))

@@ -158,7 +158,8 @@ def render_contexts(spark: SparkSession, d: str) -> DataFrame:
 
 def _bm25_hits(spark: SparkSession, d: str) -> DataFrame:
     source = corpus(spark, d)
-    return R.backfill_candidates(R.bm25_search(questions(spark, d), R.bm25_index(source), 5), source)
+    asked = questions(spark, d)
+    return R.backfill_candidates(R.bm25_search(asked, R.bm25_index(source), 5), source, asked.count() * 5)
 
 
 def build_prompts(spark: SparkSession, d: str) -> DataFrame:

@@ -95,7 +95,7 @@ def update_gaps(spark: SparkSession, d: str) -> DataFrame:
         F.col("created_at").alias("ts"),
         F.col("event_type").alias("stage"),
     )
-    return M.update_gaps(updates).select("trace_id", "stage", F.round("seconds", 4).alias("seconds"))
+    return M.update_gaps(updates).select("trace_id", "stage", F.round(F.col("seconds") * 1e6).cast("long").alias("micros"))
 
 
 def agent_usage(spark: SparkSession, d: str) -> DataFrame:
@@ -196,7 +196,7 @@ ORACLES = {
       FROM interactions WHERE k >= 20 GROUP BY ALL""",
     "update_gaps": f"""WITH {EVENTS_SQL}, u AS (SELECT session_id || '-' || strftime(created_at, '%Y%m%d') AS trace_id, event_type AS stage, created_at AS ts FROM interactions),
       g AS (SELECT trace_id, stage, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY trace_id ORDER BY ts)) / 1e6 AS s FROM u)
-      SELECT trace_id, stage, round(sum(s), 4) AS seconds FROM g WHERE s >= 0 GROUP BY ALL""",
+      SELECT trace_id, stage, CAST(round(sum(s) * 1e6) AS BIGINT) AS micros FROM g WHERE s >= 0 GROUP BY ALL""",
     "agent_usage": f"""WITH {EVENTS_SQL} SELECT session_id AS trace_id, count(*) AS model_calls,
         CAST(sum(CASE WHEN k >= 3 THEN coalesce(prompt_tokens, 0) ELSE 0 END) AS BIGINT) AS prompt_tokens,
         CAST(sum(CASE WHEN k >= 3 THEN coalesce(completion_tokens, 0) ELSE 0 END) AS BIGINT) AS completion_tokens, bool_and(k >= 3) AS exact

@@ -46,7 +46,8 @@ def bm25_hits_mrr(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: best five documents per question, judged by the expected keyword."""
     chunks = corpus(spark, d)
     asked = judged_questions(spark, d)
-    hits = R.backfill_candidates(R.bm25_search(asked, R.bm25_index(chunks), OPTIONS.top_k), chunks)
+    found = R.bm25_search(asked, R.bm25_index(chunks), OPTIONS.top_k)
+    hits = R.backfill_candidates(found, chunks, asked.count() * OPTIONS.top_k)
     return V.score_retrieval(hits, asked).select(
         "query_id",
         "returned",
@@ -124,7 +125,7 @@ def merge_legs(spark: SparkSession, d: str) -> DataFrame:
 def backfill_candidates(spark: SparkSession, d: str) -> DataFrame:
     chunks = corpus(spark, d)
     bm25 = R.bm25_search(questions(spark, d), R.bm25_index(chunks), 20)
-    return R.backfill_candidates(bm25, chunks).select(
+    return R.backfill_candidates(bm25, chunks, questions(spark, d).count() * 20).select(
         "query_id", "chunk_id", "source", "heading", F.length("content").cast("long").alias("chars")
     )
 
@@ -133,7 +134,7 @@ def lexical_rerank(spark: SparkSession, d: str) -> DataFrame:
     chunks = corpus(spark, d)
     asked = questions(spark, d)
     pool = R.bm25_search(asked, R.bm25_index(chunks), 20).withColumnRenamed("rank", "pool_rank")
-    scored = R.rerank(R.backfill_candidates(pool, chunks).join(asked, "query_id"), threshold=0.2)
+    scored = R.rerank(R.backfill_candidates(pool, chunks, asked.count() * 20).join(asked, "query_id"), threshold=0.2)
     ranked = R.top_ranked(scored, 5, [F.desc(F.round("rerank_score", 9)), F.asc("pool_rank")])
     return ranked.select(
         "query_id",
@@ -143,6 +144,37 @@ def lexical_rerank(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def tokenize_bigram(spark: SparkSession, d: str) -> DataFrame:
+    tokens = R.get_tokenizer("jieba")(F.col("text"))  # falls back to bigrams
+    return load(spark, d, "documents").select(
+        "doc_id", F.size(tokens).cast("long").alias("tokens"), F.md5(F.array_join(tokens, " ").cast("binary")).alias("digest")
+    )
+
+
+def embed_column(spark: SparkSession, d: str) -> DataFrame:
+    """A user model behind the column hook: characters, words and letters e of the prefixed text."""
+
+    def load_model():
+        return lambda texts: [[len(t), t.count(" "), t.count("e")] for t in texts]
+
+    rows = spread(load(spark, d, "documents").select("doc_id", "text"))
+    return E.embed_column(rows, "text", load_model, prefix="passage: ").select(
+        "doc_id", *[F.get("vector", i).cast("long").alias(n) for i, n in enumerate(["chars", "blanks", "es"])]
+    )
+
+
+def embed_batches(spark: SparkSession, d: str) -> DataFrame:
+    """A user service behind the batch hook, answering in reverse order."""
+
+    def call(texts: list[str]) -> list[tuple[int, list[float]]]:
+        return [(i, [float(len(t))]) for i, t in reversed(list(enumerate(texts)))]
+
+    rows = spread(load(spark, d, "documents").select("doc_id", "text"))
+    return E.embed_batches(rows, "doc_id", "text", call, batch=10).select(
+        "doc_id", F.get("vector", 0).cast("long").alias("chars")
+    )
+
+
 def _flat_hits(hits: DataFrame) -> DataFrame:
     return hits.select(
         "query_id",
@@ -285,6 +317,9 @@ _HIT_COLUMNS = """query_id, rank, chunk_id, source || ' › ' || heading AS cita
   round(similarity, 4) AS similarity, round(bm25_score, 4) AS bm25_score, round(rrf_score, 6) AS rrf_score"""
 
 QUERIES = {
+    "tokenize_bigram": tokenize_bigram,
+    "embed_column": embed_column,
+    "embed_batches": embed_batches,
     "bm25_terms": bm25_terms,
     "bm25_postings": bm25_postings,
     "bm25_topk": bm25_topk,
@@ -307,6 +342,11 @@ QUERIES = {
 }
 
 ORACLES = {
+    "tokenize_bigram": f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS t FROM documents)
+      SELECT doc_id, len(t) AS tokens, md5(array_to_string(t, ' ')) AS digest FROM t""",
+    "embed_column": """SELECT doc_id, length(text) + 9 AS chars, length(text) - length(replace(text, ' ', '')) + 1 AS blanks,
+      length(text) - length(replace(text, 'e', '')) + 1 AS es FROM documents""",
+    "embed_batches": "SELECT doc_id, length(text) AS chars FROM documents",
     "bm25_terms": f"WITH {BM25_SQL} SELECT term, df, round(idf, 4) AS idf FROM idf",
     "bm25_postings": f"WITH {BM25_SQL} SELECT term, chunk_id, tf, dl FROM post",
     "bm25_topk": f"WITH {BM25_SQL} SELECT query_id, bm25_rank AS rank, chunk_id, round(bm25_score, 4) AS bm25_score FROM bleg",
