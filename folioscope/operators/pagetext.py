@@ -5,10 +5,12 @@ Input: ``page_lines(doc_id, page_no, line_no, line)``, one row per text line.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import WHITESPACE, WHITESPACE_CLASS, nonblank, strip
+from folioscope.functions.text import WHITESPACE, WHITESPACE_CLASS, col_of, nonblank, strip
 
 # The patterns and words lines are recognised by.
 LEADER = "\\.{4,}"
@@ -55,33 +57,39 @@ def fix_text(text: Column | str) -> Column:
     return strip(F.regexp_replace(value, "[ \\t]+", " "))
 
 
-def is_code(line: Column | str) -> Column:
+# One expression for all signs of code, so that a line is scanned once.
+CODE_LINE = "|".join(
+    [PROMPT, BARE_PROMPT, "^(?:" + "|".join(re.escape(word) for word in COMMAND_WORDS) + ")", OUTPUT_LIKE]
+)
+
+
+def _text_of(line: Column | str, stripped: bool) -> Column:
+    """The trimmed line; callers that hold a trimmed column say so, as trimming is repeated per use."""
+    return col_of(line) if stripped else strip(line)
+
+
+def is_code(line: Column | str, stripped: bool = False) -> Column:
     """A shell prompt, a command word or something that looks like command output."""
-    text = strip(line)
-    command = F.lit(False)
-    for word in COMMAND_WORDS:
-        command = command | text.startswith(word)
-    return (text != "") & (text.rlike(PROMPT) | text.rlike(BARE_PROMPT) | command | text.rlike(OUTPUT_LIKE))
+    return _text_of(line, stripped).rlike(CODE_LINE)
 
 
-def is_prose(line: Column | str) -> Column:
+def is_prose(line: Column | str, stripped: bool = False) -> Column:
     """At least 12 characters and 3 words, over 75% letters and blanks, a capital first."""
-    text = strip(line)
+    text = _text_of(line, stripped)
     words = F.size(F.regexp_extract_all(text, F.lit(f"[^{WHITESPACE_CLASS[1:]}+"), F.lit(0)))
-    letters = F.length(text) - F.length(F.regexp_replace(text, "[\\p{L} ]", ""))
+    letters = F.length(text) - F.length(F.regexp_replace(text, "[\\p{L} ]+", ""))
     return (
         (F.length(text) >= 12)
-        & ~text.rlike(PROMPT)
-        & ~text.rlike(OUTPUT_LIKE)
+        & text.rlike("^\\p{Lu}")
+        & ~text.rlike(f"{PROMPT}|{OUTPUT_LIKE}")
         & (words >= 3)
         & (letters / F.length(text) > 0.75)
-        & text.rlike("^\\p{Lu}")
     )
 
 
-def is_label(line: Column | str) -> Column:
+def is_label(line: Column | str, stripped: bool = False) -> Column:
     """A short label of at most five words, letters and light punctuation, not all capitals."""
-    text = strip(line)
+    text = _text_of(line, stripped)
     shouting = text.rlike("[A-Z]") & ~text.rlike("[a-z]")
     return text.rlike("^[A-Za-z][A-Za-z ,:'()\\-]*\\z") & ~shouting & (F.size(F.split(text, " +")) <= 5)
 
@@ -206,7 +214,7 @@ def clean_lines(page_lines: DataFrame, ratio: float = 0.5) -> DataFrame:
         .join(headers, "doc_id", "left")
         .where(F.col("header").isNull() | ~F.startswith("_strip", "header"))
         .select(
-            "doc_id", "page_no", "line_no", F.when(is_code("line"), right_trimmed).otherwise(glued).alias("line")
+            "doc_id", "page_no", "line_no", F.when(is_code("_strip", True), right_trimmed).otherwise(glued).alias("line")
         )
     )
 
@@ -235,14 +243,14 @@ def markdown_blocks(page_lines: DataFrame, ratio: float = 0.5) -> DataFrame:
     heading = F.coalesce(
         (F.col("_title") != "") & F.startswith(rest, F.lower(F.left("_title", F.lit(TITLE_PREFIX)))), F.lit(False)
     )
-    step = F.col("_text").rlike(STEP) & is_prose(F.regexp_extract("_text", STEP, 2))
+    step = F.col("_text").rlike(STEP) & is_prose(F.regexp_extract("_text", STEP, 2), True)
     fixed = (
         F.when(heading, "heading")
         .when(F.col("_text").rlike(CAPTION), "caption")
         .when(F.col("_text").rlike(BULLET), "bullet")
         .when(step, "step")
-        .when(is_code("line"), "code")
-        .when(is_prose("line") | is_label("line"), "prose")
+        .when(is_code("_text", True), "code")
+        .when(is_prose("_text", True) | is_label("_text", True), "prose")
     )
     order = Window.partitionBy("doc_id").orderBy("page_no", "line_no")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from folioscope.operators import pagetext as P
 from folioscope.registry.chunk_queries import WS, WS_CLASS
 from folioscope.registry.derive import load, spread
+from folioscope.session import materialise
 
 BOTTOM = 1_000_000_000
 LEADERS = " ........ "
@@ -159,19 +160,19 @@ def classify_line(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clean_lines(spark: SparkSession, d: str) -> DataFrame:
-    rows = P.clean_lines(page_lines(spark, d))
+    rows = P.clean_lines(materialise(page_lines(spark, d)))  # read several times
     return rows.select(
         "doc_id", F.col("page_no").cast("long").alias("page_no"), F.col("line_no").cast("long").alias("line_no"), F.md5(F.col("line").cast("binary")).alias("digest")
     )
 
 
 def markdown_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return P.markdown_blocks(page_lines(spark, d))
+    return P.markdown_blocks(materialise(page_lines(spark, d)))
 
 
 def assemble_markdown(spark: SparkSession, d: str) -> DataFrame:
     titles = load(spark, d, "documents").select("doc_id", F.concat(F.lit("Manual "), "doc_id").alias("title"))
-    return P.assemble_markdown(page_lines(spark, d), titles)
+    return P.assemble_markdown(materialise(page_lines(spark, d)), titles)
 
 
 QUERIES = {
