@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from folioscope.session import ensure_checkpoint_dir
 
@@ -41,9 +42,7 @@ def bucket(divisor: int) -> object:
 def in_arrow(df: DataFrame, function: object, schema: T.StructType | str) -> DataFrame:
     """``mapInArrow`` whose batches are cast to ``schema``; ``function`` maps one batch to tables."""
     target = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(target, timezone="UTC")
+    arrow = to_arrow_schema(target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
