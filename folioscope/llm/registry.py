@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import jaccard, toxicity
+from folioscope.llm import decontaminate, jaccard, toxicity
 from folioscope.llm.shared import bucket, documents_of
 
 
@@ -19,12 +19,18 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark item that its tiles cover most; contaminated from 0.6 on."""
+    return decontaminate.judge(documents_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of near duplicates: five words, similarity 0.75 or more."""
     return jaccard.near_duplicates(documents_of(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op3_jaccard_join": op3_jaccard_join,
     "op8_toxicity": op8_toxicity,
 }
