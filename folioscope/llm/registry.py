@@ -7,10 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, jaccard, toxicity
+from folioscope.llm import decontaminate, jaccard, secrets, toxicity
 from folioscope.llm.shared import bucket, documents_of
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finding that the forest keeps: its document, word number, digest and probability."""
+    docs = documents_of(spark, sf_dir)
+    forest = secrets.train(secrets.labelled_findings(docs))
+    found = secrets.scan(docs, forest).select("doc_id", F.explode("secrets").alias("x"))
+    return found.select(
+        "doc_id",
+        F.col("x.place").cast("long").alias("word"),
+        F.length("x.secret").cast("long").alias("n_chars"),
+        F.sha2("x.secret", 256).alias("secret_sha256"),
+        "x.probability",
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity; learnt from labelled rows outside the fold that is held out."""
     docs = documents_of(spark, sf_dir)
@@ -32,6 +46,7 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_jaccard_join": op3_jaccard_join,
+    "op6_secret_scan": op6_secret_scan,
     "op8_toxicity": op8_toxicity,
 }
 
