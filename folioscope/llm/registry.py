@@ -29,7 +29,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity; learnt from labelled rows outside the fold that is held out."""
     docs = documents_of(spark, sf_dir)
     held = bucket(5) == 0
-    model = toxicity.train(docs.where(~held), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held))
     return toxicity.score_toxicity(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
 
 

@@ -171,7 +171,7 @@ class Model:
         for size in np.unique(length):
             members = np.flatnonzero(length == size)
             at, _ = triples(int(size))
-            for some in np.array_split(members, max(1, len(members) * len(at) // 2_000_000)):
+            for some in np.array_split(members, 1 + len(members) * max(len(at), 4 * (int(size) + 1) ** 2) // 1_000_000):
                 classes = CLASS[chars[some, :size]]
                 code, weight = features(classes)
                 raw = self.weights[code] @ weight
@@ -314,15 +314,11 @@ def _sigmoid(value: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[floa
     return float(a[0]), float(a[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> Model:
-    """Fit on at most ``max_rows`` labelled documents, drawn by a hash of the id. Null labels are left out."""
-    rows = (
-        docs.select("doc_id", "text")
-        .join(labels.where(F.col("toxic").isNotNull()).select("doc_id", "toxic"), "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_rows)
-        .toArrow()
-    )
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 5000) -> Model:
+    """Fit on the documents of at most ``max_rows`` labels, drawn by a hash of the id. Null labels are left out."""
+    drawn = labels.where(F.col("toxic").isNotNull()).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    # The drawn ids are at most ``max_rows`` rows, so they can be sent to the documents.
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic").toArrow()
     return fit([t or "" for t in rows["text"].to_pylist()], [int(bool(x)) for x in rows["toxic"].to_pylist()])
 
 
