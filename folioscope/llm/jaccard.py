@@ -29,15 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import connected
-from folioscope.llm.shared import WORDS, Texts, in_arrow, mix, ragged, text_blocks, window_hashes, words_of, written
+from folioscope.llm.shared import WORDS, Texts, in_arrow, likely_in, mix, text_blocks, window_hashes, words_of, written
 
-GROUPS = 32
+GROUPS = 128
 SKETCH = 1 << 16
 LEAF = 16
+SMALL = 32
 PART = 8192
 U = np.uint64
 #: Upper bounds that a byte can stand for: exact up to 100, then rising by 6 % a step.
-BOUND = np.concatenate([np.arange(101), np.ceil(100 * 1.06 ** np.arange(1, 156))])
+BOUND = np.concatenate([np.arange(101), np.ceil(100 * 1.06 ** np.arange(1, 156))]).astype(np.int64)
 
 
 def shingle_sets(texts: Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -257,7 +258,7 @@ def candidates(rows: DataFrame, percent: int, every: bool) -> DataFrame:
             table[c].to_numpy() for c in ("shingle", "lo", "hi", "part", "entity", "n", "root")
         )
         n = n.astype(np.int64)
-        table_points = np.frombuffer(b"".join(table["point"].to_pylist()), np.uint8).reshape(-1, GROUPS)
+        points = np.frombuffer(b"".join(table["point"].to_pylist()), np.uint8).reshape(-1, GROUPS)
         new = np.append(True, (shingle[1:] != shingle[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))
         starts = np.flatnonzero(new)
         sizes = np.diff(np.append(starts, len(n)))
@@ -266,26 +267,41 @@ def candidates(rows: DataFrame, percent: int, every: bool) -> DataFrame:
         def may(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             fit = (root[i] != root[j]) & ((lo[i] == hi[i]) | (part[i] != part[j]))
             fit &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-            low = np.zeros(len(i))
-            for k in range(GROUPS):
-                low += BOUND[np.minimum(table_points[i, k], table_points[j, k])]
-            return fit & (low >= needed(n[i], n[j], percent))
+            left = np.flatnonzero(fit)
+            for some in np.array_split(left, len(left) // 50_000 + 1):
+                low = np.minimum(points[i[some]], points[j[some]])
+                both = BOUND[low].sum(1) if len(low) and low.max() > 100 else low.sum(1, dtype=np.int64)
+                fit[some] = both >= needed(n[i[some]], n[j[some]], percent)
+            return fit
 
         at = np.arange(len(n))
         fit = may(begin, at)
         left, right = [begin[fit]], [at[fit]]
-        # Others of larger buckets with two classes are searched in a tree.
+        # Others in buckets of two classes: all earlier rows of a small bucket, a tree in a larger one.
         mixed = np.maximum.reduceat(root, starts) != np.minimum.reduceat(root, starts)
-        for start, size in zip(starts[mixed & (sizes > 2)], sizes[mixed & (sizes > 2)], strict=True):
-            some = slice(start, start + size)
-            ask = np.arange(start + 1, start + size)
-            ask = ask if every else ask[~fit[ask] & (root[ask] != root[start])]
+        asks = (at > begin) & np.repeat(mixed, sizes)
+        if not every:
+            asks &= ~fit & (root != root[begin])
+        asked = np.flatnonzero(asks & (np.repeat(sizes, sizes) <= SMALL))
+        for some in np.array_split(asked, len(asked) // 50_000 + 1):
+            count = some - begin[some] - 1  # the bucket's first row has been compared
+            i = np.repeat(some, count)
+            j = begin[i] + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+            good = may(i, j)
+            i, j = i[good], j[good]
+            if not every:
+                i, one = np.unique(i, return_index=True)
+                j = j[one]
+            left.append(j)
+            right.append(i)
+        for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
+            ask = np.flatnonzero(asks[start : start + size]) + start
             if not len(ask):
                 continue
-            points = BOUND[table_points[some]]
-            tree = CountTree(points, n[some])
+            values = BOUND[points[start : start + size]]
+            tree = CountTree(values, n[start : start + size])
             for i in ask:
-                found = tree.search(points[i - start], n[i], percent) + start
+                found = tree.search(values[i - start], n[i], percent) + start
                 found = found[(found < i) & (root[found] != root[i]) & ((lo[i] == hi[i]) | (part[found] != part[i]))]
                 found = found if every else found[:1]
                 left.append(found)
@@ -354,7 +370,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     keys = written(shared_keys(prefixes_of(docs, levels, width, percent)), "keys")
     first = classes.where("entity is not null").groupBy("entity").agg(F.min("doc_id").alias("doc_id"))
     wanted = first.join(keys.select("entity").distinct(), "entity")
-    members = docs.select("doc_id", "text").join(wanted, "doc_id")
+    wanted = written(wanted.select("doc_id", "entity"), "wanted")
+    members = likely_in(docs.select("doc_id", "text"), wanted, "doc_id").join(wanted, "doc_id")
     entities = written(points_of(members, width), "entities")
     points = entities.select("entity", "point")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from folioscope.session import ensure_checkpoint_dir
 
 BLOCK_BYTES = 4 << 20
+U = np.uint64
 
 
 def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,38 @@ def in_arrow(df: DataFrame, function: object, schema: T.StructType | str) -> Dat
     return df.mapInArrow(run, target)
 
 
+def likely_in(df: DataFrame, keys: DataFrame, column: str, bits: int = 24) -> DataFrame:
+    """The rows of ``df`` whose ``column`` (a long) may be among ``keys``' first column, before an exact join.
+
+    The keys are folded into a bitmap of ``2**bits`` bits, a fixed size whatever their number, which is
+    sent to the tasks: it saves shuffling rows that find no partner, and a full bitmap only saves less.
+    """
+
+    def cells(values: np.ndarray) -> np.ndarray:
+        return mix(values.view(U)) >> U(64 - bits)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, bool)
+        for batch in batches:
+            seen[cells(batch.column(0).drop_null().to_numpy()).astype(np.int64)] = True
+        words = np.packbits(seen, bitorder="little").view(np.int64)
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_pydict({"word": pa.array(at, pa.int64()), "bits": pa.array(words[at])})
+
+    folded = keys.select(F.col(keys.columns[0]).cast("long")).mapInArrow(fold, "word long, bits long")
+    rows = folded.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.int64)
+    words[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    at = df.columns.index(column)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.Table]:
+        cell = cells(batch.column(at).fill_null(0).to_numpy())
+        hit = words.view(U)[(cell >> U(6)).astype(np.int64)] >> (cell & U(63)) & U(1) != 0
+        yield pa.Table.from_batches([batch.filter(pa.array(hit))])
+
+    return in_arrow(df, run, df.schema)
+
+
 @dataclass
 class Texts:
     """Some consecutive rows: their texts as one array of bytes, cut by ``offsets``."""
@@ -90,7 +123,6 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-U = np.uint64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -200,7 +232,3 @@ def ragged(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.List
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
-
-def batches_of(blocks: Iterable[dict]) -> Iterator[pa.Table]:
-    for block in blocks:
-        yield pa.table(block)
