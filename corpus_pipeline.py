@@ -6,10 +6,11 @@ back for the next one. All stages but the last return the columns of ``documents
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import toxicity
+from folioscope.llm import decontaminate, jaccard, packing, secret_scan, toxicity
 from folioscope.llm.shared import documents_of, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -21,7 +22,40 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.kept(docs, model).select(*COLUMNS)
 
 
-STAGES = [("toxicity", drop_toxic)]
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest id stays; a repeated id stays once.
+
+    Rows without an id are in no class and stay.
+    """
+    classes = jaccard.near_duplicates(docs.select("doc_id", "text"))
+    first = classes.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id").dropDuplicates(["doc_id"])
+    return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, in order or reordered, go."""
+    return decontaminate.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the texts; every document stays, with ``n_chars`` of its new text."""
+    forest = secret_scan.train(secret_scan.labelled_findings(docs))
+    return secret_scan.redact(docs.select(*COLUMNS), forest).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, packed into sequences of at most 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("jaccard_join", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secret_scan", redact_secrets),
+    ("packing", pack_documents),
+]
 
 #: Trained models and tokenizers take part: SQL cannot state the rows.
 ORACLE_SQL = None

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, jaccard, secrets, toxicity
+from folioscope.llm import decontaminate, jaccard, packing, secret_scan, toxicity
 from folioscope.llm.shared import bucket, documents_of
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every finding that the forest keeps: its document, word number, digest and probability."""
     docs = documents_of(spark, sf_dir)
-    forest = secrets.train(secrets.labelled_findings(docs))
-    found = secrets.scan(docs, forest).select("doc_id", F.explode("secrets").alias("x"))
+    forest = secret_scan.train(secret_scan.labelled_findings(docs))
+    found = secret_scan.scan(docs, forest).select("doc_id", F.explode("secrets").alias("x"))
     return found.select(
         "doc_id",
         F.col("x.place").cast("long").alias("word"),
@@ -43,11 +44,17 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents_of(spark, sf_dir))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence of at most 2048 tokens."""
+    return packing.pack(documents_of(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_jaccard_join": op3_jaccard_join,
     "op6_secret_scan": op6_secret_scan,
     "op8_toxicity": op8_toxicity,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {}
