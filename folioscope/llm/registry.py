@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, jaccard, packing, secret_scan, toxicity
+from folioscope.llm import decontaminate, jaccard, merkle, packing, secret_scan, token_counts, toxicity
 from folioscope.llm.shared import bucket, documents_of
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, and its likeness to the edited text's and the next document's."""
+    return merkle.against_next(documents_of(spark, sf_dir))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every finding that the forest keeps: its document, word number, digest and probability."""
     docs = documents_of(spark, sf_dir)
@@ -44,6 +49,11 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents_of(spark, sf_dir))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of tokens; over the limit above 1024."""
+    return token_counts.with_limit(token_counts.count_tokens(documents_of(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence of at most 2048 tokens."""
     return packing.pack(documents_of(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
@@ -52,8 +62,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_jaccard_join": op3_jaccard_join,
+    "op5_fingerprints": op5_fingerprints,
     "op6_secret_scan": op6_secret_scan,
     "op8_toxicity": op8_toxicity,
+    "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
 }
 
