@@ -8,10 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, jaccard, merkle, packing, secret_scan, token_counts, toxicity
+from folioscope.llm import decontaminate, jaccard, merkle, packing, quality, secret_scan, token_counts, toxicity
 from folioscope.llm.shared import bucket, documents_of
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality; learnt from labelled rows outside the fold that is held out."""
+    docs = documents_of(spark, sf_dir)
+    held = bucket(3) == 1
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held))
+    return quality.score_quality(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, and its likeness to the edited text's and the next document's."""
     return merkle.against_next(documents_of(spark, sf_dir))
@@ -62,6 +70,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_quality": op4_quality,
     "op5_fingerprints": op5_fingerprints,
     "op6_secret_scan": op6_secret_scan,
     "op8_toxicity": op8_toxicity,
