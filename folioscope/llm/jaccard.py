@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import connected
-from folioscope.llm.shared import WORDS, Texts, in_arrow, likely_in, mix, text_blocks, window_hashes, words_of, written
+from folioscope.llm.shared import WORDS, Texts, in_arrow, likely_split, mix, text_blocks, window_hashes, words_of, written
 
 GROUPS = 128
 SKETCH = 1 << 16
@@ -371,7 +371,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     first = classes.where("entity is not null").groupBy("entity").agg(F.min("doc_id").alias("doc_id"))
     wanted = first.join(keys.select("entity").distinct(), "entity")
     wanted = written(wanted.select("doc_id", "entity"), "wanted")
-    members = likely_in(docs.select("doc_id", "text"), wanted, "doc_id").join(wanted, "doc_id")
+    members = likely_split(docs.select("doc_id", "text"), wanted.select("doc_id"), "doc_id")[0].join(wanted, "doc_id")
     entities = written(points_of(members, width), "entities")
     points = entities.select("entity", "point")
 

@@ -24,10 +24,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
-from folioscope.llm.shared import BYTES, SECOND, WORDS, Texts, in_arrow, mix, text_blocks, words_of, written
+from folioscope.llm.shared import BYTES, SECOND, WORDS, Texts, in_arrow, mix, streamed, text_blocks, words_of, written
 
 U = np.uint64
 LEAF_WORDS = 8
@@ -269,7 +267,7 @@ def against_next(docs: DataFrame) -> DataFrame:
             yield edge("last", held)
 
     ranged = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows = written(_streamed(ranged, run, schema), "fingerprints")
+    rows = written(streamed(ranged, run, schema), "fingerprints")
     firsts = rows.where("edge = 'first'").select("range", "text")
     lasts = rows.where("edge = 'last'").select("range", "doc_id", "text")
     # Numbers of the ranges only: a row for each range.
@@ -284,16 +282,3 @@ def against_next(docs: DataFrame) -> DataFrame:
     ends = in_arrow(pairs.select("doc_id", "text", "next_text"), meet, COLUMNS)
     return rows.where("edge is null").select(*ends.columns).unionByName(ends)
 
-
-def _streamed(df: DataFrame, run: object, schema: str) -> DataFrame:
-    """``mapInArrow`` for a function over a task's batches that yields columns, missing ones null."""
-    target = StructType.fromDDL(schema)
-    arrow = to_arrow_schema(target)
-
-    def all_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in run(batches):
-            n = len(next(iter(piece.values())))
-            full = {f.name: piece[f.name] if f.name in piece else pa.nulls(n, f.type) for f in arrow}
-            yield from pa.table(full).cast(arrow).to_batches()
-
-    return df.mapInArrow(all_columns, target)

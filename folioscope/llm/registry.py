@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, jaccard, merkle, packing, quality, secret_scan, token_counts, toxicity
+from folioscope.llm import decontaminate, jaccard, merkle, packing, quality, secret_scan, suffix_dedup, token_counts, toxicity
 from folioscope.llm.shared import bucket, documents_of
 
 
@@ -52,6 +52,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(documents_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that strings of 400 bytes cover which start elsewhere too."""
+    return suffix_dedup.remove_repeats(documents_of(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of near duplicates: five words, similarity 0.75 or more."""
     return jaccard.near_duplicates(documents_of(spark, sf_dir))
@@ -69,6 +74,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_quality": op4_quality,
     "op5_fingerprints": op5_fingerprints,

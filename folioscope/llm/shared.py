@@ -55,11 +55,26 @@ def in_arrow(df: DataFrame, function: object, schema: T.StructType | str) -> Dat
     return df.mapInArrow(run, target)
 
 
-def likely_in(df: DataFrame, keys: DataFrame, column: str, bits: int = 24) -> DataFrame:
-    """The rows of ``df`` whose ``column`` (a long) may be among ``keys``' first column, before an exact join.
+def streamed(df: DataFrame, run: object, schema: str) -> DataFrame:
+    """``mapInArrow`` for a function over a task's batches that yields columns, missing ones null."""
+    target = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(target)
+
+    def all_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in run(batches):
+            n = len(next(iter(piece.values())))
+            full = {f.name: piece[f.name] if f.name in piece else pa.nulls(n, f.type) for f in arrow}
+            yield from pa.table(full).cast(arrow).to_batches()
+
+    return df.mapInArrow(all_columns, target)
+
+
+def likely_split(df: DataFrame, keys: DataFrame, column: str, bits: int = 24) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose ``column`` (a long) may be among ``keys``' first column, and the others.
 
     The keys are folded into a bitmap of ``2**bits`` bits, a fixed size whatever their number, which is
-    sent to the tasks: it saves shuffling rows that find no partner, and a full bitmap only saves less.
+    sent to the tasks before an exact join: it saves shuffling rows that find no partner, and a full
+    bitmap only saves less. Null is never among the keys.
     """
 
     def cells(values: np.ndarray) -> np.ndarray:
@@ -79,12 +94,17 @@ def likely_in(df: DataFrame, keys: DataFrame, column: str, bits: int = 24) -> Da
     words[rows["word"].to_numpy()] = rows["bits"].to_numpy()
     at = df.columns.index(column)
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.Table]:
-        cell = cells(batch.column(at).fill_null(0).to_numpy())
-        hit = words.view(U)[(cell >> U(6)).astype(np.int64)] >> (cell & U(63)) & U(1) != 0
-        yield pa.Table.from_batches([batch.filter(pa.array(hit))])
+    def side(wanted: bool) -> DataFrame:
+        def run(batch: pa.RecordBatch) -> Iterator[pa.Table]:
+            ids = batch.column(at)
+            cell = cells(ids.fill_null(0).to_numpy())
+            hit = words.view(U)[(cell >> U(6)).astype(np.int64)] >> (cell & U(63)) & U(1) != 0
+            hit &= ids.is_valid().to_numpy(zero_copy_only=False)
+            yield pa.Table.from_batches([batch.filter(pa.array(hit == wanted))])
+
+        return in_arrow(df, run, df.schema)
 
-    return in_arrow(df, run, df.schema)
+    return side(True), side(False)
 
 
 @dataclass
