@@ -3,7 +3,8 @@
 A document's shingles are hashed into groups; the group counts are a point. For two documents the
 intersection is at most the sum of the coordinate minima of their points, and for a document and a box
 of points at most the sum of minima with the box's upper corner. Boxes and pairs below the needed
-overlap are left out, survivors are verified on the whole sets.
+overlap are left out; what is left is bounded again by finer counts, about one group for two members, and
+survivors are verified on the whole sets.
 
 So that no tree has to hold all documents, the trees are built over buckets: two sets with Jaccard
 similarity ``t`` share one of the first ``n - ceil(t n) + 1`` shingles of each in any common order. The
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from folioscope.llm.components import connected
 from folioscope.llm.shared import WORDS, Texts, in_arrow, likely_split, mix, text_blocks, window_hashes, words_of, written
 
-GROUPS = 128
+GROUPS = 64
+MOST_GROUPS = 8192
 SKETCH = 1 << 16
 LEAF = 16
 SMALL = 32
@@ -99,21 +101,38 @@ def frequency_levels(docs: DataFrame, width: int) -> np.ndarray:
     return np.log2(1 + out).astype(np.uint8)
 
 
+def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A column of byte strings of the given sizes."""
+    cuts = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, cuts.buffers()[1], pa.py_buffer(values.tobytes())])
+
+
 def classes_of(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n, entity`` of every row; entity is null for an empty set."""
+    """``doc_id, n, entity, point, fine`` of every row; entity is null for an empty set.
+
+    ``point`` has ``GROUPS`` counts, ``fine`` about one for two members; groups halve in order, so points of
+    different fineness compare after adding up neighbours.
+    """
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for texts in text_blocks(batch.column(1)):
             rows, values = shingle_sets(texts, width)
             n = _sizes(rows, texts.rows)
-            entity = _entity(rows, values, texts.rows).view(np.int64)
+            spread = mix(values + U(7))
+            bits = np.clip(np.ceil(np.log2(np.maximum(n, 1) / 2)), np.log2(GROUPS), np.log2(MOST_GROUPS)).astype(np.int64)
+            first = np.append(0, np.cumsum(1 << bits))
+            fine = np.bincount(first[rows] + (spread >> (64 - bits[rows]).astype(U)).astype(np.int64), minlength=first[-1])
+            group = (spread >> U(64 - GROUPS.bit_length() + 1)).astype(np.int64)
+            point = np.bincount(rows * GROUPS + group, minlength=texts.rows * GROUPS)
             yield {
                 "doc_id": batch.column(0).slice(texts.first, texts.rows),
                 "n": n,
-                "entity": pa.array(entity, mask=n == 0),
+                "entity": pa.array(_entity(rows, values, texts.rows).view(np.int64), mask=n == 0),
+                "point": _binary(np.searchsorted(BOUND, point).astype(np.uint8), np.full(texts.rows, GROUPS)),
+                "fine": _binary(np.searchsorted(BOUND, fine).astype(np.uint8), 1 << bits),
             }
 
-    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, entity long")
+    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, entity long, point binary, fine binary")
 
 
 def prefixes_of(docs: DataFrame, levels: np.ndarray, width: int, percent: int) -> DataFrame:
@@ -192,29 +211,6 @@ def shared_keys(prefixes: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "shingle long, entity long, n int, part int")
 
 
-def points_of(members: DataFrame, width: int) -> DataFrame:
-    """``entity, text, point`` of one document of each entity."""
-
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        for texts in text_blocks(batch.column(1)):
-            rows, values = shingle_sets(texts, width)
-            own = _entity(rows, values, texts.rows).view(np.int64)
-            told = batch.column(0).slice(texts.first, texts.rows)
-            good = pa.array(own == told.to_numpy())  # rows repeating an id may have another text
-            group = (mix(values + U(7)) % U(GROUPS)).astype(np.int64)
-            counts = np.bincount(rows * GROUPS + group, minlength=texts.rows * GROUPS)
-            code = np.searchsorted(BOUND, counts).astype(np.uint8)
-            flat = pa.array(np.arange(texts.rows + 1) * GROUPS, pa.int32())
-            point = pa.Array.from_buffers(pa.binary(), texts.rows, [None, flat.buffers()[1], pa.py_buffer(code.tobytes())])
-            yield {
-                "entity": told.filter(good),
-                "text": batch.column(1).slice(texts.first, texts.rows).filter(good),
-                "point": point.filter(good),
-            }
-
-    return in_arrow(members.select("entity", "text"), run, "entity long, text string, point binary")
-
-
 class CountTree:
     """An R-tree over count points: leaves of neighbouring points, boxes kept as upper corners and sizes."""
 
@@ -330,14 +326,37 @@ def candidates(rows: DataFrame, percent: int, every: bool) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, entities: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets link, with the size of their intersection and union."""
+def plausible(pairs: DataFrame, entities: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the bound over their fine counts leaves."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        for texts in text_blocks(batch.column(2), 1 << 20):
+        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        both = np.zeros(len(a), np.int64)
+        for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+            x, y = BOUND[np.frombuffer(x, np.uint8)], BOUND[np.frombuffer(y, np.uint8)]
+            size = min(len(x), len(y))
+            both[i] = np.minimum(x.reshape(size, -1).sum(1), y.reshape(size, -1).sum(1)).sum()
+        good = both >= needed(n, m, percent)
+        yield {"a": a[good], "b": b[good]}
+
+    one = entities.select(F.col("entity").alias("a"), F.col("n").alias("n_a"), F.col("fine").alias("fine_a"))
+    two = entities.select(F.col("entity").alias("b"), F.col("n").alias("n_b"), F.col("fine").alias("fine_b"))
+    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "fine_a", "fine_b")
+    return in_arrow(joined, run, "a long, b long")
+
+
+def verified(pairs: DataFrame, entities: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs whose whole sets link, with the size of their intersection and union.
+
+    Only documents that stand for an entity of a pair are looked up, by their ids.
+    """
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        for texts in text_blocks(batch.column(2), 1 << 19):
             here = slice(texts.first, texts.first + texts.rows)
             one_rows, one = shingle_sets(texts, width)
-            others = list(text_blocks(batch.column(3).slice(texts.first, texts.rows), 1 << 62))[0]
+            others = next(text_blocks(batch.column(3).slice(texts.first, texts.rows), 1 << 62))
             two_rows, two = shingle_sets(others, width)
             rows, values = np.concatenate([one_rows, two_rows]), np.concatenate([one, two])
             order = np.lexsort((values, rows))
@@ -353,8 +372,11 @@ def verified(pairs: DataFrame, entities: DataFrame, width: int, percent: int) ->
                 "either": union[good],
             }
 
-    one = entities.select(F.col("entity").alias("a"), F.col("text").alias("text_a"))
-    two = entities.select(F.col("entity").alias("b"), F.col("text").alias("text_b"))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("entity")).distinct()
+    asked = written(entities.join(asked, "entity").select("doc_id", "entity"), "asked")
+    texts = likely_split(docs.select("doc_id", "text"), asked, "doc_id")[0].join(asked, "doc_id").select("entity", "text")
+    one = texts.select(F.col("entity").alias("a"), F.col("text").alias("text_a"))
+    two = texts.select(F.col("entity").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
     return in_arrow(joined, run, "a long, b long, both long, either long")
 
@@ -368,17 +390,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     classes = written(classes_of(docs, width), "classes")
     levels = frequency_levels(docs, width)
     keys = written(shared_keys(prefixes_of(docs, levels, width, percent)), "keys")
-    first = classes.where("entity is not null").groupBy("entity").agg(F.min("doc_id").alias("doc_id"))
-    wanted = first.join(keys.select("entity").distinct(), "entity")
-    wanted = written(wanted.select("doc_id", "entity"), "wanted")
-    members = likely_split(docs.select("doc_id", "text"), wanted.select("doc_id"), "doc_id")[0].join(wanted, "doc_id")
-    entities = written(points_of(members, width), "entities")
+    told = classes.where("entity is not null and doc_id is not null")
+    vectors = [F.first(c).alias(c) for c in ("n", "point", "fine")]
+    entities = written(told.groupBy("entity").agg(F.min("doc_id").alias("doc_id"), *vectors), "entities")
     points = entities.select("entity", "point")
 
+    def links_of(rows: DataFrame, every: bool) -> DataFrame:
+        pairs = written(plausible(candidates(rows, percent, every), entities, percent), "pairs")
+        return written(verified(pairs, entities, docs, width, percent).select("a", "b"), "links")
+
     alone = keys.select("*", F.col("part").alias("lo"), F.col("part").alias("hi"))
     rows = alone.join(points.withColumn("root", F.col("entity")), "entity")
-    links = written(verified(candidates(rows, percent, every=False), entities, width, percent), "pairs")
-    roots = written(connected(links.select("a", "b")), "roots")
+    links = links_of(rows, every=False)
+    roots = written(connected(links), "roots")
 
     classed = points.join(roots.withColumnRenamed("node", "entity"), "entity", "left")
     rows = keys.join(classed.withColumn("root", F.coalesce("root", "entity")), "entity")
@@ -386,13 +410,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     rows = rows.join(mixed.where("r <> s").select("shingle", "top"), "shingle")
     other = F.explode(F.sequence(F.lit(0), "top")).alias("other")
     rows = rows.select("*", other).select("*", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-    more = written(verified(candidates(rows, percent, every=True), entities, width, percent), "pairs")
+    more = links_of(rows, every=True)
 
-    roots = connected(links.select("a", "b").unionByName(more.select("a", "b")))
-    named = first.join(roots.withColumnRenamed("node", "entity"), "entity", "left")
+    roots = connected(links.unionByName(more))
+    named = entities.select("entity", "doc_id").join(roots.withColumnRenamed("node", "entity"), "entity", "left")
     named = written(named.withColumn("root", F.coalesce("root", "entity")), "named")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     component = named.join(least, "root").select("entity", "component_id")
-    out = classes.where("entity is not null").join(component, "entity", "left")
-    empty = classes.where("entity is null").withColumn("component_id", F.col("doc_id"))
-    return out.unionByName(empty, allowMissingColumns=True).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    narrow = classes.select("doc_id", "n", "entity")
+    out = narrow.where("entity is not null").join(component, "entity", "left")
+    empty = narrow.where("entity is null").withColumn("component_id", F.col("doc_id"))
+    return out.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id")

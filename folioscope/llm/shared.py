@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from folioscope.session import ensure_checkpoint_dir
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 U = np.uint64
 
 
