@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, jaccard, merkle, packing, quality, secret_scan, suffix_dedup, token_counts, toxicity
+from folioscope.llm import debruijn_dedup, decontaminate, jaccard, merkle, packing, quality, secret_scan, suffix_dedup, token_counts, toxicity
 from folioscope.llm.shared import bucket, documents_of
 
 
@@ -39,6 +39,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words that windows of 20 words cover which start earlier too."""
+    return debruijn_dedup.remove_repeats(documents_of(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity; learnt from labelled rows outside the fold that is held out."""
     docs = documents_of(spark, sf_dir)
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_fingerprints": op5_fingerprints,
     "op6_secret_scan": op6_secret_scan,
+    "op7_debruijn_dedup": op7_debruijn_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
