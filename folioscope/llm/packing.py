@@ -176,17 +176,19 @@ def lower_bound(histogram: dict[int, int], capacity: int) -> int:
     return best
 
 
-def complete_bins(histogram: dict[int, int], capacity: int, nodes: int = 16, steps: int = 3000) -> list[Pattern]:
-    """Patterns ``({length: copies}, times)`` that use up the histogram in few sequences."""
+def complete_bins(histogram: dict[int, int], capacity: int, budget: int = 30_000, steps: int = 3000) -> list[Pattern]:
+    """Patterns ``({length: copies}, times)`` that use up the histogram in few sequences.
+
+    ``budget`` bounds the patterns tried by the search, after a first descent that is always finished.
+    """
     goal = lower_bound(histogram, capacity)
     total = sum(x * n for x, n in histogram.items())
     best: list[Pattern] = []
     best_bins = None
     # Each entry: choices made at the first steps of a descent; the rest follows the best fit.
     agenda: list[tuple[int, ...]] = [()]
-    while agenda and nodes > 0:
-        nodes -= 1
-        choices = agenda.pop()
+    while agenda and (budget > 0 or best_bins is None):
+        choices = agenda.pop(0)
         counts = dict(histogram)
         lengths = sorted((x for x in counts if counts[x]), reverse=True)
         out: list[Pattern] = []
@@ -205,6 +207,7 @@ def complete_bins(histogram: dict[int, int], capacity: int, nodes: int = 16, ste
                 counts[y] -= times * k
             lengths = [y for y in lengths if counts[y]]
             out.append((pattern, times))
+            budget -= 1
             bins += times
             waste += times * (capacity - sum(y * k for y, k in pattern.items()))
             # Sequences still needed cannot be fewer than the total plus the waste so far allows.
@@ -216,7 +219,8 @@ def complete_bins(histogram: dict[int, int], capacity: int, nodes: int = 16, ste
             if bins <= goal:
                 break
         if len(choices) < min(len(out), 24):
-            agenda.extend((*choices, *[0] * k, 1) for k in range(min(len(out), 24) - len(choices)))
+            free = range(min(len(out), 24) - len(choices))
+            agenda.extend((*choices, *[0] * k, other) for k in free for other in (1, 2))
     return best
 
 

@@ -90,4 +90,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+WORD = r"[^\x20\x09-\x0D]+"
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLES: dict[str, str] = {
+    "op3_jaccard_join": f"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{CAPITALS}', '{SMALL}'), '{WORD}') AS ws FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, k FROM (
+                SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                    ELSE [array_to_string(ws[i:i + 4], ' ') FOR i IN generate_series(1, len(ws) - 4)] END) AS k FROM w)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        b AS (SELECT l.doc_id AS x, r.doc_id AS y, count(*) AS c FROM s l JOIN s r ON l.k = r.k AND l.doc_id < r.doc_id GROUP BY ALL),
+        e AS (
+            SELECT x, y FROM b JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+        both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+        reached(a, z) AS (
+            SELECT doc_id, doc_id FROM n UNION SELECT reached.a, both_ways.y FROM reached JOIN both_ways ON reached.z = both_ways.x)
+        SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(min(z), w.doc_id) AS component_id
+        FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reached ON reached.a = w.doc_id GROUP BY w.doc_id""",
+    "op7_debruijn_dedup": f"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+        p AS (SELECT doc_id, s, array_to_string(ws[s:s + 19], ' ') AS k FROM (
+            SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 19)) AS s FROM w WHERE len(ws) >= 20)),
+        r AS (SELECT doc_id, s FROM p QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1),
+        g AS (SELECT DISTINCT doc_id, unnest(generate_series(s, s + 19)) AS i FROM r),
+        t AS (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS i FROM w),
+        k AS (
+            SELECT t.doc_id, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY t.i) FILTER (g.i IS NULL) AS kept
+            FROM t LEFT JOIN g ON g.doc_id = t.doc_id AND g.i = t.i GROUP BY t.doc_id)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN k USING (doc_id)""",
+}
