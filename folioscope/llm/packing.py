@@ -251,7 +251,7 @@ def pack(docs: DataFrame, path: str, max_tokens: int = 2048, end_id: int = 0) ->
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     patterns = complete_bins(histogram, max_tokens)
     key, first, copies, sequence, offset = slots_of(patterns)
-    salts = max(1, sum(histogram.values()) // 100_000)
+    salts = max(1, sum(histogram.values()) // 5_000)
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     counted = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
