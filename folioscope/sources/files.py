@@ -35,10 +35,19 @@ def admit_files(files: DataFrame) -> DataFrame:
     )
 
 
-def read_markdown(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def hidden_names(spark: SparkSession, path: str) -> list[str]:
+    """Markdown files of a folder whose names begin with a dot or an underscore: Spark's readers pass over them."""
+    glob = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{{_,.}}*.[mM][dD]")
+    found = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob)
+    return sorted(x.getPath().getName() for x in found or ())
+
+
+def read_markdown(spark: SparkSession, path: str, upload_rules: bool = False) -> tuple[DataFrame, DataFrame]:
     """Documents ``(source, content)`` of a folder, and rejected files ``(source, reason)``.
 
-    A bad file is a row of the second table, never a failed job.
+    A file keeps its exact name and may have any size; only bytes that are not UTF-8 and names that
+    Spark's readers pass over (``hidden_name``) are rejected, as rows of the second table. With
+    ``upload_rules`` the rules for uploads hold too.
     """
     raw = (
         spark.read.format("binaryFile")
@@ -46,20 +55,28 @@ def read_markdown(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
         .load(path)
         .select(F.col("path").alias("name"), "content")
     )
-    # A local path is percent-encoded in its URI form.
-    decoded = raw.withColumn("name", F.coalesce(F.try_url_decode("name"), F.col("name")))
-    checked = admit_files(decoded)
+    if upload_rules:
+        checked = admit_files(raw)
+    else:
+        valid = F.is_valid_utf8(F.col("content").cast("string"))
+        named = raw.withColumn("filename", F.substring_index("name", "/", -1))
+        checked = named.withColumn("reason", F.when(~valid, "not_utf8"))
     good = checked.where("reason is null").select(
         F.col("filename").alias("source"), F.col("content").cast("string").alias("content")
     )
-    return good, checked.where("reason is not null").select(F.col("filename").alias("source"), "reason")
+    bad = checked.where("reason is not null").select(F.col("filename").alias("source"), "reason")
+    hidden = [(name, "hidden_name") for name in hidden_names(spark, path)]
+    return good, bad.unionByName(spark.createDataFrame(hidden, bad.schema))
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank, non-comment lines with the file and their offset order inside it."""
-    rows = spark.read.text(path).select(
-        F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line_no"), strip("value").alias("line")
-    )
+    """Non-blank, non-comment lines of question, sample and score files, with the file and true line number.
+
+    Such a file is written by hand or by one evaluation run, so it is read as one row and cut there.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    rows = files.select("file", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line_no", "line"))
+    rows = rows.select("file", (F.col("line_no") + 1).cast("long").alias("line_no"), strip("line").alias("line"))
     return rows.where((F.col("line") != "") & ~F.startswith("line", F.lit(COMMENT_MARK)))
 
 
@@ -68,7 +85,8 @@ def read_questions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
     An absent ``expected_tool`` and a NULL one differ, so its presence is a column of its own.
     Lines that do not start with a brace are questions themselves. A JSON line that does not
-    parse, or has no question, is a rejected row.
+    parse, or has no question, is a rejected row. ``question_id`` is the file's name and the line
+    number. Files without any question are an error.
     """
     rows = _lines(spark, path)
     is_json = F.startswith("line", F.lit("{"))
@@ -80,7 +98,7 @@ def read_questions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     has_tool = F.coalesce(F.array_contains("_keys", "expected_tool"), F.lit(False))
     bad = F.col("_json") & (F.col("_keys").isNull() | F.col("q.question").isNull())
     good = parsed.where(~bad).select(
-        F.concat_ws(":", F.element_at(F.split("file", "/"), -1), F.col("line_no").cast("string")).alias("question_id"),
+        F.concat_ws(":", F.substring_index("file", "/", -1), F.col("line_no").cast("string")).alias("question_id"),
         "line_no",
         question.alias("question"),
         *[F.col(f"q.{n}").alias(n) for n in schemas.QUESTION.names if n != "question"],
@@ -89,7 +107,7 @@ def read_questions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     rejects = parsed.where(bad).select(
         "file", "line", F.when(F.col("_keys").isNull(), "not_json").otherwise("no_question").alias("reason")
     )
-    return good, rejects
+    return require_rows(good, "questions"), rejects
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:
@@ -111,31 +129,50 @@ def read_samples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows.where(~bad).select("s.*"), rows.where(bad).select("line", F.lit("no_user_input").alias("reason"))
 
 
+def _request_rows(lines: DataFrame) -> DataFrame:
+    """Request lines parsed: known columns, ``stage_ms`` with every ``<stage>_ms``, and ``extra`` with the rest."""
+    known = schemas.REQUEST_LOG.names
+    parsed = lines.where(F.trim("value") != "").select(
+        F.from_json("value", schemas.REQUEST_LOG).alias("r"), F.from_json("value", "map<string,string>").alias("m")
+    )
+    rest = F.map_filter("m", lambda k, v: ~k.isin(*known))
+    stages = F.map_filter(rest, lambda k, v: k.endswith("_ms") & v.try_cast("double").isNotNull())
+    return parsed.select(
+        "r.*",
+        F.transform_values(stages, lambda k, v: v.cast("double")).alias("stage_ms"),
+        F.map_filter(rest, lambda k, v: ~(k.endswith("_ms") & v.try_cast("double").isNotNull())).alias("extra"),
+    )
+
+
 def read_request_log(spark: SparkSession, path: str) -> DataFrame:
-    """The request log as a batch table."""
-    return spark.read.schema(schemas.REQUEST_LOG).json(path)
+    """The request log as a batch table; no key of a line is lost."""
+    return _request_rows(spark.read.text(path))
 
 
 def stream_request_log(spark: SparkSession, path: str) -> DataFrame:
-    """The request log as a stream of appended files."""
-    return spark.readStream.schema(schemas.REQUEST_LOG).json(path)
+    """The request log as a stream of appended files; no key of a line is lost."""
+    return _request_rows(spark.readStream.text(path))
 
 
-def read_scored(spark: SparkSession, path: str) -> DataFrame:
-    """Scores in long form ``(judge, combo, user_input, metric, value, skipped, error, reason)``.
+def read_scored(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Scores in long form ``(judge, combo, user_input, metric, value, skipped, error, reason)``, and rejects.
 
-    The last line of a (combo, question) wins; a row without a judge is named after its file.
+    The judge named last in a file stands for the whole file, else the file's name does. The last line of
+    a (combo, question) wins. A line without scores is a rejected row.
     """
-    rows = _lines(spark, path).withColumn("s", F.from_json("line", schemas.SCORED)).where("s.scores is not null")
-    stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), "\\.[^.]*\\z", "")
-    keyed = rows.select(
-        F.coalesce(F.nullif("s.judge", F.lit("")), stem).alias("judge"),
+    rows = _lines(spark, path).withColumn("s", F.from_json("line", schemas.SCORED))
+    bad = F.col("s.scores").isNull()
+    stem = F.regexp_replace(F.substring_index("file", "/", -1), "\\.[^.]*\\z", "")
+    named = rows.where(~bad).withColumn("named", F.nullif("s.judge", F.lit("")))
+    judges = named.where("named is not null").groupBy("file").agg(F.max_by("named", "line_no").alias("judge"))
+    keyed = named.join(judges, "file", "left").select(
+        F.coalesce("judge", stem).alias("judge"),
         F.coalesce("s.combo", F.lit("")).alias("combo"),
         F.col("s.user_input").alias("user_input"),
         F.col("s.scores").alias("scores"),
-        "line_no",
-    )
-    last = keyed.groupBy("judge", "combo", "user_input").agg(F.max_by("scores", "line_no").alias("scores"))
-    return last.select("judge", "combo", "user_input", F.explode("scores").alias("metric", "cell")).select(
-        "judge", "combo", "user_input", "metric", "cell.*"
+        F.struct("file", "line_no").alias("place"),
     )
+    last = keyed.groupBy("judge", "combo", "user_input").agg(F.max_by("scores", "place").alias("scores"))
+    scores = last.select("judge", "combo", "user_input", F.explode("scores").alias("metric", "cell"))
+    rejects = rows.where(bad).select("file", "line_no", "line", F.lit("no_scores").alias("reason"))
+    return scores.select("judge", "combo", "user_input", "metric", "cell.*"), rejects

@@ -1,4 +1,4 @@
-"""Chunking against a small plain-Python model of the rules."""
+"""Chunking by invariants over random texts, and hand-made cases."""
 
 from __future__ import annotations
 
@@ -15,64 +15,6 @@ from folioscope.operators import chunking as C
 BREAKS = "。！？；\n！?!;:：，,、 \t"
 
 
-def model_long(text, size):
-    pieces, rest = [], text.strip()
-    while len(rest) > size:
-        cut = max(rest.rfind(c, 0, size) for c in BREAKS)
-        if cut < size // 2:
-            cut = size - 1
-        pieces.append(rest[: cut + 1].strip())
-        rest = rest[cut + 1 :].strip()
-    return pieces + ([rest] if rest else [])
-
-
-def model_pack(units, size, overlap):
-    done, current = [], None
-    for unit in units:
-        if current is None:
-            current = unit
-        elif len(current) + 2 + len(unit) <= size:
-            current += "\n\n" + unit
-        else:
-            done.append(current)
-            tail = current[len(current) - overlap :].strip() if 0 < overlap <= len(current) else (current.strip() if overlap else "")
-            current = tail + "\n\n" + unit if tail and len(tail) + 2 + len(unit) <= size else unit
-    return done + ([current] if current is not None else [])
-
-
-def model_sections(content):
-    open_titles, rows = {}, []
-    for part in re.split(r"\n(?=#{1,6}\s)", content):
-        part = part.strip()
-        if not part:
-            continue
-        first, _, rest = part.partition("\n")
-        found = re.match(r"(#{1,6})\s+(.*)$", first)
-        if found:
-            level = len(found.group(1))
-            open_titles = {k: v for k, v in open_titles.items() if k < level}
-            open_titles[level] = found.group(2).strip()
-            path, body = " › ".join(open_titles.values()), rest.strip()
-        else:
-            path, body = "", part
-        if body:
-            rows.append((path, body))
-    return rows
-
-
-def model_chunks(source, content, size, overlap):
-    out = []
-    for path, body in model_sections(content):
-        units = []
-        for p in body.split("\n\n"):
-            if p.strip():
-                units += [p.strip()] if len(p.strip()) <= size else model_long(p, size)
-        for piece in model_pack(units, size, overlap):
-            key = f"{source}:{len(out)}:{path}:{piece[:50]}"
-            out.append((str(uuid.UUID(hex=hashlib.md5(key.encode()).hexdigest())), len(out), path, piece))
-    return out
-
-
 def random_markdown(rng):
     alphabet = ["alpha", "beta", "超时设置", "，", "。", " ", "  ", "\t", "x" * 30, "é", "　", "。！", "\xa0", "😀", ", "]
     lines = []
@@ -95,26 +37,78 @@ def texts():
     return [(f"d{i}.md", random_markdown(rng)) for i in range(150)]
 
 
-@pytest.mark.parametrize("size,overlap", [(500, 50), (60, 500), (50, 0), (10, 7), (81, 20)])
-def test_chunks_match_model(spark, texts, size, overlap):
-    docs = spark.createDataFrame(texts, "source string, content string")
-    got = {}
-    for r in C.chunk_documents(docs, size, overlap).collect():
-        got.setdefault(r.source, []).append((r.chunk_id, r.chunk_index, r.heading, r.content))
-        assert r.embed_text == (f"{r.heading}\n{r.content}" if r.heading else r.content)
-    n, o = C.chunk_params(size, overlap)
-    for source, content in texts:
-        want = model_chunks(source, content, n, o)
-        assert sorted(got.get(source, []), key=lambda x: x[1]) == want
-        assert all(len(w[3]) <= n for w in want)
+def squeezed(text):
+    return re.sub(r"\s+", "", text)
 
 
-def test_sections_paths(spark, texts):
+@pytest.mark.parametrize("size,overlap", [(500, 50), (60, 500), (50, 0), (10, 7), (81, 20)])
+def test_chunk_invariants(spark, texts, size, overlap):
+    """Bounded, trimmed and numbered chunks that hold all text of their sections, with suffixes as overlap."""
+    docs = spark.createDataFrame(texts, "source string, content string")
+    bodies, got = {}, {}
+    for r in C.heading_path(docs).orderBy("source", "section_idx").collect():
+        bodies.setdefault(r.source, []).append((r.heading, r.body))
+    for r in C.chunk_documents(docs, size, overlap).orderBy("source", "chunk_index").collect():
+        got.setdefault(r.source, []).append(r)
+    bound, shared = C.chunk_params(size, overlap)
+    assert got.keys() == bodies.keys()
+    for source, chunks in got.items():
+        assert [c.chunk_index for c in chunks] == list(range(len(chunks)))
+        for c in chunks:
+            assert 0 < len(c.content) <= bound and c.content == c.content.strip()
+            assert c.embed_text == (f"{c.heading}\n{c.content}" if c.heading else c.content)
+            key = f"{source}:{c.chunk_index}:{c.heading}:{c.content[:50]}"
+            assert c.chunk_id == str(uuid.UUID(hex=hashlib.md5(key.encode()).hexdigest()))
+        # Every way of reading the chunks: (section, characters of it read so far).
+        parts = [(heading, squeezed(body)) for heading, body in bodies[source]]
+        states, before = {(0, 0)}, ""
+        for c in chunks:
+            states |= {(k + 1, 0) for k, p in states if p == len(parts[k][1]) and k + 1 < len(parts)}
+            text = squeezed(c.content)
+            tail = squeezed(before[max(0, len(before) - shared) :]) if shared else ""
+            reads = set()
+            for k, p in states:
+                heading, body = parts[k]
+                for own in {text, text[len(tail) :] if p and tail and text.startswith(tail) else text}:
+                    if own and heading == c.heading and body.startswith(own, p):
+                        reads.add((k, p + len(own)))
+            states, before = reads, c.content
+        assert (len(parts) - 1, len(parts[-1][1])) in states
+
+
+@pytest.mark.parametrize("size", [50, 81])
+def test_long_texts_are_cut_behind_breaks(spark, texts, size):
+    """A piece ends behind a break of its second half, or is full where that half has none."""
+    rows = [(re.sub(r"\s*\n\s*", "", t) or "x",) for _, t in texts]
+    df = spark.createDataFrame(rows, "t string")
+    for r in df.select("t", C.split_long(F.col("t"), size).alias("p")).collect():
+        assert squeezed("".join(r.p)) == squeezed(r.t)
+        at = 0
+        for piece in r.p[:-1]:
+            start = r.t.index(piece, at)
+            at = start + len(piece)
+            behind = re.match(r"\s*", r.t[at:]).group()
+            assert piece[-1] in BREAKS or behind or len(piece) == size
+            window = r.t[start : start + size]
+            last = max(window.rfind(c) for c in BREAKS)
+            if last >= size // 2:
+                assert len(piece) <= last + 1 and squeezed(window[len(piece) : last + 1]) == ""
+            else:
+                assert len(piece) == len(window.rstrip())
+
+
+def test_sections_hold_all_text(spark, texts):
+    """Headings and bodies in order are the document, and paths only name open headings."""
     docs = spark.createDataFrame(texts, "source string, content string")
     got = {}
     for r in C.heading_path(docs).orderBy("source", "section_idx").collect():
-        got.setdefault(r.source, []).append((r.heading, r.body))
-    assert got == {s: model_sections(c) for s, c in texts if model_sections(c)}
+        got.setdefault(r.source, []).append(r)
+    for source, content in texts:
+        left = content
+        for r in got.get(source, []):
+            assert r.body == r.body.strip() and r.body in left
+            skipped, _, left = left.partition(r.body)
+            assert all(re.match(r"#{1,6}\s", line.lstrip()) or not line.strip() for line in skipped.split("\n"))
 
 
 def test_heading_goldens(spark):

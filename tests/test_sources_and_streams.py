@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioscope import schemas
@@ -44,12 +45,41 @@ def test_questions_tell_absent_from_null(spark, tmp_path):
 
 def test_scored_files_and_samples(spark, tmp_path):
     cell = {"m": {"value": 1.0}}
-    lines = [{"combo": "c", "user_input": "q", "scores": {"m": {"value": 0.0}}}, {"combo": "c", "user_input": "q", "scores": cell}, {"user_input": "r", "judge": "J", "scores": cell}]
+    lines = [{"combo": "c", "user_input": "q", "scores": {"m": {"value": 0.0}}}, {"combo": "c", "user_input": "q", "scores": cell}, {"user_input": "r", "judge": "J", "scores": cell}, {"user_input": "none"}]
     (tmp_path / "alpha.jsonl").write_text("\n".join(map(json.dumps, lines)))
-    rows = {(r.judge, r.combo, r.user_input): r.value for r in files.read_scored(spark, str(tmp_path / "alpha.jsonl")).collect()}
-    assert rows == {("alpha", "c", "q"): 1.0, ("J", "", "r"): 1.0}
+    (tmp_path / "beta.jsonl").write_text(json.dumps(lines[1]))
+    scores, bad = files.read_scored(spark, str(tmp_path))
+    assert {(r.judge, r.combo, r.user_input): r.value for r in scores.collect()} == {("J", "c", "q"): 1.0, ("J", "", "r"): 1.0, ("beta", "c", "q"): 1.0}
+    assert [(r.line_no, r.reason) for r in bad.collect()] == [(4, "no_scores")]
     good, bad = files.read_samples(spark, str(tmp_path / "alpha.jsonl"))
-    assert good.count() == 3 and bad.count() == 0 and "scores" not in good.columns
+    assert good.count() == 4 and bad.count() == 0 and "scores" not in good.columns
+
+
+def test_markdown_names_and_sizes(spark, tmp_path):
+    """Names are kept as they are, no file is too large for a folder, and hidden ones are told."""
+    for name in ("a+b.md", "a b.md", "50%25.md", ".x.md", "_x.md"):
+        (tmp_path / name).write_text(name)
+    (tmp_path / "big.md").write_text("x" * (6 << 20))
+    good, bad = files.read_markdown(spark, str(tmp_path))
+    assert {r.source: len(r.content) for r in good.collect()} == {"a+b.md": 6, "a b.md": 6, "50%25.md": 8, "big.md": 6 << 20}
+    assert {r.source: r.reason for r in bad.collect()} == {".x.md": "hidden_name", "_x.md": "hidden_name"}
+    _, bad = files.read_markdown(spark, str(tmp_path), upload_rules=True)
+    assert {r.source: r.reason for r in bad.collect()}["big.md"] == "too_large"
+
+
+def test_question_ids_are_line_numbers(spark, tmp_path):
+    (tmp_path / "q.txt").write_text("# note\none\r\n\ntwo\n")
+    good, _ = files.read_questions(spark, str(tmp_path / "q.txt"))
+    assert {r.question_id: r.question for r in good.collect()} == {"q.txt:2": "one", "q.txt:4": "two"}
+    (tmp_path / "empty.txt").write_text("# only a note\n")
+    with pytest.raises(ValueError):
+        files.read_questions(spark, str(tmp_path / "empty.txt"))
+
+
+def test_request_log_keeps_every_key(spark, tmp_path):
+    (tmp_path / "log.jsonl").write_text(json.dumps({"trace_id": "t", "latency_ms": 5, "retrieve_ms": 2.5, "odd_ms": "n/a", "top": 3}) + "\n")
+    row = files.read_request_log(spark, str(tmp_path)).first()
+    assert (row.trace_id, row.latency_ms, row.stage_ms, row.extra) == ("t", 5.0, {"retrieve_ms": 2.5}, {"odd_ms": "n/a", "top": "3"})
 
 
 def test_jsonl_keeps_text(spark, tmp_path):
