@@ -10,9 +10,9 @@ So that no tree has to hold all documents, the trees are built over buckets: two
 similarity ``t`` share one of the first ``n - ceil(t n) + 1`` shingles of each in any common order. The
 order puts shingles last that a sketch of fixed size, counted over all documents, finds frequent; a
 line that stands in a third of all texts then is in the bucket key of few. Equal sets are one entity
-from the start. Links are searched in two rounds, since only classes are asked for: first one partner
-per entity and bucket, then, among entities that are not in one class yet, every surviving pair. No
-link between different texts is lost.
+from the start. Links are searched in rounds, since only classes are asked for: first one partner per
+entity and bucket, then the most promising one in another class, and at last, among entities that are
+not in one class yet, every surviving pair. No link between classes is lost.
 
 Nulls and texts without words have no shingle, link with nothing and are their own class; texts with
 fewer words than a shingle are one shingle. Rows repeating a text share a class. Other columns are not
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.components import connected
 from folioscope.llm.shared import WORDS, Texts, in_arrow, likely_split, mix, text_blocks, window_hashes, words_of, written
 
-GROUPS = 64
+GROUPS = 128
 MOST_GROUPS = 8192
 SKETCH = 1 << 16
 LEAF = 16
@@ -136,7 +136,7 @@ def classes_of(docs: DataFrame, width: int) -> DataFrame:
 
 
 def prefixes_of(docs: DataFrame, levels: np.ndarray, width: int, percent: int) -> DataFrame:
-    """``shingle, entity, n``: the bucket keys of each entity, once per task that sees it."""
+    """``shingle, entity, n, place``: the bucket keys of each entity with their place, once per task that sees it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = np.zeros(0, U)
@@ -158,9 +158,10 @@ def prefixes_of(docs: DataFrame, levels: np.ndarray, width: int, percent: int) -
                     "shingle": pa.array(values[order][keep].view(np.int64)),
                     "entity": pa.array(entity[rows[keep]].view(np.int64)),
                     "n": pa.array(n[rows[keep]].astype(np.int32)),
+                    "place": pa.array(place[keep].astype(np.int32)),
                 })
 
-    return docs.select("text").mapInArrow(run, "shingle long, entity long, n int")
+    return docs.select("text").mapInArrow(run, "shingle long, entity long, n int, place int")
 
 
 def shared_keys(prefixes: DataFrame) -> DataFrame:
@@ -206,9 +207,9 @@ def shared_keys(prefixes: DataFrame) -> DataFrame:
                 first = batch.slice(int(starts[-1]), 1)
             done = int(place[-1]) + 1
 
-    names = ["shingle", "entity", "n", "part"]
+    names = ["shingle", "entity", "n", "place", "part"]
     ordered = prefixes.repartition("shingle").sortWithinPartitions("shingle", "n", "entity")
-    return ordered.mapInArrow(run, "shingle long, entity long, n int, part int")
+    return ordered.mapInArrow(run, "shingle long, entity long, n int, place int, part int")
 
 
 class CountTree:
@@ -240,18 +241,20 @@ class CountTree:
         return np.sort(self.order[nodes[fit]])
 
 
-def candidates(rows: DataFrame, percent: int, every: bool) -> DataFrame:
+def candidates(rows: DataFrame, percent: int, mode: str) -> DataFrame:
     """Pairs ``a, b`` of entities of one bucket and different classes that the trees leave.
 
-    ``rows`` has ``shingle, lo, hi, part, entity, n, root, point``; a bucket is a shingle with one part
-    (``lo = hi``) or two, whose rows then are paired across the parts only. A bucket's size is bounded.
-    Without ``every`` each entity gets one partner in a bucket: the bucket's first row if the bound allows
-    it, else the first that its tree search finds; with ``every`` it gets all.
+    ``rows`` has ``shingle, lo, hi, part, entity, n, place, root, point``; a bucket is a shingle with one
+    part (``lo = hi``) or two, whose rows then are paired across the parts only. A bucket's size is bounded.
+    In mode ``first`` an entity gets one earlier partner in a bucket: the bucket's first row if the bounds
+    allow it, else the first that its tree search finds; in mode ``best`` the one with the largest bound;
+    in mode ``every`` all. Besides the counts, a pair is bounded by what follows the shared shingle in
+    either order: in the bucket of its first common shingle a linked pair passes.
     """
 
     def pairs_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        shingle, lo, hi, part, entity, n, root = (
-            table[c].to_numpy() for c in ("shingle", "lo", "hi", "part", "entity", "n", "root")
+        shingle, lo, hi, part, entity, n, place, root = (
+            table[c].to_numpy() for c in ("shingle", "lo", "hi", "part", "entity", "n", "place", "root")
         )
         n = n.astype(np.int64)
         points = np.frombuffer(b"".join(table["point"].to_pylist()), np.uint8).reshape(-1, GROUPS)
@@ -263,31 +266,39 @@ def candidates(rows: DataFrame, percent: int, every: bool) -> DataFrame:
         def may(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             fit = (root[i] != root[j]) & ((lo[i] == hi[i]) | (part[i] != part[j]))
             fit &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-            left = np.flatnonzero(fit)
-            for some in np.array_split(left, len(left) // 50_000 + 1):
+            return fit & (np.minimum(n[i] - place[i], n[j] - place[j]) >= needed(n[i], n[j], percent))
+
+        def bound(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """The counts' bound where it allows a link, else 0."""
+            out = np.zeros(len(i), np.int64)
+            left = np.flatnonzero(may(i, j))
+            for some in np.array_split(left, len(left) // 25_000 + 1):
                 low = np.minimum(points[i[some]], points[j[some]])
                 both = BOUND[low].sum(1) if len(low) and low.max() > 100 else low.sum(1, dtype=np.int64)
-                fit[some] = both >= needed(n[i[some]], n[j[some]], percent)
-            return fit
+                out[some] = np.where(both >= needed(n[i[some]], n[j[some]], percent), both, 0)
+            return out
 
         at = np.arange(len(n))
-        fit = may(begin, at)
-        left, right = [begin[fit]], [at[fit]]
-        # Others in buckets of two classes: all earlier rows of a small bucket, a tree in a larger one.
-        mixed = np.maximum.reduceat(root, starts) != np.minimum.reduceat(root, starts)
-        asks = (at > begin) & np.repeat(mixed, sizes)
-        if not every:
+        mixed = np.repeat(np.maximum.reduceat(root, starts) != np.minimum.reduceat(root, starts), sizes)
+        asks = (at > begin) & mixed
+        left, right = [], []
+        if mode == "first":
+            fit = bound(begin, at) > 0
+            left, right = [begin[fit]], [at[fit]]
             asks &= ~fit & (root != root[begin])
         asked = np.flatnonzero(asks & (np.repeat(sizes, sizes) <= SMALL))
-        for some in np.array_split(asked, len(asked) // 50_000 + 1):
-            count = some - begin[some] - 1  # the bucket's first row has been compared
+        for some in np.array_split(asked, len(asked) // 20_000 + 1):
+            count = some - begin[some]
             i = np.repeat(some, count)
-            j = begin[i] + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
-            good = may(i, j)
-            i, j = i[good], j[good]
-            if not every:
-                i, one = np.unique(i, return_index=True)
-                j = j[one]
+            j = begin[i] + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+            both = bound(i, j)
+            good = both > 0
+            i, j, both = i[good], j[good], both[good]
+            if mode != "every" and len(i):
+                order = np.lexsort((j, -both if mode == "best" else j, i))
+                i, j = i[order], j[order]
+                one = np.append(True, i[1:] != i[:-1])
+                i, j = i[one], j[one]
             left.append(j)
             right.append(i)
         for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
@@ -298,11 +309,16 @@ def candidates(rows: DataFrame, percent: int, every: bool) -> DataFrame:
             tree = CountTree(values, n[start : start + size])
             for i in ask:
                 found = tree.search(values[i - start], n[i], percent) + start
-                found = found[(found < i) & (root[found] != root[i]) & ((lo[i] == hi[i]) | (part[found] != part[i]))]
-                found = found if every else found[:1]
+                found = found[found < i]
+                found = found[may(np.full(len(found), i), found)]
+                if mode == "best" and len(found):
+                    found = found[[np.minimum(values[found - start], values[i - start]).sum(1).argmax()]]
+                elif mode == "first":
+                    found = found[:1]
                 left.append(found)
                 right.append(np.full(len(found), i))
-        a, b = entity[np.concatenate(left)], entity[np.concatenate(right)]
+        none = np.zeros(0, np.int64)
+        a, b = entity[np.concatenate([none, *left])], entity[np.concatenate([none, *right])]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
         return pairs[:, 0], pairs[:, 1]
 
@@ -395,24 +411,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     entities = written(told.groupBy("entity").agg(F.min("doc_id").alias("doc_id"), *vectors), "entities")
     points = entities.select("entity", "point")
 
-    def links_of(rows: DataFrame, every: bool) -> DataFrame:
-        pairs = written(plausible(candidates(rows, percent, every), entities, percent), "pairs")
+    def links_of(rows: DataFrame, mode: str) -> DataFrame:
+        pairs = written(plausible(candidates(rows, percent, mode), entities, percent), "pairs")
         return written(verified(pairs, entities, docs, width, percent).select("a", "b"), "links")
 
-    alone = keys.select("*", F.col("part").alias("lo"), F.col("part").alias("hi"))
-    rows = alone.join(points.withColumn("root", F.col("entity")), "entity")
-    links = links_of(rows, every=False)
-    roots = written(connected(links), "roots")
-
-    classed = points.join(roots.withColumnRenamed("node", "entity"), "entity", "left")
-    rows = keys.join(classed.withColumn("root", F.coalesce("root", "entity")), "entity")
-    mixed = rows.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max("part").alias("top"))
-    rows = rows.join(mixed.where("r <> s").select("shingle", "top"), "shingle")
-    other = F.explode(F.sequence(F.lit(0), "top")).alias("other")
-    rows = rows.select("*", other).select("*", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-    more = links_of(rows, every=True)
-
-    roots = connected(links.unionByName(more))
+    alone = [F.col("part").alias("lo"), F.col("part").alias("hi")]
+    rows = keys.select("*", *alone).join(points.withColumn("root", F.col("entity")), "entity")
+    links = links_of(rows, "first")
+    for mode in ("best", "every"):
+        roots = written(connected(links), "roots")
+        classed = points.join(roots.withColumnRenamed("node", "entity"), "entity", "left")
+        rows = keys.join(classed.withColumn("root", F.coalesce("root", "entity")), "entity")
+        # Buckets of one class have nothing left to find.
+        mixed = rows.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max("part").alias("top"))
+        rows = rows.join(mixed.where("r <> s").select("shingle", "top"), "shingle")
+        if mode == "every":
+            rows = rows.select("*", F.explode(F.sequence(F.lit(0), "top")).alias("other"))
+            rows = rows.select("*", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+        else:
+            rows = rows.select("*", *alone)
+        links = links.unionByName(links_of(rows, mode))
+
+    roots = connected(links)
     named = entities.select("entity", "doc_id").join(roots.withColumnRenamed("node", "entity"), "entity", "left")
     named = written(named.withColumn("root", F.coalesce("root", "entity")), "named")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
