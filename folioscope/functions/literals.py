@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 PLAIN_LIMIT = 64
 BLOCK_LIMIT = 20_000
+BLOCK_BYTES = 8 << 20
 
 
 def _automaton_match(text: Column, patterns: list[str]) -> Column:
@@ -18,12 +20,6 @@ def _automaton_match(text: Column, patterns: list[str]) -> Column:
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        try:
-            import ahocorasick
-        except ImportError:
-            for texts in batches:
-                yield texts.map(lambda t: [p for p in patterns if t is not None and p in t])
-            return
         machine = ahocorasick.Automaton()
         for pattern in patterns:
             machine.add_word(pattern, pattern)
@@ -37,13 +33,13 @@ def _automaton_match(text: Column, patterns: list[str]) -> Column:
 def match_literals(texts: DataFrame, text: str, patterns: DataFrame, block: int = BLOCK_LIMIT, plain: int = PLAIN_LIMIT) -> DataFrame:
     """Rows of ``texts`` with a column ``pattern`` for every literal of ``patterns`` they contain.
 
-    Distinct patterns travel to the tasks in blocks of bounded size. A few are tested with
+    Distinct patterns travel to the tasks in blocks bounded by number and bytes. A few are tested with
     ``contains``; more are found in one scan per text. Patterns over the block size mean more
     passes over the texts, never a dropped pattern. The match is case-sensitive.
     """
     wanted = patterns.select("pattern").where("pattern is not null and pattern <> ''").distinct()
-    total = wanted.count()
-    blocks = max(1, -(-total // block))
+    size = wanted.agg(F.count("*").alias("n"), F.sum(F.octet_length("pattern")).alias("bytes")).first()
+    blocks = max(1, -(-size["n"] // block), -(-(size["bytes"] or 0) // BLOCK_BYTES))
     found = None
     for at in range(blocks):
         part = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == at)

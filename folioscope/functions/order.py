@@ -58,22 +58,9 @@ def value_positions(df: DataFrame, value: str, by: list[str] | None = None, sums
         .groupBy(*keys, value)
         .agg(F.count("*").alias("n"), *[F.sum(expr).alias(name) for name, expr in sums.items()])
     )
-    ranges = _range_count(df)
-    # The cuts are collected once (at most one number per range) and become literals, so every
-    # branch of the plan cuts the values in the same place.
-    cuts = sorted(
-        set(
-            distinct.select(F.col(value).cast("double").alias("v")).approxQuantile(
-                "v", [i / ranges for i in range(1, ranges)], 0.01
-            )
-        )
-    )
-    if cuts:
-        edges = F.array(*[F.lit(float(c)) for c in cuts])
-        slot = F.size(F.filter(edges, lambda edge: edge < F.col(value).cast("double")))
-    else:
-        slot = F.lit(0)
-    distinct = distinct.withColumn("_range", slot)
+    # The distinct values are computed once, dealt by ranges as many as there are shuffle partitions.
+    ranged = distinct.repartitionByRange(_range_count(df), value).withColumn("_range", F.spark_partition_id())
+    distinct = materialise(ranged)
     per_range = distinct.groupBy(*keys, "_range").agg(*[F.sum(m).alias(m) for m in measures])
     over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
     before = over.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

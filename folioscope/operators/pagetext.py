@@ -125,17 +125,18 @@ def furniture(page_lines: DataFrame, ratio: float = 0.5) -> DataFrame:
 
 
 def running_header(page_lines: DataFrame, ratio: float = 0.5) -> DataFrame:
-    """``(doc_id, header)``: the longest word prefix of first lines shared by enough pages.
+    """``(doc_id, header)``: first lines' common beginning, extended word by word while enough pages share it.
 
-    Equal first lines are counted once before their prefixes are listed. Documents without a
-    shared prefix of at least 12 characters are left out.
+    Of two continuations the more frequent one is followed, at a tie the one that is seen first; for
+    ratios from one half on, only a tie can leave two. Equal first lines are counted once before their
+    prefixes are listed. Documents without a shared prefix of at least 12 characters are left out.
     """
     firsts = (
         page_lines.where(nonblank("line"))
         .groupBy("doc_id", "page_no")
         .agg(F.min_by(strip("line"), "line_no").alias("_first"))
         .groupBy("doc_id", "_first")
-        .agg(F.count("*").alias("_pages"))
+        .agg(F.count("*").alias("_pages"), F.min("page_no").alias("_page"))
     )
     words = F.regexp_extract_all("_first", F.lit(f"[^{WHITESPACE_CLASS[1:]}+"), F.lit(0))
     prefixes = F.transform(
@@ -143,17 +144,20 @@ def running_header(page_lines: DataFrame, ratio: float = 0.5) -> DataFrame:
     )
     counted = (
         firsts.withColumn("_words", words)
-        .select("doc_id", "_pages", F.posexplode(prefixes).alias("_n", "header"))
+        .select("doc_id", "_pages", "_page", F.posexplode(prefixes).alias("_n", "header"))
         .groupBy("doc_id", "_n", "header")
-        .agg(F.sum("_pages").alias("_seen"))
+        .agg(F.sum("_pages").alias("_seen"), F.min("_page").alias("_page"))
     )
     shared = counted.join(page_counts(page_lines), "doc_id").where(F.col("_seen") >= F.col("pages") * F.lit(float(ratio)))
-    # Over half of the pages can share one prefix per length only; at exactly half the most
-    # frequent one wins, then the text.
-    order = F.struct("_n", "_seen", "header")
+    followed = shared.groupBy("doc_id", "_n").agg(F.max_by("header", F.struct("_seen", -F.col("_page"))).alias("header"))
+    # The walk ends where the best prefix of a length does not extend the one before it.
+    length = Window.partitionBy("doc_id").orderBy("_n")
+    before = F.lag("header").over(length)
+    followed = followed.withColumn("_on", before.isNull() | F.startswith("header", F.concat(before, F.lit(" "))))
+    followed = followed.withColumn("_on", F.min("_on").over(length)).where("_on")
     return (
-        shared.groupBy("doc_id")
-        .agg(F.max_by("header", order).alias("header"))
+        followed.groupBy("doc_id")
+        .agg(F.max_by("header", "_n").alias("header"))
         .where(F.length("header") >= HEADER_LENGTH)
     )
 
@@ -171,27 +175,37 @@ def toc_pages(page_lines: DataFrame) -> DataFrame:
 def parse_toc(page_lines: DataFrame) -> DataFrame:
     """``(doc_id, number, title)`` from the contents pages; the last entry of a number wins.
 
-    A numbered line without a leader opens an entry that the following line may close, so each
-    line is read once alone and once glued to an open line before it. Blank lines are skipped.
+    A numbered line without a leader stays open and is glued to the line after it. A line that closes an
+    entry, alone or glued, leaves nothing open, even if it could open one itself. Blank lines are skipped.
+    A page is one bounded group, folded line by line.
     """
     rows = (
         page_lines.join(toc_pages(page_lines), ["doc_id", "page_no"], "left_semi")
         .select("doc_id", "page_no", "line_no", strip("line").alias("line"))
         .where("line <> ''")
     )
-    order = Window.partitionBy("doc_id", "page_no").orderBy("line_no")  # one page is one bounded group
-    opens = F.col("line").rlike(NUMBERED) & ~F.col("line").rlike(LEADER) & ~F.col("line").rlike(TOC_ENTRY)
-    # A line that opens an entry replaces the open line before it, unless the two together close one.
-    before = F.lag(F.when(opens, F.col("line"))).over(order)
-    text = F.coalesce(F.concat("_open", F.lit(" "), "line"), F.col("line"))
-    closed = rows.withColumn("_open", before).withColumn("_text", text).where(F.col("_text").rlike(TOC_ENTRY))
+    pages = rows.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
+
+    def fold(state: Column, x: Column) -> Column:
+        text = F.when(state["open"] == "", x["line"]).otherwise(F.concat(state["open"], F.lit(" "), x["line"]))
+        closes = text.rlike(TOC_ENTRY)
+        opens = x["line"].rlike(NUMBERED) & ~x["line"].rlike(LEADER)
+        return F.struct(
+            F.when(~closes & opens, x["line"]).otherwise(F.lit("")).alias("open"),
+            F.when(closes, F.concat(state["done"], F.array(F.struct(x["line_no"].alias("line_no"), text.alias("text")))))
+            .otherwise(state["done"]).alias("done"),
+        )
+
+    kind = rows.schema["line_no"].dataType.simpleString()
+    start = F.struct(F.lit("").alias("open"), F.array().cast(f"array<struct<line_no:{kind},text:string>>").alias("done"))
+    closed = pages.select("doc_id", "page_no", F.explode(F.aggregate("lines", start, fold)["done"]).alias("e"))
     return (
         closed.select(
             "doc_id",
             "page_no",
-            "line_no",
-            F.regexp_extract("_text", TOC_ENTRY, 1).alias("number"),
-            fix_text(F.regexp_extract("_text", TOC_ENTRY, 2)).alias("title"),
+            F.col("e.line_no").alias("line_no"),
+            F.regexp_extract("e.text", TOC_ENTRY, 1).alias("number"),
+            fix_text(F.regexp_extract("e.text", TOC_ENTRY, 2)).alias("title"),
         )
         .groupBy("doc_id", "number")
         .agg(F.max_by("title", F.struct("page_no", "line_no")).alias("title"))

@@ -303,6 +303,9 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
 def _as_matrix(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    sizes = np.unique(column.value_lengths().to_numpy(zero_copy_only=False)) if len(column) else ()
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of different sizes: {sizes.tolist()}")
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
@@ -324,7 +327,8 @@ def cosine_topk(queries: DataFrame, chunks: DataFrame, limit: int, max_bytes: in
         found = local if found is None else found.unionByName(local)
     ranked = top_ranked(found, limit, [F.desc("similarity"), F.asc("chunk_id")])
     key = queries.schema["query_id"].dataType
-    return ranked.withColumn("query_id", F.col("query_id").cast(key))
+    kind = chunks.schema["chunk_id"].dataType
+    return ranked.withColumn("query_id", F.col("query_id").cast(key)).withColumn("chunk_id", F.col("chunk_id").cast(kind))
 
 
 def _block_topk(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
@@ -342,6 +346,8 @@ def _block_topk(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
             if not names or batch.num_rows == 0:
                 continue
             vectors = _unit(_as_matrix(batch.column("vector")))
+            if vectors.shape[1] != wanted.shape[1]:
+                raise ValueError(f"vectors of size {vectors.shape[1]} against questions of size {wanted.shape[1]}")
             best.add(wanted @ vectors.T, np.array(batch.column("chunk_id").to_pylist(), dtype=np.str_))
         yield from best.batches("similarity")
 

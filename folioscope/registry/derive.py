@@ -15,13 +15,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input stored in fewer pieces than there are cores.
+#: Inputs up to this size are dealt over all cores; the bound holds whatever the cluster's size.
+SPREAD_BYTES = 256 << 20
 
-    A large table has many splits and is left where it is.
-    """
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a small input stored in few pieces; a table over ``SPREAD_BYTES`` is left where it is."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if size <= SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,3 +140,19 @@ def test_score_cells_keep_failures(spark):
     assert rows["q1", "faithfulness"].error.startswith("RuntimeError: cut off")
     assert rows["q2", "faithfulness"].skipped == V.SKIPPED_NO_ANSWER
     assert rows["q2", "context_recall"].skipped == V.SKIPPED_NO_REFERENCE
+
+
+def test_ranges_follow_the_partition_number(spark):
+    """No range of values is much larger than its share, also for many partitions."""
+    from folioscope.functions import order
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        df = spark.range(40_000).selectExpr("cast(id as double) * id as v")
+        ranged = df.groupBy("v").count().repartitionByRange(order._range_count(df), "v").groupBy(F.spark_partition_id()).count()
+        assert ranged.agg(F.max("count")).first()[0] < 40_000 / 200 * 3
+        rows = order.value_positions(df, "v").agg(F.min("before"), F.max("before"), F.countDistinct("before")).first()
+        assert tuple(rows) == (0, 39_999, 40_000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

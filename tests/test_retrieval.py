@@ -182,3 +182,18 @@ def test_embed_batches_counts(spark):
         E.embed_batches(df, "id", "text", lambda texts: [(0, [1.0])], 10).collect()
     with pytest.raises(ValueError):
         E.get_embedder("nope")
+
+
+def test_vectors_of_mixed_sizes_are_an_error(spark):
+    queries = spark.createDataFrame([("q", [1.0, 0.0, 0.0])], "query_id string, vector array<double>")
+    for sizes in ((2, 4), (2, 2)):
+        chunks = spark.createDataFrame([(i, [1.0] * n) for i, n in enumerate(sizes)], "chunk_id long, vector array<double>")
+        with pytest.raises(Exception, match="size"):
+            R.cosine_topk(queries, chunks.coalesce(1), 3).collect()
+
+
+def test_cosine_keeps_the_type_of_ids(spark):
+    queries = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, vector array<double>")
+    chunks = spark.createDataFrame([(3, [1.0, 0.0]), (4, [0.0, 1.0])], "chunk_id long, vector array<double>")
+    found = R.cosine_topk(queries, chunks, 1)
+    assert dict(found.dtypes)["chunk_id"] == "bigint" and (found.first().query_id, found.first().chunk_id) == (7, 3)

@@ -185,3 +185,19 @@ def test_markdown_from_pages(spark):
             "Last one, after comma",
         ]
     ) + "\n"
+
+
+def pages_of(spark, pages):
+    rows = [("d", page, k, line) for page, lines in enumerate(pages) for k, line in enumerate(lines)]
+    return spark.createDataFrame(rows, "doc_id string, page_no int, line_no int, line string")
+
+
+def test_running_header_follows_the_first_of_equals(spark):
+    df = pages_of(spark, [["Alpha Beta Gamma"], ["Alpha Beta Gamma"], ["Alpha Delta Epsilon Zeta Eta Theta"], ["Alpha Delta Epsilon Zeta Eta Theta"]])
+    assert P.running_header(df).first().header == "Alpha Beta Gamma"
+
+
+def test_contents_lines_that_close_leave_nothing_open(spark):
+    lines = ["1 foo", "3 bar ..... 7", "2 bar ..... 9", "4 long title that", "goes on ..... 12", *[f"{k} more {k} ..... {k}" for k in range(5, 9)]]
+    got = {r.number: r.title for r in P.parse_toc(pages_of(spark, [lines])).collect()}
+    assert got["2"] == "bar" and got["4"].startswith("long title that goes on") and got["1"].startswith("foo") and "3" not in got
