@@ -21,7 +21,7 @@ SPREAD_BYTES = 256 << 20
 
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on a small input stored in few pieces; a table over ``SPREAD_BYTES`` is left where it is."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if size <= SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
 

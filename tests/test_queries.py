@@ -8,6 +8,8 @@ import __spark_entry__ as entry
 from compare import compare, open_oracle
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+#: Findings that the smallest tables do not hold.
+MAY_BE_EMPTY = {"op6_secret_scan"}
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +24,7 @@ def test_query(spark, sf_dir, oracle, name):
     if name in ORACLES:
         assert compare(df, oracle, ORACLES[name]) == ""
     else:
-        assert df.count() > 0
+        assert df.count() > 0 or name in MAY_BE_EMPTY
 
 
 def test_every_twin_belongs_to_a_query():
