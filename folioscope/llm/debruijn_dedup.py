@@ -69,6 +69,7 @@ def removed_edges(docs: DataFrame, window: int = 20, anchor: int = 8) -> DataFra
     # Branches: edges of the paths that share an anchor.
     edges = written(branch_edges(docs, found.open, window), "edges")
     low = edges.groupBy("one", "two").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    low = written(low, "low")
     later = edges.join(low, ["one", "two"]).where("(doc, start) > (first.doc, first.start)")
     later = later.select("doc", "start", F.lit(1).alias("windows"), F.col("first.doc").alias("source"), F.col("first.start").alias("source_start"))
     return copies.unionByName(later)

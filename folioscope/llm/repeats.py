@@ -120,11 +120,13 @@ class Repeats:
 
 def repeats(runs: DataFrame) -> Repeats:
     """Keep the runs with a repeated anchor, and class them. ``first`` is a class's smallest (doc, start)."""
+    # A table of its own leaves the join between two plain shuffles, whose large partitions Spark can split.
     anchors = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    anchors = written(anchors, "anchors")
     members = written(runs.join(anchors, "anchor"), "runs")
     least = F.min(F.struct("doc", "start", "windows", "left")).alias("first")
     classes = written(members.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), least), "classes")
-    several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    several = written(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "several")
     flat = classes.join(several, "anchor").select("anchor", "context", "n", "size", "first.*")
     return Repeats(members, classes, written(flat, "open"))
 

@@ -228,7 +228,7 @@ def repeated_spans(docs: DataFrame, window: int = 400, anchor: int | None = None
     whole = found.members.join(common, ["anchor", "context"]).selectExpr("doc", "start", f"start + windows - 1 + {window} as end")
     settled = written(_sorted_windows(_contexts(docs, found.open, window), window, anchor), "settled")
     others = settled.where("kind = 'window'")
-    again = others.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = written(others.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "again")
     late = others.where("alone").join(again, ["one", "two"])
     return whole.unionByName(settled.where("kind = 'span'").select("doc", "start", "end")).unionByName(late.select("doc", "start", "end"))
 
