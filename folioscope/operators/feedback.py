@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.order import value_positions
 from folioscope.functions.text import strip
-from folioscope.operators.retrieval import top_ranked
 
 # Verdicts, reason codes with their labels, limits.
 VERDICTS = ["up", "down"]
@@ -203,8 +202,3 @@ def badcases_to_questions(
             F.col("contexts").alias("contexts_used"),
         ).alias("_badcase"),
     )
-
-
-def newest_per(df: DataFrame, limit: int, order: list[Column], by: tuple[str, ...]) -> DataFrame:
-    """The first ``limit`` rows per key."""
-    return top_ranked(df, limit, order, by=by).drop("rank")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["retrieval_queries", "chunk_queries", "context_queries", "dialogue_queries", "feedback_queries", "metering_queries", "evaluation_queries", "page_queries", "stream_queries"]
+_MODULES = ["retrieval_queries", "chunk_queries", "context_queries", "dialogue_queries", "feedback_queries", "metering_queries", "evaluation_queries", "page_queries", "stream_queries", "source_queries"]
 
 
 def _collect(kind: str) -> dict:

@@ -83,7 +83,7 @@ LITERAL_REQUESTS_SQL = """literal_requests AS (
 def passage_requests(spark: SparkSession, d: str) -> DataFrame:
     """The whole text of every question as a pattern."""
     return load(spark, d, "benchmark").select(
-        F.col("item_id").alias("request_id"), F.substring("text", 21, 60).alias("pattern"), F.lit(None).cast("string").alias("source")
+        F.col("item_id").alias("request_id"), F.col("text").alias("pattern"), F.lit(None).cast("string").alias("source")
     )
 
 
@@ -305,7 +305,7 @@ ORACLES = {
       SELECT request_id, source, source IN (SELECT source FROM chunks) AS exists FROM expand_requests""",
     "find_literal": f"WITH RECURSIVE {FOUND_SQL} SELECT request_id, rank, source, chunk_index, total FROM f WHERE rank <= 40",
     "find_passages": """WITH f AS (SELECT b.item_id AS request_id, 'doc' || d.doc_id || '.md' AS source FROM benchmark b
-        JOIN documents d ON contains(d.text, substr(b.text, 21, 60))),
+        JOIN documents d ON contains(d.text, b.text)),
       r AS (SELECT *, count(*) OVER (PARTITION BY request_id) AS total, row_number() OVER (PARTITION BY request_id ORDER BY source) AS rank FROM f)
       SELECT request_id, rank, source, total FROM r WHERE rank <= 40""",
     "literal_lookup": f"""WITH RECURSIVE {FOUND_SQL}, t AS (SELECT request_id, max(total) AS total FROM f GROUP BY request_id)

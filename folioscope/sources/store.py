@@ -24,7 +24,10 @@ def matches(where: dict[str, object]) -> Column:
 
 
 def upsert_chunks(existing: DataFrame, incoming: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Insert or replace by id."""
+    """Insert or replace by id; of incoming rows with one id the last one stays."""
+    at = incoming.withColumn("_at", F.monotonically_increasing_id())
+    last = at.groupBy(key).agg(F.max_by(F.struct(*incoming.columns), "_at").alias("_row"))
+    incoming = last.select("_row.*")
     ids, _ = send_small(incoming.select(key))
     return existing.join(ids, key, "left_anti").unionByName(incoming)
 

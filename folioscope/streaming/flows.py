@@ -166,6 +166,24 @@ def feedback_join(interactions: DataFrame, votes: DataFrame, within: str = "7 da
     )
 
 
+def reconcile_feedback(interactions: DataFrame, votes: DataFrame) -> DataFrame:
+    """The join of :func:`feedback_join` over all kept rows, without a time bound: the last vote per trace.
+
+    A closing pass for votes that came later than a stream waits; unmatched rows of both sides stay.
+    """
+    last = last_by(votes.select(F.col("trace_id").alias("rated_trace"), "created_at", "verdict", "reason"), "rated_trace", ["created_at"])
+    left = interactions.select("trace_id", F.col("created_at").alias("asked_at"), "route")
+    right = last.withColumnRenamed("created_at", "rated_at")
+    return left.join(right, F.col("trace_id") == F.col("rated_trace"), "full_outer").select(
+        F.coalesce("trace_id", "rated_trace").alias("trace_id"),
+        "asked_at",
+        "rated_at",
+        F.coalesce(F.nullif("route", F.lit("")), F.lit("unknown")).alias("route"),
+        "verdict",
+        "reason",
+    )
+
+
 def append_votes(votes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keep every vote, one folder per batch; a repeated batch replaces its own folder."""
 
@@ -186,8 +204,3 @@ def metrics_with_raw_copy(requests: DataFrame, metrics_path: str, raw_path: str,
         write_files(window_metrics(requests, **options), metrics_path, f"{checkpoint}/metrics"),
         write_files(requests, raw_path, f"{checkpoint}/raw"),
     ]
-
-
-def closed_before(window_end: Column, latest: Column, delay: str) -> Column:
-    """Whether an append-mode stream has emitted a window by the end of its input."""
-    return window_end <= latest - F.expr(f"INTERVAL {delay}")
