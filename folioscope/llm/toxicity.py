@@ -220,9 +220,9 @@ def bags_of(texts: list[str]) -> Bags:
     chars, lengths, rows = np.concatenate(chars), np.concatenate(lengths), np.concatenate(rows)
     line = chars.view(f"S{WIDEST}").ravel()
     _, first, back = np.unique(line, return_index=True, return_inverse=True)
-    pairs = np.unique(np.stack([rows, back.astype(np.int64)], 1), axis=0)
+    pairs = np.unique(rows * len(first) + back)
     names = [chars[i, : lengths[i]].tobytes() for i in first]
-    return Bags(names, chars[first], lengths[first], pairs[:, 1], pairs[:, 0], len(texts))
+    return Bags(names, chars[first], lengths[first], pairs % max(1, len(first)), pairs // max(1, len(first)), len(texts))
 
 
 def fit(texts: list[str], toxic: list[int], landmarks: int = 64, rounds: int = 3, seed: int = 5, least_share: float = 0.02) -> Model:
@@ -256,7 +256,7 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 64, rounds: int = 3
     whiten = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
 
     def mapped(which: np.ndarray) -> np.ndarray:
-        parts = [dense([bags.names[i] for i in some]) @ z.T for some in np.array_split(which, len(which) // 500 + 1)]
+        parts = [dense([bags.names[i] for i in some]) @ z.T for some in np.array_split(which, len(which) // 60 + 1)]
         return np.concatenate(parts) @ whiten
 
     # Other segments: frequent ones, a draw of all, and in each round the most toxic of each clean text.
@@ -314,7 +314,7 @@ def _sigmoid(value: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[floa
     return float(a[0]), float(a[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 5000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 2500) -> Model:
     """Fit on the documents of at most ``max_rows`` labels, drawn by a hash of the id. Null labels are left out."""
     drawn = labels.where(F.col("toxic").isNotNull()).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # The drawn ids are at most ``max_rows`` rows, so they can be sent to the documents.
