@@ -1,8 +1,8 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
 Everything on the data path is a column expression: a row's text is split into words only if it holds a
-candidate, each candidate gets its features, and the trained forest is written out as nested conditions
-over them. There is no shuffle, no explode and no Python per row; a redacted text is built in its row.
+candidate, a word with a candidate is split into fields before every name that is given a value, each
+candidate of a field gets its features, and the trained forest is written out as nested conditions over them. There is no shuffle, no explode and no Python per row; a redacted text is built in its row.
 
 Features: length; shares of digits, capitals and hexadecimal letters; changes of character class;
 share of letters that dictionary words cover; shape of addresses; what the path (``source``) says; the
@@ -25,8 +25,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A run of sixteen or more characters that keys are written in, with a digit.
-CANDIDATE = r"(?=[A-Za-z_+/=.\-]*[0-9])[A-Za-z0-9_+/=.\-]{16,}"
+#: A run of sixteen or more characters that keys are written in, with a digit; ``=`` only pads its end.
+CANDIDATE = r"(?=[A-Za-z_+/.\-]*[0-9])[A-Za-z0-9_+/.\-]{16,}(?:={1,2}(?![A-Za-z0-9_+/=.\-]))?"
+#: Where a name with a value begins inside a word: compact JSON, query strings, lists of assignments.
+FIELD = r"(?<=[,;&?{(\[|])(?=[\"'`]?[A-Za-z0-9_.\-]+[\"'`]?[=:](?![=,;&|\])}]|$))"
 SPACES = r"[\t-\r ]+"
 # Words that occur in code and prose more than in keys.
 DICTIONARY = (
@@ -67,7 +69,8 @@ def _flag(condition: Column) -> Column:
     return F.coalesce(condition.cast("double"), F.lit(0.0))
 
 
-#: Features of a candidate ``x``: ``c`` its characters, ``w`` its word, ``b`` and ``a`` the words around, ``p`` the path.
+#: Features of a candidate ``x``: ``c`` its characters, ``w`` its field, ``front`` what stands before it there, ``b`` and ``a`` the
+#: words around, ``p`` the path.
 FEATURES: dict[str, Callable[[Column], Column]] = {
     "length": lambda x: F.least(F.length(x["c"]), F.lit(200)),
     "digits": lambda x: _share(x, "[0-9]"),
@@ -81,7 +84,7 @@ FEATURES: dict[str, Callable[[Column], Column]] = {
     "dictionary": _dictionary_share,
     "address": lambda x: F.when(x["w"].rlike("@|://|www[.]"), 1).when(x["c"].rlike("^[0-9.+-]+$"), 2).otherwise(0),
     "path": lambda x: F.when(x["p"].rlike(TEST_FILE), 1).when(x["p"].rlike(KEY_FILE), 2).otherwise(0),
-    "assigned": lambda x: _flag(F.concat_ws(" ", x["b"], x["front"]).rlike("[=:] *[\"'`]?$")),
+    "assigned": lambda x: _flag(F.concat_ws(" ", x["b"], x["front"]).rlike("[=:] *[\\[({]?[\"'`]?$")),
     "quoted": lambda x: _flag(x["front"].rlike("[\"'`]$")),
     "word_for": lambda x: _flag(x["b"].rlike(FOR) | x["front"].rlike(FOR)),
     "word_against": lambda x: _flag(F.concat_ws(" ", x["b"], x["w"], x["a"]).rlike(AGAINST)),
@@ -91,14 +94,25 @@ FEATURES: dict[str, Callable[[Column], Column]] = {
 def candidates(docs: DataFrame) -> DataFrame:
     """``docs`` with the array ``_found``: each candidate's word number, characters, surroundings, features."""
 
-    def one(words: Column, word: Column, i: Column) -> Column:
-        c = F.regexp_extract(word, CANDIDATE, 0)
+    def one(words: Column, word: Column, field: Column) -> Column:
+        """The candidates of a field. Values of a list share what stands before its first; a later field has its own name."""
+        i, first = word["i"], field["j"] == 0
         around = lambda k: F.coalesce(F.get(words, i + (k - 1)), F.lit(""))
         before = F.concat_ws(" ", *(F.coalesce(F.get(words, i - k), F.lit("")) for k in (3, 2, 1)))
-        return F.struct(
-            i.alias("place"), c.alias("c"), word.alias("w"), F.regexp_extract(word, "^(.*?)(?:" + CANDIDATE + ")", 1).alias("front"),
-            before.alias("b"), around(2).alias("a"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("p"),
-        )
+        between = lambda k: F.get(field["fronts"], k)
+        return F.transform(field["cs"], lambda c, k: F.struct(
+            i.alias("place"), c.alias("c"), field["f"].alias("w"),
+            F.when(between(k).rlike("[A-Za-z0-9=:]"), between(k)).otherwise(between(F.lit(0))).alias("front"),
+            F.when(first, before).otherwise("").alias("b"), around(2).alias("a"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("p"),
+        ))
+
+    def fields(word: Column) -> Column:
+        """Fields of a word with their candidates, and the text before each."""
+        parts = F.transform(F.split(word["w"], FIELD), lambda f, j: F.struct(f.alias("f"), j.alias("j")))
+        return F.transform(F.filter(parts, lambda y: y["f"].rlike(CANDIDATE)), lambda y: F.struct(
+            y["f"].alias("f"), y["j"].alias("j"), F.regexp_extract_all(y["f"], F.lit(CANDIDATE), F.lit(0)).alias("cs"),
+            F.split(y["f"], CANDIDATE, -1).alias("fronts"),
+        ))
 
     def featured(x: Column) -> Column:
         return F.struct(x["place"].alias("place"), x["c"].alias("c"), *(f(x).cast("double").alias(n) for n, f in FEATURES.items()))
@@ -106,8 +120,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     words = F.split("text", SPACES)
     hits = F.transform(F.array(words), lambda ws: F.transform(F.filter(
         F.transform(ws, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda y: y["w"].rlike(CANDIDATE)
-    ), lambda y: one(ws, y["w"], y["i"])))
-    found = F.transform(F.flatten(hits), featured)
+    ), lambda y: F.flatten(F.transform(fields(y), lambda f: one(ws, y, f)))))
+    found = F.transform(F.flatten(F.flatten(hits)), featured)
     return docs.withColumn("_found", F.when(F.col("text").rlike(CANDIDATE), found))
 
 

@@ -226,6 +226,24 @@ def test_secret_scan(spark):
     assert secret_scan.redact(docs, forest).columns == docs.columns
 
 
+def test_secrets_inside_one_word(spark):
+    draw = random.Random(16)
+    key = lambda: "".join(draw.choice("0123456789abcdef") for _ in range(40))
+    train = [(i, f'token = "{key()}" ' + prose(draw, 5) + (f" see commit {key()} in config-{i}-service.yaml" if i % 2 else "")) for i in range(60)]
+    forest = secret_scan.train(secret_scan.labelled_findings(frame(spark, train)))
+    a, b, c, d = key(), key(), key(), key()
+    rows = [
+        (0, f'{{"file":"config-2024-service.yaml","token":"{a}"}}'), (1, f"token={a},{b}"), (2, f'{{"tokens":["{a}","{b}","{c}"]}}'),
+        (3, f"https://www.example.org/a?page=20&token={a}&secret={b} end"), (4, f"commit={a};token={b};digest={c};auth={d}"),
+    ]
+    docs = frame(spark, rows)
+    got = {r.doc_id: [x.secret for x in r.secrets] for r in secret_scan.scan(docs, forest).collect()}
+    assert got == {0: [a], 1: [a, b], 2: [a, b, c], 3: [a, b], 4: [b, d]}
+    clean = {r.doc_id: r.text for r in secret_scan.redact(docs, forest).collect()}
+    assert clean[0] == '{"file":"config-2024-service.yaml","token":"[secret]"}'
+    assert clean[4] == f"commit={a};token=[secret];digest={c};auth=[secret]"
+
+
 def test_toxicity(spark):
     draw = random.Random(7)
     insults = ["idiot", "moron", "scum"]
