@@ -9,6 +9,9 @@ A run's context is all that its windows cover. Runs with equal contexts (a class
 only where an anchor has several classes do windows have to be compared one by one, and one run of each
 class stands for the others. Counting and classing are grouped sums with partial aggregation, so a passage
 that a third of all documents hold costs a row per task and class before the shuffle.
+
+A text is known by ``doc``, its id, and ``copy``, a 64-bit hash of its bytes, so that rows without an id, or
+with one id and different texts, each have their own runs and spans.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from folioscope.llm.shared import Roller, Texts, in_arrow, mix, text_blocks, wri
 U = np.uint64
 #: Stands for a document without an id.
 NO_ID = -(2**63)
-RUN = "anchor long, context long, doc long, start int, windows int, left int"
+RUN = "anchor long, context long, doc long, copy long, start int, windows int, left int"
 
 
 @dataclass
@@ -89,24 +92,30 @@ def runs_of(units: Units, window: int, anchor: int, roller: Roller) -> Runs | No
     return Runs(hashes[position[start]], context, rows, start - units.offsets[rows], count, position[start] - start)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` of every row, with ``doc`` and ``copy``, which its text is known by."""
+    return docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("copy"))
+
+
 def runs_table(docs: DataFrame, units: Callable[[Texts], Units], window: int, anchor: int, roller: Roller) -> DataFrame:
-    """Every run of every row; ``doc`` is ``doc_id``."""
+    """Every run of every row."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        ids = batch.column(0).fill_null(NO_ID).to_numpy()
-        for texts in text_blocks(batch.column(1), 1 << 20):
+        doc, copy = (batch.column(c).to_numpy() for c in (0, 1))
+        for texts in text_blocks(batch.column(2), 1 << 20):
             found = runs_of(units(texts), window, anchor, roller)
             if found is not None:
                 yield {
                     "anchor": found.anchor.view(np.int64),
                     "context": found.context.view(np.int64),
-                    "doc": ids[texts.first + found.row],
+                    "doc": doc[texts.first + found.row],
+                    "copy": copy[texts.first + found.row],
                     "start": found.start,
                     "windows": found.windows,
                     "left": found.left,
                 }
 
-    return in_arrow(docs.select("doc_id", "text"), run, RUN)
+    return in_arrow(keyed(docs).select("doc", "copy", "text"), run, RUN)
 
 
 @dataclass
@@ -119,12 +128,12 @@ class Repeats:
 
 
 def repeats(runs: DataFrame) -> Repeats:
-    """Keep the runs with a repeated anchor, and class them. ``first`` is a class's smallest (doc, start)."""
+    """Keep the runs with a repeated anchor, and class them. ``first`` is a class's smallest (doc, copy, start)."""
     # A table of its own leaves the join between two plain shuffles, whose large partitions Spark can split.
     anchors = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     anchors = written(anchors, "anchors")
     members = written(runs.join(anchors, "anchor"), "runs")
-    least = F.min(F.struct("doc", "start", "windows", "left")).alias("first")
+    least = F.min(F.struct("doc", "copy", "start", "windows", "left")).alias("first")
     classes = written(members.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), least), "classes")
     several = written(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "several")
     flat = classes.join(several, "anchor").select("anchor", "context", "n", "size", "first.*")
@@ -141,6 +150,6 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def per_document(spans: DataFrame) -> DataFrame:
-    """``doc, starts, ends``: the spans of a document, in one row; a document bounds them."""
-    gathered = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return gathered.select("doc", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+    """``copy, doc, starts, ends``: the spans of a text, in one row; rows repeating a text have them once."""
+    gathered = spans.groupBy("copy", "doc").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return gathered.select("copy", "doc", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))

@@ -12,7 +12,7 @@ Anchors with more than ``PART`` classes are dealt over several tasks by a salt;
 across the parts by grouped counts of window hashes.
 
 Null is the empty text. Texts shorter than a window lose nothing. Equal rows are each other's repetition;
-ids are taken as keys of texts, other columns are not read.
+rows without an id, or with one id, are told apart by their texts, other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.repeats import NO_ID, Units, merged, per_document, repeats, runs_table
+from folioscope.llm.repeats import Units, keyed, merged, per_document, repeats, runs_table
 from folioscope.llm.shared import BYTES, SECOND, Texts, in_arrow, likely_split, mix, streamed, text_blocks, written
 
 U = np.uint64
@@ -143,10 +143,9 @@ def repeated_windows(group: np.ndarray, context: list[bytes], left: np.ndarray,
 
 def _contexts(docs: DataFrame, open_: DataFrame, window: int) -> DataFrame:
     """The rows of ``open_`` with ``text``, the bytes that their windows cover."""
-    wanted = written(open_.groupBy("doc").agg(F.collect_list(F.struct("anchor", "size", "n", "start", "windows", "left")).alias("runs")), "wanted")
-    keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
-    some, _ = likely_split(keyed, wanted, "doc")
-    joined = some.join(wanted, "doc").select("doc", F.col("text").cast("binary").alias("text"), "runs")
+    wanted = written(open_.groupBy("copy", "doc").agg(F.collect_list(F.struct("anchor", "size", "n", "start", "windows", "left")).alias("runs")), "wanted")
+    some, _ = likely_split(keyed(docs), wanted, "copy")
+    joined = some.join(wanted, ["copy", "doc"]).select("doc", F.col("text").cast("binary").alias("text"), "runs", "copy")
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for i in range(batch.num_rows):
@@ -156,10 +155,11 @@ def _contexts(docs: DataFrame, open_: DataFrame, window: int) -> DataFrame:
             yield {
                 **{c: rows[c] for c in rows.column_names},
                 "doc": np.full(rows.num_rows, batch.column(0)[i].as_py()),
+                "copy": np.full(rows.num_rows, batch.column(3)[i].as_py()),
                 "text": pa.array([text[a:b] for a, b in zip(rows["start"].to_numpy().tolist(), ends.tolist(), strict=True)], pa.binary()),
             }
 
-    return in_arrow(joined, run, "anchor long, size long, n long, doc long, start int, windows int, left int, text binary")
+    return in_arrow(joined, run, "anchor long, size long, n long, doc long, copy long, start int, windows int, left int, text binary")
 
 
 def _sorted_windows(contexts: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -168,19 +168,19 @@ def _sorted_windows(contexts: DataFrame, window: int, anchor: int) -> DataFrame:
     ``kind`` is ``span`` (``start``, ``end``) or ``window`` (``start``, hashes ``one`` and ``two``, ``alone``:
     whether it is not settled yet). One window of each value stands for a part.
     """
-    schema = "doc long, kind string, start int, end int, one long, two long, alone boolean"
+    schema = "doc long, copy long, kind string, start int, end int, one long, two long, alone boolean"
 
     def settle(table: pa.Table) -> Iterator[dict]:
         parts = table["part"].to_numpy()
         group = np.unique(np.stack([table["anchor"].to_numpy(), parts], 1), axis=0, return_inverse=True)[1].ravel()
         context = table["text"].to_pylist()
-        doc, start, windows, left, n = (table[c].to_numpy() for c in ("doc", "start", "windows", "left", "n"))
+        doc, copy, start, windows, left, n = (table[c].to_numpy() for c in ("doc", "copy", "start", "windows", "left", "n"))
         found = repeated_windows(group, context, left.astype(np.int64), windows.astype(np.int64), window, anchor)
         found |= (n > 1)[:, None]
         i, distance = np.nonzero(found)
         inside = (distance <= left[i]) & (distance > left[i] - windows[i]) & (n[i] == 1)
         i, begin = i[inside], (start[i] + left[i] - distance)[inside]
-        yield {"doc": doc[i], "kind": pa.array(["span"] * len(i)), "start": begin, "end": begin + window}
+        yield {"doc": doc[i], "copy": copy[i], "kind": pa.array(["span"] * len(i)), "start": begin, "end": begin + window}
         several = np.flatnonzero(table["size"].to_numpy() > PART)
         for k in several:
             data = np.frombuffer(context[k], np.uint8)
@@ -188,7 +188,7 @@ def _sorted_windows(contexts: DataFrame, window: int, anchor: int) -> DataFrame:
             one, two = (mix(r.ranges(r.prefixes(data), at, at + window)) for r in (BYTES, SECOND))
             alone = ~found[k, left[k] - at]
             yield {
-                "doc": np.full(len(at), doc[k]), "kind": pa.array(["window"] * len(at)), "start": start[k] + at,
+                "doc": np.full(len(at), doc[k]), "copy": np.full(len(at), copy[k]), "kind": pa.array(["window"] * len(at)), "start": start[k] + at,
                 "end": start[k] + at + window, "one": one.view(np.int64), "two": two.view(np.int64), "alone": alone,
             }
 
@@ -215,22 +215,23 @@ def _sorted_windows(contexts: DataFrame, window: int, anchor: int) -> DataFrame:
             yield from settle(pa.Table.from_batches(held))
 
     salts = F.ceil(F.col("size") / F.lit(PART)).cast("int")
-    dealt = contexts.withColumn("part", F.when(F.col("size") > PART, F.pmod(F.xxhash64("doc", "start"), salts)).otherwise(0).cast("int"))
+    dealt = contexts.withColumn("part", F.when(F.col("size") > PART, F.pmod(F.xxhash64("doc", "copy", "start"), salts)).otherwise(0).cast("int"))
     ordered = dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
     return streamed(ordered, run, schema)
 
 
 def repeated_spans(docs: DataFrame, window: int = 400, anchor: int | None = None) -> DataFrame:
-    """``doc, start, end``: byte ranges covered by repeated windows; they may overlap and touch."""
+    """``doc, copy, start, end``: byte ranges covered by repeated windows; they may overlap and touch."""
     anchor = anchor or window // 2
     found = repeats(runs_table(docs, _bytes, window, anchor, BYTES))
     common = found.classes.where("n > 1").select("anchor", "context")
-    whole = found.members.join(common, ["anchor", "context"]).selectExpr("doc", "start", f"start + windows - 1 + {window} as end")
+    whole = found.members.join(common, ["anchor", "context"]).selectExpr("doc", "copy", "start", f"start + windows - 1 + {window} as end")
     settled = written(_sorted_windows(_contexts(docs, found.open, window), window, anchor), "settled")
     others = settled.where("kind = 'window'")
     again = written(others.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "again")
     late = others.where("alone").join(again, ["one", "two"])
-    return whole.unionByName(settled.where("kind = 'span'").select("doc", "start", "end")).unionByName(late.select("doc", "start", "end"))
+    columns = ["doc", "copy", "start", "end"]
+    return whole.unionByName(settled.where("kind = 'span'").select(*columns)).unionByName(late.select(*columns))
 
 
 def remove_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
@@ -239,9 +240,8 @@ def remove_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
     Removal may cut a character; its remaining bytes are in ``kept`` (binary) as they are.
     """
     spans = written(per_document(repeated_spans(docs, window)), "spans")
-    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"))
-    some, rest = likely_split(keyed, spans, "doc")
-    joined = some.join(spans, "doc", "left").select("doc_id", "text", "starts", "ends")
+    some, rest = likely_split(keyed(docs), spans, "copy")
+    joined = some.join(spans, ["copy", "doc"], "left").select("doc_id", "text", "starts", "ends")
     rest = rest.selectExpr("doc_id", "text", "cast(null as array<int>) starts", "cast(null as array<int>) ends")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 

@@ -430,6 +430,29 @@ def test_rows_without_ids_and_repeated_rows(spark):
     assert merkle.against_next(docs).count() == 6
 
 
+@pytest.mark.parametrize("part", [2048, 1])
+def test_texts_without_their_own_id_are_cut_apart(spark, part, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PART", part)
+    draw = random.Random(15)
+    passage, own = prose(draw, 60), [prose(draw, 150) for _ in range(8)]
+    # Null ids and a repeated id: different texts, one with the passage at another place in each, some without it.
+    texts = [own[0] + " " + passage, passage + " " + own[1], own[2], own[3] + " " + passage, passage + " " + own[4], own[5]]
+    ids = [None, None, None, 5, 5, 5]
+    docs = frame(spark, [*zip(ids, texts, strict=True), (9, passage)])
+    expected = without_bytes(list(enumerate([*texts, passage])), 100)
+    got = Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, 100).collect())
+    assert got == Counter(expected.values())
+    words = {(r.n_words, r.n_removed, bytes(r.kept, "utf8")) for r in debruijn_dedup.remove_repeats(docs).collect()}
+    kept = [tuple((len(t.split()), 60, t.replace(passage, "").strip().encode()) for t in texts if passage in t)]
+    whole = {(len(t.split()), 0, t.encode()) for t in texts}
+    first = {x for x in words if x[1] == 0 and passage.encode() in x[2]}
+    # The passage stays in one text without an id, wherever it stands there.
+    assert len(first) == 1 and first <= {(210, 0, texts[0].encode()), (210, 0, texts[1].encode())}
+    assert words - first == {x for x in kept[0] if x[2] not in {next(iter(first))[2].replace(passage.encode(), b"").strip()}} | {(60, 60, b"")} | {
+        x for x in whole if passage.encode() not in x[2]
+    }
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline as pipeline
 
