@@ -463,3 +463,76 @@ def test_pipeline_stages(spark, sf_dir):
         out = stage(spark, docs, sf_dir)
         assert out.columns == pipeline.COLUMNS and 3 <= out.count() <= docs.count()
     assert pipeline.run(spark, sf_dir).where(F.col("length") > 2048).count() == 0
+
+
+def covered(text, item):
+    """Share of an item's words that runs of five words shared with the text cover."""
+    have, words = lowered(text), lowered(item)
+    seeds = {tuple(have[k : k + 5]) for k in range(len(have) - 4)}
+    hit = {k + j for k in range(len(words) - 4) if tuple(words[k : k + 5]) in seeds for j in range(5)}
+    return len(hit) / len(words)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    draw = random.Random(17)
+    key = lambda: "".join(draw.choice("0123456789abcdef") for _ in range(40))
+    insults = ["idiot", "moron", "scum"]
+    items = [prose(draw, 40) for _ in range(4)]
+    texts, labels, keys = {}, [], []
+    for i in range(400):
+        words = prose(draw, 40).split()
+        if i % 4 == 0:
+            words[draw.randrange(40)] = draw.choice(insults)
+        texts[i] = " ".join(words)
+        labels.append((i, 1, int(i % 4 == 0)))
+        if i % 4 == 1:
+            keys.append(key())
+            texts[i] += f' token = "{keys[-1]}" ' + prose(draw, 5)
+        elif i % 4 == 2:
+            texts[i] += f" see commit {key()} or mail user{i}@mail.example.com 2024-01-02T10:11:12.000"
+    near = texts[3].split()
+    near[20] = "changed"
+    base = prose(draw, 120).split()
+    texts |= {500: texts[1], 501: texts[7], 502: " ".join(near), 503: " ".join(base), 504: " ".join([*base[:60], "changed", *base[61:]])}
+    texts |= {510: "before " + items[0].upper() + " after", 511: " ".join(items[1].split()[20:] + ["between"] + items[1].split()[:20])}
+    texts |= {512: " ".join(items[2].split()[:15]), 513: prose(draw, 60), 514: "", 515: None}
+    sf_dir = str(tmp_path)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf_dir}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{sf_dir}/benchmark.parquet")
+    docs = frame(spark, list(texts.items())).select(*pipeline.COLUMNS)
+    docs.write.parquet(f"{sf_dir}/documents.parquet")
+
+    def toxic(have):
+        return {i: t for i, t in have.items() if not set(insults) & set(lowered(t))}
+
+    def near_duplicates(have):
+        root = classes(list(have.items()))
+        return {i: t for i, t in have.items() if root[i][1] == i}
+
+    def contaminated(have):
+        return {i: t for i, t in have.items() if max(covered(t, item) for item in items) < 0.6}
+
+    def secrets(have):
+        return {i: t and re.sub("|".join(keys), "[secret]", t) for i, t in have.items()}
+
+    have, changed = texts, []
+    for (_, stage), brute in zip(pipeline.STAGES, (toxic, near_duplicates, contaminated, secrets), strict=False):
+        rows = stage(spark, docs, sf_dir).persist()
+        expected = brute(have)
+        assert sorted((r.doc_id, r.text) for r in rows.collect() if r.text is not None) == sorted((i, t) for i, t in expected.items() if t is not None)
+        assert rows.count() == len(expected)
+        changed.append(expected != have)
+        docs, have = rows, expected
+    # Every stage had something to do, and clean documents stay.
+    assert all(changed) and {3, 503, 512, 513, 514, 515} <= set(have) and not {0, 500, 501, 502, 504, 510, 511} & set(have)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokens = Tokenizer.from_file(path)
+    expected = {i: len(tokens.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in have.items()}
+    pieces = pipeline.run(spark, sf_dir).collect()
+    got, filled = Counter(), Counter()
+    for r in pieces:
+        got[r.doc_id] += r.length
+        filled[r.sequence_id] += r.length
+    assert got == expected and max(filled.values()) <= 2048
