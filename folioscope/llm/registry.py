@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import debruijn_dedup, decontaminate, jaccard, merkle, packing, quality, secret_scan, suffix_dedup, token_counts, toxicity
+from folioscope.llm import debruijn_dedup, decontaminate, jaccard, merkle, packing, quality, secret_scan, sharding, suffix_dedup, token_counts, toxicity
 from folioscope.llm.shared import bucket, documents_of
 
 
@@ -77,6 +77,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents_of(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 40, of nearly equal bytes, with equal texts together."""
+    return sharding.shard_by_bytes(documents_of(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
+    "op12_sharding": op12_sharding,
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
