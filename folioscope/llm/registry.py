@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import debruijn_dedup, decontaminate, jaccard, merkle, packing, quality, secret_scan, sharding, suffix_dedup, token_counts, toxicity
+from folioscope.llm import debruijn_dedup, decontaminate, jaccard, merkle, packing, prefix_trie, quality, secret_scan, sharding, suffix_dedup, token_counts, toxicity
 from folioscope.llm.shared import bucket, documents_of
 
 
@@ -82,6 +82,11 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(documents_of(spark, sf_dir))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie over the rebuilt conversations, with sums over its subtree."""
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
     "op12_sharding": op12_sharding,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -128,4 +134,32 @@ ORACLES: dict[str, str] = {
             FROM t LEFT JOIN g ON g.doc_id = t.doc_id AND g.i = t.i GROUP BY t.doc_id)
         SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM w LEFT JOIN k USING (doc_id)""",
+    "op13_prefix_trie": f"""
+        WITH t AS (
+            SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS i
+            FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (SELECT c, list(struct_pack(role := role, text := text) ORDER BY i) AS turns FROM t GROUP BY c),
+        h AS (
+            SELECT c, turns, xor(list_reduce(
+                flatten([[4294967295::BIGINT], flatten([[ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR x IN string_split(c::VARCHAR, '')])]),
+                lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, (s & 1) * 3988292384) END), 4294967295) % 4 AS h
+            FROM o),
+        r AS (
+            SELECT h.c, list_concat(coalesce(b.turns[1:h.h], []), h.turns[h.h + 1:]) AS turns FROM h LEFT JOIN o b ON b.c = h.c - h.c % 20),
+        p AS (SELECT c, unnest(generate_series(0, len(turns))) AS d, turns FROM r),
+        k AS (SELECT c, d, sha256(CAST(turns[1:d] AS VARCHAR)) AS k, turns[d].text AS last_text, d = len(turns) AS ends FROM p),
+        n AS (
+            SELECT d, k, min(c) AS m, count(*) AS n_convs, (count(*) - 1) * max(len(regexp_extract_all(coalesce(last_text, ''), '{WORD}'))) AS saved,
+                sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM k GROUP BY d, k),
+        a AS (SELECT k.c, n.d, n.m FROM k JOIN n USING (d, k)),
+        e AS (SELECT n.d, n.m, a.m AS parent FROM n JOIN a ON a.c = n.m AND a.d = n.d - 1),
+        f AS (SELECT d - 1 AS d, parent AS m, count(*) AS n_children FROM e GROUP BY ALL),
+        v AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN f USING (d, m)),
+        s AS (
+            SELECT a.d, a.m, count(*) FILTER (v.n_children = 0) AS n_leaves, sum(v.saved) AS saved_tokens
+            FROM v JOIN a ON a.c = v.m AND a.d <= v.d GROUP BY a.d, a.m)
+        SELECT v.m AS conv_id, v.d AS depth, e.parent AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves,
+            CAST(s.saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+        FROM v JOIN s USING (d, m) LEFT JOIN e USING (d, m)""",
 }
