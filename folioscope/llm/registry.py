@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import debruijn_dedup, decontaminate, jaccard, merkle, packing, prefix_trie, quality, secret_scan, sharding, suffix_dedup, token_counts, toxicity
+from folioscope.llm import collocations, debruijn_dedup, decontaminate, jaccard, merkle, packing, prefix_trie, quality, secret_scan, sharding, suffix_dedup, token_counts, toxicity
 from folioscope.llm.shared import bucket, documents_of
 
 
@@ -77,6 +77,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents_of(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 best phrases of two to four words, by the score of their weakest cut."""
+    return collocations.collocations(documents_of(spark, sf_dir))
+
+
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 40, of nearly equal bytes, with equal texts together."""
     return sharding.shard_by_bytes(documents_of(spark, sf_dir))
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
+    "op11_collocations": op11_collocations,
     "op12_sharding": op12_sharding,
     "op13_prefix_trie": op13_prefix_trie,
 }
@@ -134,6 +140,29 @@ ORACLES: dict[str, str] = {
             FROM t LEFT JOIN g ON g.doc_id = t.doc_id AND g.i = t.i GROUP BY t.doc_id)
         SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM w LEFT JOIN k USING (doc_id)""",
+    "op11_collocations": rf"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                unnest(regexp_split_to_array(translate(coalesce(text, ''), '{CAPITALS}', '{SMALL}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+        t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+        g AS (
+            SELECT lang, size, unnest([array_to_string(ws[i:i + size - 1], ' ') FOR i IN generate_series(1, len(ws) - size + 1)]) AS phrase
+            FROM w, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE len(ws) >= size),
+        f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+        c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1),
+        k AS (SELECT *, unnest(generate_series(1, size - 1)) AS k FROM c),
+        s AS (
+            SELECT k.lang, k.phrase, k.a, k.ws, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * k.a) // (x.f + y.f) AS BIGINT) AS score, k
+            FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(ws[1:k], ' ')
+            JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(ws[k + 1:], ' ')),
+        m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        i AS (SELECT lang, a, ws, size, unnest(generate_series(2, size - 1)) AS length FROM c WHERE size > 2),
+        j AS (SELECT lang, a, unnest([array_to_string(ws[x:x + length - 1], ' ') FOR x IN generate_series(1, size - length + 1)]) AS phrase FROM i),
+        d AS (SELECT lang, phrase, max(a) AS longer FROM j GROUP BY ALL)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM m LEFT JOIN d USING (lang, phrase) JOIN t USING (lang)
+        WHERE longer IS NULL OR 100 * longer < 80 * a QUALIFY rank <= 2000""",
     "op13_prefix_trie": f"""
         WITH t AS (
             SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
