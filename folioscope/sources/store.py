@@ -1,11 +1,12 @@
 """The chunk table: upserts, replacement per document, deletes, scans, signatures.
 
-The functions are plain DataFrame algebra. :class:`ChunkTable` keeps the result as Parquet,
-partitioned by a hash bucket of the source, and rewrites only the buckets a change touches.
+The functions are plain DataFrame algebra. :class:`ChunkTable` keeps the result in versions whose
+readers never see half a change, and holds vectors of one embedder and one size only.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +15,7 @@ from pyspark.sql import functions as F
 from folioscope import schemas
 from folioscope.operators.retrieval import send_small
 from folioscope.session import materialise
-
-BUCKETS = 256
+from folioscope.sources.versions import BUCKETS, Change, Manifest, VersionedTable
 
 
 def matches(where: dict[str, object]) -> Column:
@@ -23,22 +23,46 @@ def matches(where: dict[str, object]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(v)) for k, v in where.items()], F.lit(True))
 
 
-def upsert_chunks(existing: DataFrame, incoming: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Insert or replace by id; of incoming rows with one id the last one stays."""
-    at = incoming.withColumn("_at", F.monotonically_increasing_id())
-    last = at.groupBy(key).agg(F.max_by(F.struct(*incoming.columns), "_at").alias("_row"))
-    incoming = last.select("_row.*")
+def last_rows(incoming: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """One row per key: the last by ``order``, equal ones and a missing order settled by the rows' values."""
+    row = F.struct(*incoming.columns)
+    last = incoming.groupBy(key).agg(F.max_by(row, F.struct(*(order or []), row)).alias("_row"))
+    return last.select("_row.*")
+
+
+def upsert_chunks(existing: DataFrame, incoming: DataFrame, key: str = "chunk_id", order: list[str] | None = None) -> DataFrame:
+    """Insert or replace by id; of incoming rows with one id the last by ``order`` stays.
+
+    A table has no last row of its own, so without ``order`` the row with the largest values stays, which is
+    the same one at every run.
+    """
+    incoming = last_rows(incoming, key, order)
     ids, _ = send_small(incoming.select(key))
-    return existing.join(ids, key, "left_anti").unionByName(incoming)
+    return existing.join(ids, key, "left_anti").unionByName(incoming.select(*existing.columns))
+
+
+@dataclass(frozen=True)
+class Space:
+    """The vector space of some chunks: which embedder made them, and their size."""
 
+    signature: str
+    size: int
 
-def check_vectors(chunks: DataFrame) -> None:
-    """Refuse chunks without vectors or with more than one dimension."""
-    sizes = chunks.agg(
-        F.min(F.coalesce(F.size("vector"), F.lit(-1))).alias("low"), F.max(F.size("vector")).alias("high")
-    ).first()
-    if sizes["low"] is not None and (sizes["low"] <= 0 or sizes["low"] != sizes["high"]):
-        raise ValueError(f"vectors of sizes {sizes['low']} to {sizes['high']}; every chunk needs one of the same size")
+
+def vector_space(chunks: DataFrame) -> Space | None:
+    """The one space all chunks share, None for no chunks; anything else is an error."""
+    size = F.coalesce(F.size("vector"), F.lit(-1))
+    found = chunks.agg(
+        F.count("*").alias("n"), F.min(size).alias("low"), F.max(size).alias("high"),
+        F.count("signature").alias("signed"), F.min("signature").alias("first"), F.max("signature").alias("last"),
+    ).first()
+    if not found["n"]:
+        return None
+    if found["low"] <= 0 or found["low"] != found["high"]:
+        raise ValueError(f"vectors of sizes {found['low']} to {found['high']}; every chunk needs one of the same size")
+    if found["signed"] != found["n"] or found["first"] != found["last"]:
+        raise ValueError(f"vectors of {found['first']!r}, {found['last']!r} and {found['n'] - found['signed']} unsigned ones; a write needs one embedder")
+    return Space(found["first"], found["low"])
 
 
 def replace_documents(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -99,96 +123,99 @@ def reindex_report(docs: DataFrame, chunks: DataFrame, rejects: DataFrame | None
     return report
 
 
+@dataclass(frozen=True)
+class Written:
+    """What a write did: the version it made, and whether vectors of another embedder went."""
+
+    version: int
+    reset: bool = False
+
+
 class ChunkTable:
-    """Stored chunks under a shared path.
+    """Stored chunks under a shared path, in versions.
 
-    Each bucket directory holds one keeper row without an id, so that a bucket whose documents
-    were all deleted is overwritten too. A change is checkpointed before its buckets are
-    overwritten; running it again gives the same table.
+    The first write fixes embedder and vector size. Chunks of another embedder end the old table: its rows
+    cannot be compared with theirs, so they go in the same version that brings the new ones, and the writer is
+    told. Another vector size under the same signature is an error.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path, buckets
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("source"), F.lit(self.buckets)).cast("int")
-
-    def _exists(self) -> bool:
-        try:
-            self._raw().schema
-        except Exception as exc:
-            if "PATH_NOT_FOUND" in str(exc):
-                return False
-            raise
-        return True
-
-    def _raw(self) -> DataFrame:
-        # Before the first write the folder is missing, which the caller checks.
-        return self.spark.read.parquet(self.path)
-
-    def read(self) -> DataFrame:
-        """All chunks; an absent table is empty."""
-        if not self._exists():
-            return self.spark.createDataFrame([], schemas.STORED_CHUNKS)
-        return self._raw().where("chunk_id is not null").drop("bucket").select(*schemas.STORED_CHUNKS.names)
+        self.spark = spark
+        self.versions = VersionedTable(spark, path, schemas.STORED_CHUNKS, "source", ("source", "chunk_index"), buckets)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """All chunks of a version, by default the last; an absent table is empty."""
+        return self.versions.read(self.versions.manifest(version))
+
+    def space(self) -> Space | None:
+        """The space the table is bound to, None before the first write."""
+        facts = self.versions.manifest().facts
+        return Space(facts["signature"], facts["size"]) if facts.get("signature") is not None else None
 
     def check_signature(self, signature: str) -> bool:
-        """True when the stored vectors belong to another space and were dropped."""
-        kept = self.read()
-        foreign = kept.where(~F.col("signature").eqNullSafe(F.lit(signature))).limit(1)
-        if foreign.isEmpty():
-            return False
-        self._overwrite(self.spark.createDataFrame([], schemas.STORED_CHUNKS), self._all_buckets())
-        return True
-
-    def replace_documents(self, incoming: DataFrame) -> None:
-        """Swap in the chunks of whole documents."""
-        check_vectors(incoming)
-        fresh = materialise(incoming.select(*schemas.STORED_CHUNKS.names))
-        touched = self._touched(fresh.select("source"))
-        self._overwrite(replace_documents(self._rows_of(touched), fresh), touched)
+        """True when the stored vectors belong to another embedder and were dropped."""
+        dropped = [False]
+
+        def build(base: Manifest) -> Change | None:
+            dropped[0] = base.facts.get("signature") not in (None, signature)
+            return Change(None, None, {}) if dropped[0] else None
 
-    def upsert(self, incoming: DataFrame) -> None:
-        """Insert or replace by chunk id; an id never changes its source."""
-        check_vectors(incoming)
+        self.versions.change(build)
+        return dropped[0]
+
+    def _swap(self, incoming: DataFrame, merge: object) -> Written:
+        """Publish ``merge(base, rows)``, a pair of rows and touched buckets, within one vector space."""
         fresh = materialise(incoming.select(*schemas.STORED_CHUNKS.names))
-        touched = self._touched(fresh.select("source"))
-        self._overwrite(upsert_chunks(self._rows_of(touched), fresh), touched)
+        space = vector_space(fresh)
+        before = []
+
+        def build(base: Manifest) -> Change | None:
+            known = base.facts.get("signature")
+            reset = bool(base.folders) and known != space.signature
+            if not reset and base.folders and base.facts["size"] != space.size:
+                raise ValueError(f"vectors of size {space.size}; the table holds vectors of size {base.facts['size']} by {known}")
+            before[:] = [reset]
+            rows, touched = (last_rows(fresh, "chunk_id"), None) if reset else merge(base, fresh)
+            return Change(rows, touched, {"signature": space.signature, "size": space.size})
+
+        if space is None:
+            return Written(self.versions.manifest().version)
+        return Written(self.versions.change(build).version, before[0])
+
+    def replace_documents(self, incoming: DataFrame) -> Written:
+        """Swap in the chunks of whole documents."""
+
+        def merge(base: Manifest, fresh: DataFrame) -> tuple[DataFrame, set[int]]:
+            touched = self.versions.buckets_with(base, fresh)
+            return replace_documents(self.versions.read(base, touched), fresh), touched
+
+        return self._swap(incoming, merge)
+
+    def upsert(self, incoming: DataFrame) -> Written:
+        """Insert or replace by chunk id, wherever the id was stored before."""
+
+        def merge(base: Manifest, fresh: DataFrame) -> tuple[DataFrame, set[int]]:
+            ids, _ = send_small(fresh.select("chunk_id").distinct())
+            held = self.versions.read(base).select("chunk_id", "source").join(ids, "chunk_id", "left_semi")
+            touched = self.versions.buckets_with(base, fresh.select("source").unionByName(held.select("source")))
+            return upsert_chunks(self.versions.read(base, touched), fresh), touched
+
+        return self._swap(incoming, merge)
+
+    def rebuild(self, incoming: DataFrame) -> Written:
+        """Put ``incoming`` in the place of everything."""
+        return self._swap(incoming, lambda base, fresh: (last_rows(fresh, "chunk_id"), None))
 
     def delete_where(self, where: dict[str, object]) -> int:
-        """Delete under all equalities, return how many rows went."""
+        """Delete under all equalities, return how many rows went; no version is made for none."""
         if not where:
             raise ValueError("a delete needs at least one condition")
-        sources = self.read().where(matches(where)).select("source").distinct()
-        touched = self._touched(sources)
-        kept, gone = delete_where(self._rows_of(touched), where)
-        if gone:
-            self._overwrite(kept, touched)
-        return gone
-
-    def _all_buckets(self) -> list[int]:
-        return list(range(self.buckets))
-
-    def _touched(self, sources: DataFrame) -> list[int]:
-        rows = sources.select(self._bucket().alias("b")).distinct().collect()  # at most one row per bucket
-        return sorted(r["b"] for r in rows)
-
-    def _rows_of(self, buckets: list[int]) -> DataFrame:
-        if not self._exists():
-            return self.spark.createDataFrame([], schemas.STORED_CHUNKS)
-        rows = self._raw().where(F.col("bucket").isin(buckets) & F.col("chunk_id").isNotNull())
-        return rows.select(*schemas.STORED_CHUNKS.names)
-
-    def _overwrite(self, rows: DataFrame, buckets: list[int]) -> None:
-        if not buckets:
-            return
-        keepers = self.spark.createDataFrame([(b,) for b in buckets], "bucket int")
-        placed = rows.withColumn("bucket", self._bucket()).unionByName(keepers, allowMissingColumns=True)
-        # The checkpoint ends the read of the files that are about to be overwritten.
-        final = materialise(placed.repartition("bucket").sortWithinPartitions("bucket", "source"))
-        (
-            final.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket")
-            .parquet(self.path)
-        )
+        deleted = [0]
+
+        def build(base: Manifest) -> Change | None:
+            touched = self.versions.buckets_with(base, self.versions.read(base).where(matches(where)))
+            kept, deleted[0] = delete_where(self.versions.read(base, touched), where)
+            return Change(kept, touched, base.facts) if touched else None
+
+        self.versions.change(build)
+        return deleted[0]
