@@ -36,8 +36,19 @@ def _run(spark: SparkSession, stream: DataFrame) -> DataFrame:
 
 
 def _requests(spark: SparkSession, d: str) -> DataFrame:
+    return _as_requests(_stream(spark, d, "events"))
+
+
+def _in_batches(spark: SparkSession, df: DataFrame, files: int = 6, per_batch: int = 2) -> DataFrame:
+    """A derived table as a stream of several batches."""
+    folder = _folder(spark)
+    df.repartition(files).write.parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).parquet(folder)
+
+
+def _as_requests(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
-    return _stream(spark, d, "events").select(
+    return events.select(
         F.col("event_id").cast("string").alias("trace_id"),
         F.col("ts").cast("timestamp").alias("created_at"),
         F.when(F.col("value") >= 20, "agent").otherwise("pipeline").alias("route"),
@@ -103,14 +114,14 @@ def stream_feedback_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_latest_feedback(spark: SparkSession, d: str) -> DataFrame:
-    """Votes of one user on one event type; the last one counts."""
-    folder = _folder(spark)
-    votes = _requests(spark, d).select(
+    """Votes of one user on one event type, in several batches; the last one counts."""
+    votes = _as_requests(load(spark, d, "events")).select(
         F.concat_ws("-", "session_id", "event_type").alias("trace_id"), "created_at", F.when(F.col("latency_ms") > 1500, "down").otherwise("up").alias("verdict")
     )
-    flows.append_votes(votes, f"{folder}/votes", f"{folder}/checkpoint").awaitTermination()
-    kept = spark.read.schema("trace_id string, created_at timestamp, verdict string").option("recursiveFileLookup", "true").parquet(f"{folder}/votes")
-    return flows.read_latest_votes(kept).select("trace_id", "verdict", F.unix_micros("created_at").alias("created_at"))
+    folder, votes = _folder(spark), _in_batches(spark, votes)
+    table = flows.vote_table(votes, f"{folder}/votes", buckets=16)
+    flows.merge_votes(votes, table, f"{folder}/checkpoint").awaitTermination()
+    return table.read().select("trace_id", "verdict", F.unix_micros("created_at").alias("created_at"))
 
 
 def stream_conversations(spark: SparkSession, d: str) -> DataFrame:

@@ -13,7 +13,9 @@ from pyspark.sql.streaming import StreamingQuery
 from folioscope.operators.chunking import chunk_documents
 from folioscope.operators.embedding import Embedder, embed_chunks
 from folioscope.operators.feedback import last_by
+from folioscope.session import materialise
 from folioscope.sources.store import ChunkTable
+from folioscope.sources.versions import BUCKETS, Change, Manifest, VersionedTable
 
 # When a dependency counts as unhealthy.
 FAILURE_WINDOW = "60 seconds"
@@ -198,6 +200,33 @@ def read_latest_votes(votes: DataFrame) -> DataFrame:
     return last_by(votes, "trace_id", ["created_at"])
 
 
+def vote_table(votes: DataFrame, path: str, buckets: int = BUCKETS) -> VersionedTable:
+    """Where :func:`merge_votes` keeps one vote per trace."""
+    return VersionedTable(votes.sparkSession, path, votes.schema, "trace_id", ("trace_id",), buckets)
+
+
+def merge_votes(votes: DataFrame, table: VersionedTable, checkpoint: str) -> StreamingQuery:
+    """Keep the last vote per trace: a batch rewrites the buckets of its own traces and no others.
+
+    A read of the table costs as many rows as there are traces, however often they were voted on. Of votes
+    with one time that with the largest values counts, so neither the order of batches nor a repeated
+    batch changes the table. Readers keep the version they began with.
+    """
+    order = ["created_at", *(c for c in votes.columns if c not in ("trace_id", "created_at"))]
+
+    def merge(batch: DataFrame, _: int) -> None:
+        # A batch may be cut anywhere, so it is reduced to its own last votes once.
+        fresh = materialise(last_by(batch, "trace_id", order))
+
+        def build(base: Manifest) -> Change | None:
+            touched = table.buckets_with(base, fresh)
+            return Change(last_by(table.read(base, touched).unionByName(fresh), "trace_id", order), touched, base.facts) if touched else None
+
+        table.change(build)
+
+    return votes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def metrics_with_raw_copy(requests: DataFrame, metrics_path: str, raw_path: str, checkpoint: str, **options: str) -> list[StreamingQuery]:
     """Late rows are dropped from the windows but never from the raw copy."""
     return [

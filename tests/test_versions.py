@@ -10,6 +10,7 @@ from folioscope.operators import embedding as E
 from folioscope.plans.index import reindex
 from folioscope.sources import versions as V
 from folioscope.sources.store import ChunkTable, Space, upsert_chunks
+from folioscope.streaming import flows
 
 HASH8 = E.Embedder("s8", lambda c: E.hash_embed(c, 8), lambda c: E.hash_embed(c, 8))
 HASH16 = E.Embedder("s16", lambda c: E.hash_embed(c, 16), lambda c: E.hash_embed(c, 16))
@@ -141,3 +142,31 @@ def test_reindex_embeds_anew(spark, tmp_path):
     _, again = reindex(docs.where("source = 'a.md'"), table, HASH16)
     assert (first.reset, again.reset) == (False, True)
     assert [(r.source, r.signature, len(r.vector)) for r in table.read().collect()] == [("a.md", "s16", 16)]
+
+
+VOTES = "trace_id string, created_at timestamp, verdict string, reason string"
+
+
+def test_votes_merge_into_one_row_per_trace(spark, tmp_path):
+    """Late, equal, repeated and batch-crossing votes; a batch leaves other buckets' folders alone."""
+    batches = [
+        [("a", "2024-01-02", "up", None), ("a", "2024-01-01", "down", "x"), ("b", "2024-01-05", "down", "r"), ("c", "2024-01-01", "up", None)],
+        [("a", "2024-01-03", "down", "late"), ("b", "2024-01-01", "up", None), ("c", "2024-01-01", "down", "tie"), (None, "2024-01-01", "up", None)],
+        [("a", "2024-01-03", "down", "late"), ("c", "2024-01-01", "up", "tie")],
+    ]
+    for order in ((0, 1, 2), (2, 1, 0)):
+        root = tmp_path / str(order)
+        versions = []
+        for at in order:
+            rows = spark.createDataFrame(batches[at], VOTES.replace("timestamp", "string")).withColumn("created_at", F.col("created_at").cast("timestamp"))
+            rows.coalesce(1).write.mode("append").parquet(str(root / "in"))
+            stream = spark.readStream.schema(VOTES).parquet(str(root / "in"))
+            table = flows.vote_table(stream, str(root / "votes"), buckets=64)
+            flows.merge_votes(stream, table, str(root / "ck")).awaitTermination()
+            versions.append(table.manifest())
+        got = {r.trace_id: (str(r.created_at)[:10], r.verdict, r.reason) for r in table.read().collect()}
+        assert got == {"a": ("2024-01-03", "down", "late"), "b": ("2024-01-05", "down", "r"), "c": ("2024-01-01", "up", "tie"), None: ("2024-01-01", "up", None)}
+        assert table.read().count() == 4
+    touched = table.buckets_with(versions[-1], spark.createDataFrame([("a",), ("b",), ("c",)], "trace_id string"))
+    kept = {b for b, f in versions[-1].folders.items() if versions[-2].folders.get(b) == f}
+    assert kept and not kept & touched
