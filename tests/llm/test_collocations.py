@@ -70,14 +70,9 @@ def test_nothing_frequent(spark):
 
 
 def test_wide_products(spark):
-    parts = spark.createDataFrame([("en", "a b", 2, 3 * 10**15), ("en", "a", 1, 4 * 10**15), ("en", "b", 1, 5 * 10**15)], "lang string, phrase string, size int, f long")
-    totals = spark.createDataFrame([("en", 10**16)], "lang string, n long")
-    original, collocations.frequent_phrases = collocations.frequent_phrases, lambda docs, least: (parts, totals)
-    try:
-        got = collocations.collocations(None).collect()
-    finally:
-        collocations.frequent_phrases = original
-    assert [(r.phrase, r.score) for r in got] == [("a b", 2000000 * 3 // 9)]
+    rows = [(3 * 10**15, 9 * 10**15), (1, 3), (9 * 10**18, 9 * 10**18), (30, 60)]
+    df = spark.createDataFrame(rows, "a long, both long")
+    assert [r.s for r in df.select(collocations.score_of("a", "both").alias("s")).collect()] == [2000000 * a // b for a, b in rows]
 
 
 def test_tiles_equal_a_counter(monkeypatch):
@@ -90,11 +85,8 @@ def test_tiles_equal_a_counter(monkeypatch):
     units = collocations.Units(keys[:16][order], order, keys[:16])
     none = collocations.Units(keys[:0], order[:0], keys[:0])
     left, right = (keys[np.minimum(draw.geometric(0.1, 4000) - 1, 39)] for _ in range(2))
-    plain = Counter(collocations._longer(left, right).tolist())
+    plain = Counter(zip(left.tolist(), right.tolist(), strict=True))
     for table in (units, none):
-        found, numbers = collocations.count_pairs(left, right, table, units)
-        got = Counter()
-        for key, n in zip(found.tolist(), numbers.tolist(), strict=True):
-            got[key] += n
-        assert got == plain
-    assert not len(collocations.count_pairs(left[:0], right[:0], units, units)[0])
+        a, b, numbers = (x.tolist() for x in collocations.count_pairs(left, right, table, units))
+        assert len(a) == len(plain) and dict(zip(zip(a, b, strict=True), numbers, strict=True)) == plain
+    assert not len(collocations.count_pairs(left[:0], right[:0], units, units)[2])
