@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope import schemas
 from folioscope.functions.text import strip
+from folioscope.operators.retrieval import send_small
+from folioscope.session import materialise
 
 # What an upload may be called and how large it may be.
 SAFE_NAME = '^(?i)[^/\\\\:*?"<>|\\x00-\\x1f]+\\.md\\z'
@@ -69,14 +71,35 @@ def read_markdown(spark: SparkSession, path: str, upload_rules: bool = False) ->
     return good, bad.unionByName(spark.createDataFrame(hidden, bad.schema))
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank, non-comment lines of question, sample and score files, with the file and true line number.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, name, line_no, line)`` of text files of any size, with true line numbers from 1.
+
+    ``file`` is the encoded path, ``name`` the file's own name.
 
-    Such a file is written by hand or by one evaluation run, so it is read as one row and cut there.
+    Spark cuts a file into splits that different tasks read, so a task knows a line's place in its split
+    only. Splits are counted, and a line's number is its place plus the lines of the splits before. Lines are
+    stored once, so that counting and numbering see the same splits even when executors are lost.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    rows = files.select("file", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line_no", "line"))
-    rows = rows.select("file", (F.col("line_no") + 1).cast("long").alias("line_no"), strip("line").alias("line"))
+    read = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        # The name comes percent-encoded, with a plus sign as itself.
+        F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))).alias("name"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"),
+        F.col("value").alias("line"),
+    )
+    rows = materialise(read)
+    # A task reads a split's lines one after the other: their ids follow each other.
+    splits = rows.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("lines"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "start", "first", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("before"))
+    splits, _ = send_small(splits)
+    return rows.join(splits, ["file", "start"]).select("file", "name", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "line")
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Non-blank, non-comment lines of question, sample and score files, trimmed."""
+    rows = numbered_lines(spark, path).withColumn("line", strip("line"))
     return rows.where((F.col("line") != "") & ~F.startswith("line", F.lit(COMMENT_MARK)))
 
 
@@ -98,7 +121,7 @@ def read_questions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     has_tool = F.coalesce(F.array_contains("_keys", "expected_tool"), F.lit(False))
     bad = F.col("_json") & (F.col("_keys").isNull() | F.col("q.question").isNull())
     good = parsed.where(~bad).select(
-        F.concat_ws(":", F.substring_index("file", "/", -1), F.col("line_no").cast("string")).alias("question_id"),
+        F.concat_ws(":", "name", F.col("line_no").cast("string")).alias("question_id"),
         "line_no",
         question.alias("question"),
         *[F.col(f"q.{n}").alias(n) for n in schemas.QUESTION.names if n != "question"],
@@ -162,7 +185,7 @@ def read_scored(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """
     rows = _lines(spark, path).withColumn("s", F.from_json("line", schemas.SCORED))
     bad = F.col("s.scores").isNull()
-    stem = F.regexp_replace(F.substring_index("file", "/", -1), "\\.[^.]*\\z", "")
+    stem = F.regexp_replace("name", "\\.[^.]*\\z", "")
     named = rows.where(~bad).withColumn("named", F.nullif("s.judge", F.lit("")))
     judges = named.where("named is not null").groupBy("file").agg(F.max_by("named", "line_no").alias("judge"))
     keyed = named.join(judges, "file", "left").select(

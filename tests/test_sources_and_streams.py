@@ -76,6 +76,51 @@ def test_question_ids_are_line_numbers(spark, tmp_path):
         files.read_questions(spark, str(tmp_path / "empty.txt"))
 
 
+def test_line_numbers_of_files_in_many_splits(spark, tmp_path):
+    """Ids do not depend on where Spark cuts the files."""
+    ends = ["\n", "\r\n", "\n\n", "\n# note\n"]
+    for name, n in (("a b+%41.txt", 400), ("one.txt", 1), ("q.txt", 150)):
+        text = "".join(f"question {name} {i} {'é日' * (i % 7)}" + ends[i % 4] for i in range(n))
+        (tmp_path / name).write_bytes(text.encode())
+    (tmp_path / "empty.txt").write_text("")
+    wanted = {}
+    for file in tmp_path.iterdir():
+        for number, line in enumerate(file.read_text().split("\n"), 1):
+            if line.strip() and not line.startswith("#"):
+                wanted[f"{file.name}:{number}"] = line.strip()
+    assert len(wanted) == 551
+    for size in ("97b", "1k", "1g"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        try:
+            splits = spark.read.text(str(tmp_path)).select("_metadata.file_block_start", "_metadata.file_path").distinct().count()
+            good, bad = files.read_questions(spark, str(tmp_path))
+            assert {r.question_id: r.question for r in good.collect()} == wanted and bad.count() == 0
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert (splits > 50) == (size == "97b")
+
+
+def test_score_files_in_many_splits(spark, tmp_path):
+    """The last line of a question wins and the last named judge stands for the file, across splits."""
+    lines = [{"combo": "c", "user_input": f"q{i % 40}", "scores": {"m": {"value": float(i)}}} for i in range(200)]
+    lines[150]["judge"] = "early"
+    lines[151]["judge"] = "late"
+    (tmp_path / "s.jsonl").write_text("".join(json.dumps(x) + "\n" for x in lines) + '{"user_input": "bad"}\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        scores, bad = files.read_scored(spark, str(tmp_path))
+        assert {(r.judge, r.user_input): r.value for r in scores.collect()} == {("late", f"q{i}"): 160.0 + i for i in range(40)}
+        assert [r.line_no for r in bad.collect()] == [201]
+        good, _ = files.read_samples(spark, str(tmp_path / "s.jsonl"))
+        assert good.count() == 201
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_request_log_keeps_every_key(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text(json.dumps({"trace_id": "t", "latency_ms": 5, "retrieve_ms": 2.5, "odd_ms": "n/a", "top": 3}) + "\n")
     row = files.read_request_log(spark, str(tmp_path)).first()
