@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import citation, tokenize_bigram, with_heading
+from folioscope.operators.scoring import RANK_DIGITS, Bm25Best, CosineBest, WeightedWords
 from folioscope.session import materialise
 
 # Fixed values of the ranking function and of the fusion.
@@ -25,13 +27,10 @@ BM25_B = 0.75
 BM25_EPSILON = 0.25
 RRF_K = 60
 
-RANK_DIGITS = 9
-
 # Size bounds for what may be sent to every executor.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_VECTOR_BYTES = 64 << 20
 WORD_BYTES = 64
-CELLS = 4_000_000
 SALTS = 32
 
 
@@ -198,97 +197,51 @@ def bm25_search(queries: DataFrame, index: Bm25Index, limit: int, max_bytes: int
         .join(index.terms, "term")
         .select(F.col("query_id").cast("string").alias("query_id"), "term", (F.col("qtf") * F.col("idf")).alias("weight"))
     )
-    blocks = max(1, -(-(weighted.count() * WORD_BYTES) // max_bytes))
+    most = max(1, max_bytes // WORD_BYTES)
     rows = _token_rows(index.chunks, index.tokenizer).select(F.col("chunk_id").cast("string").alias("chunk_id"), "dl", "_tokens")
-    found = None
-    for block in range(blocks):
-        part = weighted if blocks == 1 else weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        local = _block_bm25(part, rows, index.avgdl or 1.0, max(1, int(limit)))
-        found = local if found is None else found.unionByName(local)
+    first = weighted.limit(most + 1).toArrow()
+    parts = [first]
+    if first.num_rows > most:
+        blocks = -(-(weighted.count() * WORD_BYTES) // max_bytes)
+        parts = (weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow() for block in range(blocks))
+    found = reduce(DataFrame.unionByName, [_block_bm25(part, rows, index.avgdl or 1.0, max(1, int(limit))) for part in parts])
     ranked = top_ranked(found, limit, [F.desc("bm25_score"), F.asc("chunk_id")])
     return ranked.withColumn("query_id", F.col("query_id").cast(queries.schema["query_id"].dataType)).withColumn(
         "chunk_id", F.col("chunk_id").cast(index.chunks.schema["chunk_id"].dataType)
     )
 
 
-def _block_bm25(weighted: DataFrame, rows: DataFrame, avgdl: float, limit: int) -> DataFrame:
-    asked = weighted.orderBy("term", "query_id").toArrow()  # bounded by the caller
-    names = sorted(set(asked.column("query_id").to_pylist()))
-    words = asked.column("term").to_pylist()
-    vocabulary = sorted(set(words))
-    place = {name: i for i, name in enumerate(names)}
-    at = {word: i for i, word in enumerate(vocabulary)}
-    uses = np.bincount(np.array([at[w] for w in words], dtype=np.int64), minlength=len(vocabulary))
-    order = np.argsort(np.array([at[w] for w in words], dtype=np.int64), kind="stable")
-    asking = np.array([place[q] for q in asked.column("query_id").to_pylist()], dtype=np.int64)[order]
-    weight = asked.column("weight").to_numpy()[order]
-    sent = weighted.sparkSession.sparkContext.broadcast((names, vocabulary, uses, asking, weight))
+def _block_bm25(asked: pa.Table, rows: DataFrame, avgdl: float, limit: int) -> DataFrame:
+    words, names = (pc.dictionary_encode(asked.column(c).combine_chunks()) for c in ("term", "query_id"))
+    parts = [x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (names, words)]
+    sent = rows.sparkSession.sparkContext.broadcast(
+        (names.dictionary.to_pylist(), words.dictionary, *parts, asked.column("weight").to_numpy())
+    )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, vocabulary, uses, asking, weight = sent.value
-        first = np.concatenate([[0], np.cumsum(uses)])
-        known = pa.array(vocabulary, pa.string())
-        best = _RunningBest(names, limit)
+        names, known, question, word, weight = sent.value
+        if not names:
+            return
+        table = WeightedWords(question, word, weight, len(names), len(known))
+        best = Bm25Best(table, limit, BM25_K1 + 1)
         for batch in batches:
-            if not names or batch.num_rows == 0:
+            if batch.num_rows == 0:
                 continue
-            ids = np.array(batch.column("chunk_id").to_pylist(), dtype=np.str_)
+            order = pc.array_sort_indices(batch.column("chunk_id"))
+            batch = batch.take(order)
             dl = batch.column("dl").to_numpy()
             tokens = batch.column("_tokens")
-            word = pc.fill_null(pc.index_in(tokens.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
-            chunk = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False)
-            keys, tf = np.unique(chunk[word >= 0] * len(vocabulary) + word[word >= 0], return_counts=True)
-            chunk, word = keys // len(vocabulary), keys % len(vocabulary)
-            gain = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * dl[chunk] / avgdl))
-            step = max(1, CELLS // len(names))
-            for low in range(0, batch.num_rows, step):
-                size = min(step, batch.num_rows - low)
-                lo, hi = np.searchsorted(chunk, [low, low + size])
-                c, w, g = chunk[lo:hi] - low, word[lo:hi], gain[lo:hi]
-                # Every (chunk, word) meets the questions that use the word.
-                times = uses[w]
-                entry = np.repeat(first[w] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-                cell = np.repeat(c, times) * len(names) + asking[entry]
-                sums = np.bincount(cell, weights=np.repeat(g, times) * weight[entry], minlength=size * len(names))
-                best.add(sums.reshape(size, len(names)).T, ids[low : low + size])
-        yield from best.batches("bm25_score")
-
-    scores = rows.mapInArrow(search, "query_id string, chunk_id string, bm25_score double")
-    return scores.where(F.col("bm25_score") > 0)
-
-
-class _RunningBest:
-    """The best columns seen by one task for each question."""
-
-    def __init__(self, names: list[str], limit: int):
-        self.names, self.limit = names, limit
-        self.kept: tuple[np.ndarray, np.ndarray] | None = None
-
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        """Take in a (questions, chunks) matrix and the chunk ids."""
-        by_id = np.argsort(ids, kind="stable")
-        scores = np.round(scores[:, by_id], RANK_DIGITS)
-        first = np.argsort(-scores, axis=1, kind="stable")[:, : self.limit]
-        found = np.take_along_axis(scores, first, 1), ids[by_id][first]
-        if self.kept is not None:
-            found = np.hstack([self.kept[0], found[0]]), np.hstack([self.kept[1], found[1]])
-            order = np.lexsort((found[1], -found[0]), axis=-1)[:, : self.limit]
-            found = np.take_along_axis(found[0], order, 1), np.take_along_axis(found[1], order, 1)
-        self.kept = found
-
-    def batches(self, score: str) -> Iterator[pa.RecordBatch]:
-        """``(query_id, chunk_id, score)`` rows of what was kept."""
-        if self.kept is None:
-            return
-        width = self.kept[0].shape[1]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(np.array(self.names, dtype=object), width), pa.string()),
-                pa.array(self.kept[1].ravel().tolist(), pa.string()),
-                pa.array(self.kept[0].ravel(), pa.float64()),
-            ],
-            names=["query_id", "chunk_id", score],
-        )
+            found = pc.index_in(tokens.flatten(), value_set=known)
+            held = found.is_valid().to_numpy(zero_copy_only=False)
+            found = found.drop_null().to_numpy().astype(np.int64)
+            row = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False)[held]
+            keys, tf = np.unique(row * len(known) + found, return_counts=True)
+            row, found = keys // len(known), keys % len(known)
+            gain = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * dl[row] / avgdl))
+            best.add(row, found, gain, np.array(batch.column("chunk_id").to_pylist(), dtype=np.str_))
+        yield from best.best.batches(names, "bm25_score")
+
+    return rows.mapInArrow(search, "query_id string, chunk_id string, bm25_score double")
 
 
 # ---------------------------------------------------------------- cosine
@@ -341,15 +294,18 @@ def _block_topk(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, wanted = sent.value
-        best = _RunningBest(names, limit)
+        if not names:
+            return
+        best = CosineBest(wanted, limit)
         for batch in batches:
-            if not names or batch.num_rows == 0:
+            if batch.num_rows == 0:
                 continue
+            batch = batch.take(pc.array_sort_indices(batch.column("chunk_id")))
             vectors = _unit(_as_matrix(batch.column("vector")))
             if vectors.shape[1] != wanted.shape[1]:
                 raise ValueError(f"vectors of size {vectors.shape[1]} against questions of size {wanted.shape[1]}")
-            best.add(wanted @ vectors.T, np.array(batch.column("chunk_id").to_pylist(), dtype=np.str_))
-        yield from best.batches("similarity")
+            best.add(vectors, np.array(batch.column("chunk_id").to_pylist(), dtype=np.str_))
+        yield from best.best.batches(names, "similarity")
 
     rows = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "vector").where("vector is not null")
     return rows.mapInArrow(search, schema)
