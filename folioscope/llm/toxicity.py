@@ -6,10 +6,11 @@ with landmark words by the gap-weighted kernel over subsequences of three charac
 features are finite (32**3 triples), so the trained machine folds into one weight per triple, and a
 segment's score is a sum over its own triples divided by its own norm: no landmark is visited later.
 
-A document is as toxic as its most toxic segment (multiple-instance form). Positive segments are those
-that texts labelled toxic hold far more often, copies and near copies counted once; negative ones are
-frequent segments, a draw, and in each round the segment of a clean text that scored highest. Training
-runs on the driver, on a sample of labelled rows bounded by ``max_rows``.
+A document is as toxic as its most toxic segment (multiple-instance form). Positive segments are all those
+whose texts are labelled toxic beyond chance, copies and near copies counted once, under a bound that is
+cross-validated on whole texts; negative ones are frequent segments, a draw, and in each round the segment
+of every clean text that scored highest. Training runs in one task, on a sample of labelled rows bounded by
+``max_rows`` and ``max_bytes``.
 
 Null and empty texts have no segment and get the score of the bias alone, below one half. Repeated
 rows are scored as often as they appear; columns other than ``doc_id`` and ``text`` are not read.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import LOWER, Texts, in_arrow, mix, text_blocks, words_of
+from folioscope.llm.shared import LOWER, Texts, in_arrow, mix, streamed, text_blocks, words_of
 
 LETTERS = 32
 WIDEST = 20
@@ -225,32 +226,33 @@ def bags_of(texts: list[str]) -> Bags:
     return Bags(names, chars[first], lengths[first], pairs % max(1, len(first)), pairs // max(1, len(first)), len(texts))
 
 
-def fit(texts: list[str], toxic: list[int], landmarks: int = 64, rounds: int = 3, seed: int = 5, least_share: float = 0.02) -> Model:
-    """Train on labelled texts. A positive segment stands in ``least_share`` of the texts labelled toxic at least.
+def fit(texts: list[str], toxic: list[int], landmarks: int = 256, negatives: int = 3000, rounds: int = 3, seed: int = 5) -> Model:
+    """Train on labelled texts: every text is a bag of segments, toxic by the worst of them.
 
-    Without both labels, or without such a segment, the model is constant at the share of positives.
+    Positive segments are those whose texts are labelled toxic beyond chance, by a bound on evidence that
+    is cross-validated on whole texts, however many they are and however rare.
+
+    ``landmarks`` bounds the Nystroem basis and ``negatives`` the segments drawn from clean texts; neither
+    bounds the positive segments, nor the hardest segment that every clean text adds in each round. Without
+    both labels, or where no segment explains anything, the model is constant at the share of positives.
     """
     y = np.array(toxic)
     rate = float(y.mean()) if len(y) else 0.0
+    odds = np.log((rate * len(y) + 0.5) / ((1 - rate) * len(y) + 0.5)) if len(y) else -1.0
+    constant = Model(np.zeros(LETTERS**3), 0.0, 1.0, float(odds))
     bags = bags_of(texts) if 0 < rate < 1 else None
     if bags is None or not bags.names:
-        odds = np.log((rate * len(y) + 0.5) / ((1 - rate) * len(y) + 0.5)) if len(y) else -1.0
-        return Model(np.zeros(LETTERS**3), 0.0, 1.0, float(odds))
+        return constant
     weight = _once(bags, y)
-    bad = np.bincount(bags.index, (y * weight)[bags.row], len(bags.names))
-    good = np.bincount(bags.index, ((1 - y) * weight)[bags.row], len(bags.names))
-    share = (bad + 0.5) / ((y * weight).sum() + 1) / ((good + 0.5) / (((1 - y) * weight).sum() + 1))
-    enough = np.maximum(3, least_share * (y * weight).sum())
-    telling = np.where((bad >= enough) & (share >= 4), bad * np.log(share), 0.0)
     draw = np.random.default_rng(seed)
-    common = np.argsort(-good, kind="stable")[:4000]
-    positives = np.argsort(-telling, kind="stable")[: landmarks // 2]
-    positives = positives[telling[positives] > 0]
+    evidence, bad = _evidence(bags, y, weight)
+    positives = np.flatnonzero(evidence >= _least_evidence(bags, y, weight, draw))
     if not len(positives):
-        odds = np.log((rate * len(y) + 0.5) / ((1 - rate) * len(y) + 0.5))
-        return Model(np.zeros(LETTERS**3), 0.0, 1.0, float(odds))
-    plain = draw.permutation(np.setdiff1d(common, positives))[: landmarks // 2]
-    z = dense([bags.names[i] for i in [*positives, *plain]])
+        return constant
+    good = np.bincount(bags.index, ((1 - y) * weight)[bags.row], len(bags.names))
+    common = np.setdiff1d(np.argsort(-good, kind="stable")[:negatives], positives)
+    basis = [*positives[np.argsort(-bad[positives], kind="stable")][: landmarks * 3 // 4], *draw.permutation(common)[: landmarks // 4]]
+    z = dense([bags.names[i] for i in basis])
     values, vectors = np.linalg.eigh(z @ z.T)
     keep = values > 1e-6
     whiten = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
@@ -260,29 +262,77 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 64, rounds: int = 3
         return np.concatenate(parts) @ whiten
 
     # Other segments: frequent ones, a draw of all, and in each round the most toxic of each clean text.
-    others = np.setdiff1d(np.union1d(draw.permutation(np.flatnonzero(good))[:2000], common[:1000]), positives)
+    drawn = draw.permutation(np.flatnonzero(good))[: negatives * 2 // 3]
+    others = np.setdiff1d(np.union1d(drawn, common[: negatives // 3]), positives)
+    share = np.sqrt(bad[positives]) / np.sqrt(bad[positives]).sum()
+    x, fresh, hardest = mapped(positives), others, np.zeros(len(bags.names))
+    t = np.ones(len(positives))
     for _ in range(rounds):
-        x = np.concatenate([mapped(positives), mapped(others)])
-        t = np.concatenate([np.ones(len(positives)), -np.ones(len(others))])
-        count = np.concatenate([np.full(len(positives), 1 / len(positives)), np.full(len(others), 1 / len(others))])
-        v, bias = _machine(x, t, count)
+        x = np.concatenate([x, mapped(fresh)])
+        t = np.append(t, -np.ones(len(fresh)))
+        # What clean texts weigh is spread evenly, but for a part on the segments that let them down.
+        cost = 1 / len(others) + 0.3 * hardest[others] / max(hardest.sum(), 1e-12)
+        v, bias = _machine(x, t, np.concatenate([share, cost / cost.sum()]))
         model = Model(z.T.astype(np.float64) @ (whiten.astype(np.float64) @ v), bias, 1.0, 0.0)
         best, which = bags.best(model.values(bags.chars, bags.length), model.bias)
-        worst = which[(y == 0) & (which >= 0)]
-        others = np.union1d(others, np.setdiff1d(worst, positives)[:2000])
-    best, _ = bags.best(model.values(bags.chars, bags.length), model.bias)
-    model.slope, model.shift = _sigmoid(best, y, weight)
+        worst = (y == 0) & (which >= 0)
+        hardest += np.bincount(which[worst], weight[worst], len(bags.names))
+        hardest[positives] = 0.0
+        fresh = np.setdiff1d(which[worst], np.union1d(positives, others))
+        others = np.append(others, fresh)
+    model.slope, _ = _sigmoid(best, y, weight)
+    model.shift = -model.slope * _threshold(best, y, weight)
     return model
 
 
-def _once(bags: Bags, y: np.ndarray) -> np.ndarray:
-    """Weights that count copies and near copies of a text once: texts of a label that share the least hash."""
+def _evidence(bags: Bags, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How much better each segment's texts are told apart by their label than by chance, in log likelihood,
+    and the weight of the toxic texts that hold it; 0 for segments that lean to clean texts."""
+    bad = np.bincount(bags.index, (y * weight)[bags.row], len(bags.names))
+    good = np.bincount(bags.index, ((1 - y) * weight)[bags.row], len(bags.names))
+    rate = (y * weight).sum() / max(weight.sum(), 1e-12)
+    share = bad / np.maximum(bad + good, 1e-12)
+    value = bad * np.log(np.maximum(share, 1e-12) / max(rate, 1e-12)) + good * np.log(np.maximum(1 - share, 1e-12) / (1 - rate))
+    return np.where(share > max(0.5, rate), value, 0.0), bad
+
+
+def _least_evidence(bags: Bags, y: np.ndarray, weight: np.ndarray, draw: np.random.Generator, folds: int = 5) -> float:
+    """The bound on evidence whose segments tell best the texts of a fold that took no part in it."""
+    fold = draw.integers(0, folds, bags.rows)
+    steps = np.array([3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 10.0, 12.0])
+    right = np.zeros(len(steps))
+    for part in range(folds):
+        out = fold == part
+        value, _ = _evidence(bags, y, weight * ~out)
+        best, _ = bags.best(value, 0.0)
+        for label, sign in ((1, 1.0), (0, -2.0)):
+            some = weight * out * (y == label)
+            right += sign * (some * (best >= steps[:, None])).sum(axis=1) / max(some.sum(), 1e-12)
+    return float(steps[len(steps) - 1 - np.argmax(right[::-1])])
+
+
+def _threshold(value: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """Where the share of toxic texts above exceeds that of clean ones most; the middle of the gap there."""
+    order = np.argsort(-value, kind="stable")
+    value, y, weight = value[order], y[order], weight[order]
+    toxic, clean = np.cumsum(y * weight), np.cumsum((1 - y) * weight)
+    apart = toxic / toxic[-1] - clean / clean[-1]
+    ends = np.append(value[1:] < value[:-1], True)
+    at = int(np.argmax(np.where(ends, apart, -1.0)))
+    return float(value[at] + value[min(at + 1, len(value) - 1)]) / 2
+
+
+def _once(bags: Bags, y: np.ndarray, bands: int = 4, hashes: int = 3) -> np.ndarray:
+    """Weights that count copies and near copies of a text once: texts of a label that share a band of least hashes."""
     largest = np.ones(bags.rows)
-    for turn in range(3):
-        word = mix(np.arange(1, len(bags.names) + 1, dtype=np.uint64) + np.uint64(turn << 40))
-        least = np.full(bags.rows, np.iinfo(np.uint64).max, np.uint64)
-        np.minimum.at(least, bags.row, word[bags.index])
-        _, group, size = np.unique(np.stack([least, y.astype(np.uint64)], 1), axis=0, return_inverse=True, return_counts=True)
+    for band in range(bands):
+        shared = y.astype(np.uint64)
+        for turn in range(hashes):
+            word = mix(np.arange(1, len(bags.names) + 1, dtype=np.uint64) + np.uint64(band * hashes + turn << 40))
+            least = np.full(bags.rows, np.iinfo(np.uint64).max, np.uint64)
+            np.minimum.at(least, bags.row, word[bags.index])
+            shared = mix(shared * np.uint64(0x9E3779B97F4A7C15) + least)
+        _, group, size = np.unique(shared, return_inverse=True, return_counts=True)
         largest = np.maximum(largest, size[group.ravel()])
     return 1.0 / largest
 
@@ -314,12 +364,33 @@ def _sigmoid(value: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[floa
     return float(a[0]), float(a[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 2500) -> Model:
-    """Fit on the documents of at most ``max_rows`` labels, drawn by a hash of the id. Null labels are left out."""
-    drawn = labels.where(F.col("toxic").isNotNull()).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, max_bytes: int = 64 << 20) -> Model:
+    """Fit on the documents of at most ``max_rows`` labels, drawn by a hash of the id, in one task.
+
+    Null labels are left out; an id counts once, with its larger label and its last text by value. Texts beyond
+    ``max_bytes`` in the order of ids are left out as well. The driver gets the weights only.
+    """
+    once = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    drawn = once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # The drawn ids are at most ``max_rows`` rows, so they can be sent to the documents.
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic").toArrow()
-    return fit([t or "" for t in rows["text"].to_pylist()], [int(bool(x)) for x in rows["toxic"].to_pylist()])
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).repartition(1).sortWithinPartitions("doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        texts, toxic, room = [], [], max_bytes
+        for batch in batches:
+            for text, label in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
+                room -= len(text.encode())
+                if room >= 0:
+                    texts.append(text)
+                    toxic.append(int(bool(label)))
+        model = fit(texts, toxic)
+        yield {"weights": pa.array([model.weights.tobytes()]), **{c: pa.array([float(getattr(model, c))]) for c in ("bias", "slope", "shift")}}
+
+    fitted = streamed(rows, run, "weights binary, bias double, slope double, shift double").toArrow().to_pylist()
+    if not fitted:  # Spark may plan no task at all for a join that it knows to be empty
+        return fit([], [])
+    return Model(np.frombuffer(fitted[0]["weights"], np.float64), *(fitted[0][c] for c in ("bias", "slope", "shift")))
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:

@@ -267,6 +267,38 @@ def test_toxicity(spark):
     assert kept.schema == docs.schema and kept.where("doc_id >= 1000").count() == 3
 
 
+def test_toxicity_learns_several_vocabularies(spark):
+    """Rare insults of four vocabularies, near copies and repeated ids and labels; each is found on texts held out."""
+    draw = random.Random(11)
+    insults = [[f"{a}{b}" for b in ("ork", "umph", "itzel")] for a in ("sn", "gr", "kw", "pl")]
+    rows, labels = [], []
+    for i in range(1200):
+        words = prose(draw, 40).split()
+        if i % 5 == 0:
+            words[draw.randrange(40)] = draw.choice(insults[i // 5 % 4])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 5 == 0)))
+        if i % 50 == 0:
+            words[draw.randrange(40)] = "altered"
+            rows += [(3000 + i * 10 + k, " ".join(words)) for k in range(5)]
+            labels += [(3000 + i * 10 + k, int(i % 5 == 0)) for k in range(5)]
+    held = {i for i in range(1200) if i // 20 % 4 == 1}
+    table = spark.createDataFrame([x for x in labels if x[0] not in held] * 2 + [(9999, 1), (1, None)], "doc_id long, toxic int")
+    docs = frame(spark, [*rows, (0, "another text under a known id"), (2, None)])
+    model = toxicity.train(docs, table)
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(frame(spark, [r for r in rows if r[0] in held]), model).collect()}
+    for k in range(4):
+        of = [i for i in held if i % 5 == 0 and i // 5 % 4 == k]
+        assert sum(got[i] for i in of) >= 0.85 * len(of)
+    clean = [i for i in held if i % 5]
+    assert sum(got[i] for i in clean) <= 0.05 * len(clean)
+    assert (toxicity.train(docs, table).weights == model.weights).all()
+    # No text at all, no label, and no room for any text.
+    for some, marks, room in ((docs.limit(0), table, 1 << 20), (docs, table.limit(0), 1 << 20), (docs, table, 0)):
+        constant = toxicity.train(some, marks, max_bytes=room)
+        assert toxicity.score_toxicity(docs, constant).where("predicted = 1").count() == 0
+
+
 def test_toxicity_without_both_labels():
     assert toxicity.fit([], []).scores is not None
     model = toxicity.fit(["a text", "two texts"], [0, 0])
