@@ -17,6 +17,7 @@ from folioscope.functions.text import (
 )
 from folioscope.operators.dialogue import sanitize_history
 from folioscope.operators.retrieval import send_small, top_ranked
+from folioscope.session import materialise
 
 # Limits and wording of the lookups and prompts.
 HINT_ITEMS = 12
@@ -70,56 +71,80 @@ def document_exists(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
+def literal_matches(requests: DataFrame, chunks: DataFrame, limit: int = LITERAL_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """``(pattern, scope, total)`` and the first ``limit`` places ``(pattern, scope, source, chunk_index, rank)``.
+
+    ``scope`` is the asked document, NULL for all. Texts are scanned once; what is kept of a match is its
+    place, and equal requests are one.
+    """
+    scopes = requests.select("pattern", F.nullif("source", F.lit("")).alias("scope")).distinct()
+    small, _ = send_small(scopes)
+    places = match_literals(chunks.select("source", "chunk_index", "content"), "content", requests.select("pattern"))
+    # Counted and ranked from one stored table of places, so that the texts are not scanned twice.
+    places = materialise(places.select("pattern", "source", "chunk_index").join(small, "pattern").where(F.col("scope").isNull() | (F.col("scope") == F.col("source"))))
+    totals = places.groupBy("pattern", "scope").agg(F.count("*").alias("total"))
+    shown = top_ranked(places, max(1, limit), [F.asc("source"), F.asc("chunk_index")], by=("pattern", "scope"))
+    return totals, shown
+
+
+def _same_scope(left: str) -> Column:
+    return F.col(left).eqNullSafe(F.col("scope"))
+
+
 def find_literal(requests: DataFrame, chunks: DataFrame, limit: int = LITERAL_LIMIT) -> DataFrame:
     """Chunks whose body contains the asked string, the first ``limit`` with the true ``total``.
 
     ``requests(request_id, pattern, source)``; a NULL source searches everything. Headings are
-    not searched and case matters.
+    not searched and case matters. Texts are fetched for the places that are shown only.
     """
-    asked, _ = send_small(
-        requests.select("request_id", "pattern", F.nullif("source", F.lit("")).alias("_source"))
-    )
-    body = chunks.select("source", "chunk_index", "heading", "content")
-    hits = (
-        match_literals(body, "content", requests.select("pattern"))
-        .join(asked, "pattern")
-        .where(F.col("_source").isNull() | (F.col("_source") == F.col("source")))
-        .drop("_source")
-    )
-    totals = hits.groupBy("request_id").agg(F.count("*").alias("total"))
-    shown = top_ranked(hits, max(1, limit), [F.asc("source"), F.asc("chunk_index")], by=("request_id",))
-    return shown.join(totals, "request_id")
+    totals, shown = literal_matches(requests, chunks, limit)
+    # A place stored twice is two hits with two ranks; its texts pair up by their order.
+    twin = Window.partitionBy("pattern", "scope", "source", "chunk_index").orderBy("rank")
+    shown = shown.withColumn("_twin", F.row_number().over(twin))
+    wanted, _ = send_small(shown.select("source", "chunk_index").distinct())
+    body = chunks.select("source", "chunk_index", "heading", "content").join(wanted, ["source", "chunk_index"], "left_semi")
+    by_place = Window.partitionBy("source", "chunk_index", "pattern").orderBy("heading", "content")
+    asked_at = shown.select("source", "chunk_index", "pattern").distinct()
+    texts = body.join(asked_at, ["source", "chunk_index"]).where(F.contains("content", F.col("pattern")))
+    texts = texts.withColumn("_twin", F.row_number().over(by_place))
+    hits = shown.join(texts, ["source", "chunk_index", "pattern", "_twin"]).drop("_twin")
+    hits = hits.join(totals.withColumnsRenamed({"pattern": "_p", "scope": "_s"}), (F.col("pattern") == F.col("_p")) & F.col("scope").eqNullSafe(F.col("_s"))).drop("_p", "_s")
+    asked = requests.select("request_id", F.col("pattern").alias("_pattern"), F.nullif("source", F.lit("")).alias("_asked"))
+    found = asked.join(hits, (F.col("_pattern") == F.col("pattern")) & _same_scope("_asked"))
+    return found.select("request_id", "pattern", "source", "chunk_index", "heading", "content", "rank", "total")
 
 
 def literal_lookup(requests: DataFrame, chunks: DataFrame, limit: int = LITERAL_LIMIT) -> DataFrame:
-    """Per request ``(status, total, shown)``: ok, empty, no_document or blank.
+    """Per request ``(status, total, shown, hint)``: ok, empty, no_document or blank.
 
-    No hit in an unknown document is a miss; no hit in a known one is an empty result.
+    No hit in an unknown document is a miss, whose hint names the documents; no hit in a known one is an
+    empty result.
     """
     asked = requests.select(
         "request_id", strip("pattern").alias("pattern"), F.nullif(strip("source"), F.lit("")).alias("source")
     )
-    found = (
-        find_literal(asked.where("pattern <> ''"), chunks, limit)
-        .groupBy("request_id")
-        .agg(F.max("total").alias("total"), F.count("*").alias("shown"))
-    )
-    known = document_exists(asked.where("source is not null"), chunks).select("request_id", "exists")
+    totals, _ = literal_matches(asked.where("pattern <> ''"), chunks, limit)
+    found = totals.withColumnRenamed("pattern", "_pattern")
+    found = asked.join(found, (F.col("pattern") == F.col("_pattern")) & _same_scope("source"), "left").select("request_id", "pattern", "source", "total")
+    known = document_exists(asked.where("source is not null"), chunks).select("source", "exists").distinct()
     total = F.coalesce("total", F.lit(0))
-    return (
-        asked.join(found, "request_id", "left")
-        .join(known, "request_id", "left")
-        .select(
-            "request_id",
-            F.when(~nonblank("pattern"), "blank")
-            .when(total > 0, "ok")
-            .when(F.col("source").isNotNull() & ~F.col("exists"), "no_document")
-            .otherwise("empty")
-            .alias("status"),
-            total.alias("total"),
-            F.coalesce("shown", F.lit(0)).alias("shown"),
-        )
+    status = (
+        F.when(~nonblank("pattern"), "blank")
+        .when(total > 0, "ok")
+        .when(F.col("source").isNotNull() & ~F.col("exists"), "no_document")
+        .otherwise("empty")
     )
+    rows = found.join(known, "source", "left").select("request_id", status.alias("status"), total.alias("total"), F.least(total, F.lit(max(1, limit))).alias("shown"))
+    return with_document_hint(rows, chunks)
+
+
+def with_document_hint(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Add ``hint``, or fill an empty one: the documents there are, for rows with status ``no_document``."""
+    names = document_hint(chunks).select(F.col("hint").alias("_names"), F.lit("no_document").alias("_status"))
+    # One row, joined by the status it belongs to.
+    joined = rows.join(F.broadcast(names), rows["status"] == F.col("_status"), "left")
+    own = F.col("hint") if "hint" in rows.columns else F.lit(None).cast("string")
+    return joined.withColumn("hint", F.coalesce(own, F.nullif("_names", F.lit("")))).drop("_names", "_status")
 
 
 def stitch_section(chunks: DataFrame, max_overlap: int, by: tuple[str, ...] = ("source", "heading")) -> DataFrame:
@@ -146,16 +171,23 @@ def stitch_section(chunks: DataFrame, max_overlap: int, by: tuple[str, ...] = ("
     )
 
 
+def heading_index(chunks: DataFrame) -> DataFrame:
+    """``(source, heading, first, last, chunks)``: which chunks a heading of a document spans; no text is read."""
+    return chunks.groupBy("source", F.coalesce("heading", F.lit("")).alias("heading")).agg(
+        F.min("chunk_index").alias("first"), F.max("chunk_index").alias("last"), F.count("*").alias("chunks")
+    )
+
+
 def heading_hints(chunks: DataFrame) -> DataFrame:
     """Per source the headings in first-seen order: a joined line of at most 12, and their number."""
-    first = (
-        chunks.where(F.coalesce("heading", F.lit("")) != "")
-        .groupBy("source", "heading")
-        .agg(F.min("chunk_index").alias("_first"))
-    )
+    return _hints_of(heading_index(chunks))
+
+
+def _hints_of(index: DataFrame) -> DataFrame:
     return (
-        first.groupBy("source")
-        .agg(F.array_sort(F.collect_list(F.struct("_first", "heading"))).alias("_rows"))
+        index.where("heading <> ''")
+        .groupBy("source")
+        .agg(F.array_sort(F.collect_list(F.struct("first", "heading"))).alias("_rows"))
         .select("source", F.col("_rows")["heading"].alias("_all"))
         .select("source", hint_line(F.col("_all")).alias("hint"), F.size("_all").cast("long").alias("headings"))
     )
@@ -179,55 +211,49 @@ def document_hint(chunks: DataFrame) -> DataFrame:
     return joined
 
 
-def expand_section(requests: DataFrame, chunks: DataFrame, max_overlap: int = 50) -> DataFrame:
+def expand_section(requests: DataFrame, chunks: DataFrame, max_overlap: int = 50, index: DataFrame | None = None) -> DataFrame:
     """The stitched section a request names, with ``status``.
 
     ``exact``: the heading matches; ``partial``: headings of that document contain it, ignoring
-    case; ``no_section``: a miss, with the headings as hint; ``no_document``: unknown document.
+    case; ``no_section``: a miss, with the headings as hint; ``no_document``: unknown document, with the
+    documents as hint. Headings are settled on the :func:`heading_index` (a stored one may be given); texts
+    are read of the sections that were found only, and equal requests are one.
     """
     asked = requests.select(
         "request_id", strip("source").alias("source"), F.coalesce(strip("heading"), F.lit("")).alias("section")
     )
-    small, _ = send_small(asked)
-    whole = (
-        chunks.select("source", "chunk_index", "heading", "content").join(small, "source")
-    )
-    needle = F.col("section") != ""
-    exact = needle & (F.col("heading") == F.col("section"))
-    partial = needle & F.contains(F.lower("heading"), F.lower("section"))
-    graded = whole.withColumn("_grade", F.when(exact, 1).when(partial, 2).otherwise(3))
-    # A request reads one document, so its rows are bounded by that document.
-    best = graded.withColumn("_best", F.min("_grade").over(Window.partitionBy("request_id")))
-    kept = best.where((F.col("_grade") == F.col("_best")) & (F.col("_best") < 3))
-    bodies = stitch_section(kept, max_overlap, by=("request_id",))
-    heads = kept.groupBy("request_id").agg(
-        F.min_by("heading", "chunk_index").alias("heading"), F.min("_best").alias("_grade")
-    )
-    hints = heading_hints(chunks.join(small.select("source").distinct(), "source", "left_semi"))
-    known = document_exists(asked, chunks).select("request_id", "exists")
-    return (
-        asked.join(known, "request_id")
-        .join(heads, "request_id", "left")
-        .join(bodies, "request_id", "left")
-        .join(hints, "source", "left")
-        .select(
-            "request_id",
-            "source",
-            "section",
-            F.when(F.col("source") == "", "no_document")
-            .when(~F.col("exists"), "no_document")
-            .when(F.col("_grade") == 1, "exact")
-            .when(F.col("_grade") == 2, "partial")
-            .otherwise("no_section")
-            .alias("status"),
-            F.when(F.col("_grade").isNotNull(), F.coalesce(F.nullif("heading", F.lit("")), F.lit(UNTITLED))).alias(
-                "heading"
-            ),
-            F.coalesce("chunks", F.lit(0)).alias("chunks"),
-            "body",
-            F.when(F.col("_grade").isNull() & F.col("exists"), F.col("hint")).alias("hint"),
-        )
+    pairs = asked.select("source", "section").distinct()
+    sources, _ = send_small(pairs.select("source").distinct())
+    # A few rows per document that is asked for, used by every step below.
+    index = materialise((heading_index(chunks) if index is None else index).join(sources, "source", "left_semi"))
+    named = pairs.where("section <> ''")
+    exact = named.join(index.withColumn("section", F.col("heading")), ["source", "section"])
+    rest = named.join(exact.select("source", "section"), ["source", "section"], "left_anti")
+    partial = rest.join(index, "source").where(F.contains(F.lower("heading"), F.lower("section")))
+    columns = ["source", "section", "heading", "first"]
+    chosen = exact.select(*columns, F.lit("exact").alias("status")).unionByName(partial.select(*columns, F.lit("partial").alias("status")))
+    chosen = materialise(chosen)
+    wanted, _ = send_small(chosen.select("source", "section", "heading"))
+    body = chunks.select("source", "chunk_index", F.coalesce("heading", F.lit("")).alias("heading"), "content")
+    bodies = stitch_section(body.join(wanted, ["source", "heading"]), max_overlap, by=("source", "section"))
+    heads = chosen.groupBy("source", "section").agg(F.min_by("heading", "first").alias("heading"), F.min("status").alias("status"))
+    known = index.select("source").distinct().withColumn("_known", F.lit(True))
+    found = pairs.join(known, "source", "left").join(heads, ["source", "section"], "left")
+    found = found.join(bodies, ["source", "section"], "left").join(_hints_of(index), "source", "left")
+    unknown = (F.col("source") == "") | F.col("_known").isNull()
+    status = F.when(unknown, "no_document").otherwise(F.coalesce("status", F.lit("no_section")))
+    found = found.select(
+        "source",
+        "section",
+        status.alias("status"),
+        F.when(F.col("status").isNotNull(), F.coalesce(F.nullif("heading", F.lit("")), F.lit(UNTITLED))).alias("heading"),
+        F.coalesce("chunks", F.lit(0)).alias("chunks"),
+        "body",
+        F.when(F.col("status").isNull(), F.col("hint")).alias("hint"),
     )
+    rows = asked.join(with_document_hint(found, chunks), ["source", "section"])
+    hint = F.when(F.col("source") != "", F.col("hint"))
+    return rows.select("request_id", "source", "section", "status", "heading", "chunks", "body", hint.alias("hint"))
 
 
 # ---------------------------------------------------------------- packing

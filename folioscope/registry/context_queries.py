@@ -252,6 +252,9 @@ hl AS (SELECT source, list(heading ORDER BY f) AS l FROM hs GROUP BY source),
 hints AS (SELECT source, array_to_string(l[1:12], '、') || CASE WHEN len(l) > 12 THEN '…（共 ' || len(l) || ' 项）' ELSE '' END AS hint,
    len(l) AS headings FROM hl)"""
 
+NAMES_SQL = """names AS (SELECT string_agg(source, '、' ORDER BY source) FILTER (r <= 12) || CASE WHEN count(*) > 12 THEN '…（共 ' || count(*) || ' 项）' ELSE '' END AS hint
+  FROM (SELECT source, row_number() OVER (ORDER BY source) AS r FROM (SELECT DISTINCT source FROM chunks)))"""
+
 EXPAND_SQL = f"""{CHUNKS_SQL}, {EXPAND_REQUESTS_SQL}, {HINTS_SQL},
 g AS (SELECT r.request_id, c.*, CASE WHEN c.heading = r.section THEN 1 WHEN contains(lower(c.heading), lower(r.section)) THEN 2 ELSE 3 END AS grade
   FROM expand_requests r JOIN chunks c USING (source)),
@@ -262,7 +265,7 @@ pv AS (SELECT *, lag(content) OVER (PARTITION BY request_id ORDER BY chunk_index
 s AS (SELECT request_id, arg_min(heading, chunk_index) AS heading, min(best) AS grade, count(*) AS chunks,
    string_agg(CASE WHEN trim(substr(content, cut + 1), {WS}) <> '' THEN substr(content, cut + 1) END, chr(10) ORDER BY chunk_index) AS body
    FROM ov GROUP BY request_id),
-known AS (SELECT DISTINCT source FROM chunks)"""
+known AS (SELECT DISTINCT source FROM chunks), {NAMES_SQL}"""
 
 FOUND_SQL = f"""{CHUNKS_SQL}, {LITERAL_REQUESTS_SQL},
 f AS (SELECT r.request_id, c.source, c.chunk_index, count(*) OVER (PARTITION BY request_id) AS total,
@@ -308,15 +311,16 @@ ORACLES = {
         JOIN documents d ON contains(d.text, b.text)),
       r AS (SELECT *, count(*) OVER (PARTITION BY request_id) AS total, row_number() OVER (PARTITION BY request_id ORDER BY source) AS rank FROM f)
       SELECT request_id, rank, source, total FROM r WHERE rank <= 40""",
-    "literal_lookup": f"""WITH RECURSIVE {FOUND_SQL}, t AS (SELECT request_id, max(total) AS total FROM f GROUP BY request_id)
-      SELECT r.request_id, CASE WHEN coalesce(total, 0) > 0 THEN 'ok'
+    "literal_lookup": f"""WITH RECURSIVE {FOUND_SQL}, {NAMES_SQL}, t AS (SELECT request_id, max(total) AS total FROM f GROUP BY request_id)
+      SELECT r.request_id, CASE WHEN coalesce(total, 0) = 0 AND source IS NOT NULL AND source NOT IN (SELECT source FROM chunks) THEN (SELECT hint FROM names) END AS hint,
+        CASE WHEN coalesce(total, 0) > 0 THEN 'ok'
           WHEN source IS NOT NULL AND source NOT IN (SELECT source FROM chunks) THEN 'no_document' ELSE 'empty' END AS status,
         coalesce(total, 0) AS total, least(coalesce(total, 0), 40) AS shown FROM literal_requests r LEFT JOIN t USING (request_id)""",
     "stitch_section": f"WITH RECURSIVE {STITCH_SQL} SELECT source, heading, chunks, md5(body) AS digest FROM stitched",
     "expand_section": f"""WITH RECURSIVE {EXPAND_SQL}
       SELECT r.request_id, CASE WHEN k.source IS NULL THEN 'no_document' WHEN s.grade = 1 THEN 'exact' WHEN s.grade = 2 THEN 'partial' ELSE 'no_section' END AS status,
         CASE WHEN s.grade IS NOT NULL THEN coalesce(nullif(s.heading, ''), '（无标题正文）') END AS heading, coalesce(s.chunks, 0) AS chunks, md5(s.body) AS digest,
-        CASE WHEN s.grade IS NULL AND k.source IS NOT NULL THEN h.hint END AS hint
+        CASE WHEN k.source IS NULL THEN (SELECT hint FROM names) WHEN s.grade IS NULL THEN h.hint END AS hint
       FROM expand_requests r LEFT JOIN known k USING (source) LEFT JOIN s USING (request_id) LEFT JOIN hints h ON h.source = r.source""",
     "heading_hints": f"WITH RECURSIVE {CHUNKS_SQL}, {HINTS_SQL} SELECT source, hint, headings FROM hints",
     "estimate_tokens": f"SELECT doc_id, {tokens_sql('text')} AS tokens FROM documents",

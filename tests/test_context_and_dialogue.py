@@ -74,10 +74,35 @@ def test_expand_section_states(spark):
         1: ("exact", "one", None),
         2: ("partial", "two\nthree", None),
         3: ("no_section", None, "Conf、Conf › Timeouts"),
-        4: ("no_document", None, None),
+        4: ("no_document", None, "a.md、b.md"),
         5: ("no_section", None, None),
         6: ("exact", "one", None),
     }
+    # A stored index gives the same; so do repeated requests, and no request at all.
+    index = K.heading_index(chunks)
+    again = K.expand_section(asked.unionByName(asked.withColumn("request_id", F.col("request_id") + 10)), chunks, 10, index).collect()
+    assert {r.request_id: (r.status, r.body, r.hint) for r in again} == {**got, **{k + 10: v for k, v in got.items()}}
+    assert K.expand_section(asked.limit(0), chunks, 10).count() == 0
+    assert {(r.source, r.heading): (r.first, r.last, r.chunks) for r in index.collect()}["a.md", "Conf › Timeouts"] == (1, 2, 2)
+
+
+def test_literals_share_one_match_table(spark):
+    """Many requests of one pattern, places stored twice, limits, scopes and hints."""
+    rows = [("a.md", i, "h", f"needle {i}") for i in range(5)] + [("b.md", 0, "h", "needle twice"), ("b.md", 0, "h2", "needle twice"), ("c.md", 0, "h", None)]
+    chunks = spark.createDataFrame(rows, "source string, chunk_index int, heading string, content string")
+    asked = [(i, "needle", None) for i in range(20)] + [(30, "needle", "b.md"), (31, "needle", "x.md"), (32, "needle", "c.md"), (33, " ", "a.md"), (34, "3", ""), (35, "gone", None)]
+    requests = spark.createDataFrame(asked, "request_id long, pattern string, source string")
+    got = {}
+    for r in K.find_literal(requests, chunks, 6).collect():
+        got.setdefault(r.request_id, []).append((r["rank"], r.source, r.chunk_index, r.heading, r.content, r.total))
+    first = [(i + 1, "a.md", i, "h", f"needle {i}", 7) for i in range(5)]
+    for i in range(20):
+        assert sorted(got[i])[:5] == first and sorted(got[i])[5][:3] == (6, "b.md", 0) and len(got[i]) == 6
+    assert sorted(got[30]) == [(1, "b.md", 0, "h", "needle twice", 2), (2, "b.md", 0, "h2", "needle twice", 2)]
+    assert [x[:3] for x in got[34]] == [(1, "a.md", 3)] and set(got) == {*range(20), 30, 33, 34}
+    status = {r.request_id: (r.status, r.total, r.shown, r.hint) for r in K.literal_lookup(requests, chunks, 6).collect()}
+    assert status[0] == ("ok", 7, 6, None) and status[30] == ("ok", 2, 2, None) and status[31] == ("no_document", 0, 0, "a.md、b.md、c.md")
+    assert status[32][0] == status[35][0] == "empty" and status[33][0] == "blank" and len(status) == len(asked)
 
 
 def test_prompt_without_hits(spark):
