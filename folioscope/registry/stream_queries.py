@@ -1,7 +1,7 @@
 """Registered streaming queries: each runs a stream over a given table to its end.
 
-Results are read back from files in the shared checkpoint folder. Append-mode windows that are
-still open at the end of the input are not emitted; the SQL twins state the same rule.
+Results are read back from files in the shared checkpoint folder. Windows, sessions and joins that a
+stream still holds open at the end of its input are added by the closing passes.
 """
 
 from __future__ import annotations
@@ -62,8 +62,14 @@ def _as_requests(events: DataFrame) -> DataFrame:
     )
 
 
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    """What a stream over the requests keeps as its raw copy."""
+    return _as_requests(load(spark, d, "events"))
+
+
 def windowed_metrics(spark: SparkSession, d: str) -> DataFrame:
-    rows = _run(spark, flows.window_metrics(_requests(spark, d)))
+    by = ("route", "status")
+    rows = flows.close_windows(_run(spark, flows.window_metrics(_requests(spark, d))), _raw(spark, d), flows.window_metrics, "1 day", "1 hour", by)
     return rows.select(
         F.unix_micros("window_start").alias("window_start"), "route", "status", "requests", "prompt_tokens", "completion_tokens",
         F.round("cost", 4).alias("cost"), F.round("latency_ms", 4).alias("latency_ms"), F.round("max_latency_ms", 4).alias("max_latency_ms"),
@@ -71,12 +77,15 @@ def windowed_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sliding_metrics(spark: SparkSession, d: str) -> DataFrame:
-    rows = _run(spark, flows.window_metrics(_requests(spark, d), width="2 hours", slide="1 hour", by=("route",)))
+    def build(requests: DataFrame) -> DataFrame:
+        return flows.window_metrics(requests, width="2 hours", slide="1 hour", by=("route",))
+
+    rows = flows.close_windows(_run(spark, build(_requests(spark, d))), _raw(spark, d), build, "2 hours", "1 hour", ("route",))
     return rows.select(F.unix_micros("window_start").alias("window_start"), "route", "requests")
 
 
 def session_metrics(spark: SparkSession, d: str) -> DataFrame:
-    rows = _run(spark, flows.session_metrics(_requests(spark, d), gap="6 hours"))
+    rows = flows.close_sessions(_run(spark, flows.session_metrics(_requests(spark, d), gap="6 hours")), _raw(spark, d), gap="6 hours")
     return rows.select("session_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "requests", "errors")
 
 
@@ -90,8 +99,11 @@ def _calls(df: DataFrame) -> DataFrame:
 
 
 def failure_rate(spark: SparkSession, d: str) -> DataFrame:
-    calls = _calls(_stream(spark, d, "events"))
-    rows = _run(spark, flows.failure_rate(calls, width="12 hours", slide="3 hours", min_calls=6, delay="1 hour"))
+    def build(calls: DataFrame) -> DataFrame:
+        return flows.failure_rate(calls, width="12 hours", slide="3 hours", min_calls=6, delay="1 hour")
+
+    rows = _run(spark, build(_calls(_stream(spark, d, "events"))))
+    rows = flows.close_windows(rows, _calls(load(spark, d, "events")), build, "12 hours", "1 hour", ("dependency",), "ts")
     return rows.select("dependency", F.unix_micros("window_start").alias("window_start"), "calls", "failures")
 
 
@@ -101,16 +113,20 @@ def failure_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_feedback_join(spark: SparkSession, d: str) -> DataFrame:
-    """Requests joined with votes made an hour later; only matched rows are compared."""
-    asked = _requests(spark, d)
-    votes = _requests(spark, d).where(F.col("event_type").isin("error", "purchase")).select(
-        "trace_id",
-        (F.col("created_at") + F.expr("INTERVAL 1 HOUR")).alias("created_at"),
-        F.when(F.col("event_type") == "error", "down").otherwise("up").alias("verdict"),
-        F.lit(None).cast("string").alias("reason"),
-    )
-    rows = _run(spark, flows.feedback_join(asked, votes, how="left_outer"))
-    return rows.where("verdict is not null").select("trace_id", "route", "verdict", F.unix_micros("rated_at").alias("rated_at"))
+    """Requests joined with votes made an hour later; some requests have no vote, some votes no request."""
+
+    def votes(requests: DataFrame) -> DataFrame:
+        return requests.where(F.col("event_type").isin("error", "purchase")).select(
+            F.concat(F.when(F.col("event_type") == "purchase", "").otherwise(F.when(F.col("latency_ms") > 1500, "lost-").otherwise("")), "trace_id").alias("trace_id"),
+            (F.col("created_at") + F.expr("INTERVAL 1 HOUR")).alias("created_at"),
+            F.when(F.col("event_type") == "error", "down").otherwise("up").alias("verdict"),
+            F.lit(None).cast("string").alias("reason"),
+        )
+
+    asked, raw = _requests(spark, d), _raw(spark, d)
+    rows = _run(spark, flows.feedback_join(asked, votes(_requests(spark, d)), within="2 hours", delay="1 hour"))
+    rows = flows.close_feedback(rows, raw, votes(raw))
+    return rows.select("trace_id", "route", "verdict", F.unix_micros("asked_at").alias("asked_at"), F.unix_micros("rated_at").alias("rated_at"))
 
 
 def stream_latest_feedback(spark: SparkSession, d: str) -> DataFrame:
@@ -160,11 +176,7 @@ def stream_index(spark: SparkSession, d: str) -> DataFrame:
     return list_documents(table.read())
 
 
-STREAM_SQL = (
-    EVENTS_SQL
-    + """,
-mark AS (SELECT max(created_at) - INTERVAL 1 HOUR AS w FROM interactions)"""
-)
+STREAM_SQL = EVENTS_SQL
 
 QUERIES = {
     f.__name__: f
@@ -182,23 +194,27 @@ ORACLES = {
       SELECT epoch_us(s) AS window_start, route, status, count(*) AS requests, CAST(sum(coalesce(prompt_tokens, 0)) AS BIGINT) AS prompt_tokens,
         CAST(sum(coalesce(completion_tokens, 0)) AS BIGINT) AS completion_tokens, round(sum(coalesce(cost, 0)), 4) AS cost,
         round(sum(latency_ms), 4) AS latency_ms, round(max(latency_ms), 4) AS max_latency_ms
-      FROM g, mark WHERE s + INTERVAL 1 DAY <= w GROUP BY s, route, status""",
+      FROM g GROUP BY s, route, status""",
     "sliding_metrics": f"""WITH {STREAM_SQL}, g AS (SELECT route, date_trunc('hour', created_at) - o * INTERVAL 1 HOUR AS s FROM interactions, (SELECT unnest([0, 1]) AS o))
-      SELECT epoch_us(s) AS window_start, route, count(*) AS requests FROM g, mark WHERE s + INTERVAL 2 HOUR <= w GROUP BY s, route""",
+      SELECT epoch_us(s) AS window_start, route, count(*) AS requests FROM g GROUP BY s, route""",
     "session_metrics": f"""WITH {STREAM_SQL}, l AS (SELECT *, CASE WHEN created_at - lag(created_at) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh
         FROM interactions WINDOW w AS (PARTITION BY session_id ORDER BY created_at)),
       n AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY created_at) AS s FROM l),
       t AS (SELECT session_id, s, min(created_at) AS a, max(created_at) + INTERVAL 6 HOUR AS b, count(*) AS requests, count(*) FILTER (status <> 'ok') AS errors FROM n GROUP BY ALL)
-      SELECT session_id, epoch_us(a) AS started, epoch_us(b) AS ended, requests, errors FROM t, mark WHERE b <= w""",
+      SELECT session_id, epoch_us(a) AS started, epoch_us(b) AS ended, requests, errors FROM t""",
     "failure_rate": f"""WITH {STREAM_SQL}, {_CALLS}, g AS (SELECT dependency, ok, time_bucket(INTERVAL 3 HOUR, ts, TIMESTAMP '1970-01-01') - o * INTERVAL 3 HOUR AS s
         FROM calls, (SELECT unnest([0, 1, 2, 3]) AS o)),
       t AS (SELECT dependency, s, count(*) AS calls, count(*) FILTER (NOT ok) AS failures FROM g GROUP BY ALL)
-      SELECT dependency, epoch_us(s) AS window_start, calls, failures FROM t, mark WHERE calls >= 6 AND failures >= calls * 0.5 AND s + INTERVAL 12 HOUR <= w""",
+      SELECT dependency, epoch_us(s) AS window_start, calls, failures FROM t WHERE calls >= 6 AND failures >= calls * 0.5""",
     "failure_runs": f"""WITH {_CALLS}, n AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY dependency ORDER BY ts, call_id) AS g FROM calls),
       r AS (SELECT *, row_number() OVER (PARTITION BY dependency, g, ok ORDER BY ts, call_id) AS run FROM n WHERE NOT ok)
       SELECT dependency, call_id, run FROM r WHERE run = 3""",
-    "stream_feedback_join": f"""WITH {EVENTS_SQL} SELECT trace_id, route, CASE event_type WHEN 'error' THEN 'down' ELSE 'up' END AS verdict,
-        epoch_us(created_at + INTERVAL 1 HOUR) AS rated_at FROM interactions WHERE event_type IN ('error', 'purchase')""",
+    "stream_feedback_join": f"""WITH {EVENTS_SQL}, v AS (
+        SELECT CASE WHEN event_type = 'error' AND latency_ms > 1500 THEN 'lost-' ELSE '' END || trace_id AS trace_id,
+          created_at + INTERVAL 1 HOUR AS rated_at, CASE event_type WHEN 'error' THEN 'down' ELSE 'up' END AS verdict
+        FROM interactions WHERE event_type IN ('error', 'purchase'))
+      SELECT coalesce(i.trace_id, v.trace_id) AS trace_id, coalesce(route, 'unknown') AS route, verdict, epoch_us(created_at) AS asked_at, epoch_us(rated_at) AS rated_at
+      FROM interactions i FULL JOIN v ON v.trace_id = i.trace_id""",
     "stream_latest_feedback": f"""WITH {EVENTS_SQL} SELECT session_id || '-' || event_type AS trace_id,
         arg_max(CASE WHEN latency_ms > 1500 THEN 'down' ELSE 'up' END, created_at) AS verdict, epoch_us(max(created_at)) AS created_at FROM interactions GROUP BY ALL""",
     "stream_conversations": """WITH t AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS total,

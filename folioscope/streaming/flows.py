@@ -6,6 +6,8 @@ checkpoint folder. Nothing is collected: results go to files.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -105,6 +107,39 @@ def failure_rate(
     )
 
 
+def _watermark(raw: DataFrame, time: str, delay: str) -> Column | None:
+    """Where a stream over ``raw`` stood at its end; None for no rows."""
+    last = raw.agg(F.max(time).alias("last")).first()["last"]
+    return None if last is None else F.lit(last) - F.expr(f"INTERVAL {delay}")
+
+
+def close_windows(emitted: DataFrame, raw: DataFrame, build: Callable[[DataFrame], DataFrame], width: str, delay: str, by: tuple[str, ...], time: str = "created_at") -> DataFrame:
+    """All windows of a stream that has ended: those it emitted, and those it still held open.
+
+    ``raw`` is the stream's copy of its rows, of which only those that can lie in an open window are read;
+    ``build`` makes windows of them as it did in the stream. Emitted windows stay as they are.
+    """
+    mark = _watermark(raw, time, delay)
+    if mark is None:
+        return emitted
+    span = F.expr(f"INTERVAL {width}")
+    held = build(raw.where(F.col(time) > mark - span)).where(F.col("window_start") + span > mark)
+    keys = ["window_start", *by]
+    return emitted.unionByName(held.join(emitted.select(*keys), keys, "left_anti").select(*emitted.columns))
+
+
+def close_sessions(emitted: DataFrame, raw: DataFrame, gap: str = "30 minutes", delay: str = "1 hour", time: str = "created_at") -> DataFrame:
+    """All sessions of a stream that has ended: emitted ones, and open ones made of all their rows."""
+    mark = _watermark(raw, time, delay)
+    if mark is None:
+        return emitted
+    late = raw.where(F.col(time) + F.expr(f"INTERVAL {gap}") > mark).select("session_id").distinct()
+    # Stored before it is filtered: a condition on a session's end would be pushed down to single rows.
+    held = materialise(session_metrics(raw.join(late, "session_id", "left_semi"), time, gap)).where(F.col("ended") > mark)
+    keys = ["session_id", "started"]
+    return emitted.unionByName(held.join(emitted.select(*keys), keys, "left_anti").select(*emitted.columns))
+
+
 def failure_runs(calls: DataFrame, time: str = "ts", threshold: int = FAILURE_RUN, span: str = "1 hour") -> DataFrame:
     """Calls that complete a run of ``threshold`` consecutive failures of a dependency (batch).
 
@@ -186,6 +221,20 @@ def reconcile_feedback(interactions: DataFrame, votes: DataFrame) -> DataFrame:
     )
 
 
+def close_feedback(joined: DataFrame, interactions: DataFrame, votes: DataFrame) -> DataFrame:
+    """All rows of a :func:`feedback_join` that has ended: emitted ones, and requests and votes it still held.
+
+    A row that never found a partner in time is emitted or held once; what came later than the stream waits is
+    told apart by :func:`reconcile_feedback`.
+    """
+    asked = joined.where("asked_at is not null").select("trace_id", "asked_at")
+    rated = joined.where("rated_at is not null").select("trace_id", "rated_at", "verdict")
+    lone = interactions.select("trace_id", F.col("created_at").alias("asked_at"), "route").join(asked, ["trace_id", "asked_at"], "left_anti")
+    lost = votes.select("trace_id", F.col("created_at").alias("rated_at"), "verdict", "reason").join(rated, ["trace_id", "rated_at", "verdict"], "left_anti")
+    named = lone.withColumn("route", F.coalesce(F.nullif("route", F.lit("")), F.lit("unknown")))
+    return joined.unionByName(named, allowMissingColumns=True).unionByName(lost.withColumn("route", F.lit("unknown")), allowMissingColumns=True)
+
+
 def append_votes(votes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keep every vote, one folder per batch; a repeated batch replaces its own folder."""
 

@@ -186,6 +186,36 @@ def test_late_rows_leave_windows_but_stay_in_the_raw_copy(spark, tmp_path):
     assert windows == {"2024-01-01": 1, "2024-01-03": 2}
 
 
+def test_open_windows_and_sessions_are_closed_once(spark, tmp_path):
+    """What a stream emitted stays as it is, what it held open is added, and nothing is counted twice."""
+    batches = [["2024-01-01 10:00:00", "2024-01-03 10:00:00"], ["2024-01-03 11:00:00"], ["2024-01-01 11:00:00"], ["2024-01-05 10:00:00", "2024-01-05 10:10:00"]]
+    stream = request_stream(spark, str(tmp_path / "in"), batches)
+    for query in flows.metrics_with_raw_copy(stream, str(tmp_path / "m"), str(tmp_path / "raw"), str(tmp_path / "ck")):
+        query.awaitTermination()
+    raw, emitted = spark.read.parquet(str(tmp_path / "raw")), spark.read.parquet(str(tmp_path / "m"))
+    for _ in range(2):
+        emitted = flows.close_windows(emitted, raw, flows.window_metrics, "1 day", "1 hour", ("route", "status"))
+        assert {str(r.window_start)[:10]: r.requests for r in emitted.collect()} == {"2024-01-01": 1, "2024-01-03": 2, "2024-01-05": 2}
+    assert flows.close_windows(emitted.limit(0), raw.limit(0), flows.window_metrics, "1 day", "1 hour", ("route", "status")).count() == 0
+    named = raw.withColumn("session_id", F.lit("s"))
+    done = flows.session_metrics(named).where("started < '2024-01-04'")
+    for _ in range(2):
+        done = flows.close_sessions(done, named)
+    assert sorted((str(r.started)[:16], r.requests) for r in done.collect())[-1] == ("2024-01-05 10:00", 2)
+    assert done.count() == flows.session_metrics(named).count()
+
+
+def test_unmatched_votes_and_requests_are_closed(spark):
+    schema = "trace_id string, created_at timestamp, route string, verdict string, reason string"
+    rows = [(t, f"2024-01-0{d} 00:00:00", "r", v, None) for t, d, v in (("a", 1, "up"), ("b", 2, None), ("c", 3, "down"), ("a", 4, "down"))]
+    table = spark.createDataFrame(rows, schema.replace("timestamp", "string")).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    asked, votes = table.where("trace_id <> 'c'").where("created_at < '2024-01-04'"), table.where("verdict is not null")
+    joined = spark.createDataFrame([("a", None, None, "r", "up", None)], "trace_id string, asked_at timestamp, rated_at timestamp, route string, verdict string, reason string")
+    joined = joined.withColumns({c: F.lit("2024-01-01").cast("timestamp") for c in ("asked_at", "rated_at")})
+    got = sorted((r.trace_id, r.route, r.verdict, r.asked_at is None, r.rated_at is None) for r in flows.close_feedback(joined, asked, votes).collect())
+    assert got == [("a", "r", "up", False, False), ("a", "unknown", "down", True, False), ("b", "r", None, False, True), ("c", "unknown", "down", True, False)]
+
+
 def test_conversation_state_over_batches(spark, tmp_path):
     schema = "conv_id long, turn long, role string, text string"
     out = []
