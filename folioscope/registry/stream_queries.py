@@ -112,6 +112,20 @@ def failure_runs(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("dependency", "call_id", "run")
 
 
+def stream_failure_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The calls in several batches of time, shuffled inside; state carries runs from batch to batch."""
+    raw = _calls(load(spark, d, "events"))
+    folder = _folder(spark)
+    low, high = raw.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    for part in range(5):  # one batch after the other, each in an order of its own
+        share = F.least(F.lit(4), F.floor((F.unix_micros("ts") - low) * 5 / max(1, high - low)))
+        raw.where(share == part).repartition(1, "dependency").sortWithinPartitions(F.xxhash64("call_id")).write.mode("append").parquet(folder)
+    calls = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    rows = _run(spark, state.stream_failure_runs(calls, delay="2 hours"))
+    rows = state.close_failure_runs(rows, raw, delay="2 hours", span="6 hours")
+    return rows.select("dependency", "call_id", "run")
+
+
 def stream_feedback_join(spark: SparkSession, d: str) -> DataFrame:
     """Requests joined with votes made an hour later; some requests have no vote, some votes no request."""
 
@@ -181,7 +195,7 @@ STREAM_SQL = EVENTS_SQL
 QUERIES = {
     f.__name__: f
     for f in (
-        windowed_metrics, sliding_metrics, session_metrics, failure_rate, failure_runs, stream_feedback_join,
+        windowed_metrics, sliding_metrics, session_metrics, failure_rate, failure_runs, stream_failure_runs, stream_feedback_join,
         stream_latest_feedback, stream_conversations, stream_answers, stream_index,
     )
 }
@@ -209,6 +223,9 @@ ORACLES = {
     "failure_runs": f"""WITH {_CALLS}, n AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY dependency ORDER BY ts, call_id) AS g FROM calls),
       r AS (SELECT *, row_number() OVER (PARTITION BY dependency, g, ok ORDER BY ts, call_id) AS run FROM n WHERE NOT ok)
       SELECT dependency, call_id, run FROM r WHERE run = 3""",
+    "stream_failure_runs": f"""WITH {_CALLS}, n AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY dependency ORDER BY ts, call_id) AS g FROM calls),
+      r AS (SELECT *, row_number() OVER (PARTITION BY dependency, g, ok ORDER BY ts, call_id) AS run FROM n WHERE NOT ok)
+      SELECT dependency, call_id, run FROM r WHERE run = 3""",
     "stream_feedback_join": f"""WITH {EVENTS_SQL}, v AS (
         SELECT CASE WHEN event_type = 'error' AND latency_ms > 1500 THEN 'lost-' ELSE '' END || trace_id AS trace_id,
           created_at + INTERVAL 1 HOUR AS rated_at, CASE event_type WHEN 'error' THEN 'down' ELSE 'up' END AS verdict

@@ -8,9 +8,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from folioscope.operators.dialogue import SUMMARY_KEEP, SUMMARY_TRIGGER
+from folioscope.streaming.flows import FAILURE_RUN, failure_runs
 
 STATE = "payload string"
 IDLE_MS = 24 * 3600 * 1000
@@ -61,6 +63,62 @@ def stream_conversations(turns: DataFrame, trigger: int = SUMMARY_TRIGGER, keep:
     )
 
 
+RUN_STATE = "run long, done_us long, done_id string, held_us array<long>, held_id array<string>, held_ok array<boolean>"
+
+
+def stream_failure_runs(calls: DataFrame, time: str = "ts", threshold: int = FAILURE_RUN, delay: str = "1 minute") -> DataFrame:
+    """``(dependency, call_id, ts, run)`` of calls that complete a run of ``threshold`` failures, in event order.
+
+    A call is judged when the watermark has passed it, so batches may bring calls in any order within
+    ``delay``. State per dependency is the length of the open run and the calls that still wait. A call that
+    comes later than that would change runs that were reported: it is left to :func:`flows.failure_runs`.
+    """
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        run, done, held = 0, (-1 << 62, ""), []
+        if state.exists:
+            run, done_us, done_id, *lists = state.get
+            done, held = (done_us, done_id), list(zip(*lists, strict=True))
+        mark = state.getCurrentWatermarkMs() * 1000
+        if not state.hasTimedOut:
+            for frame in frames:
+                at = frame["_ts"].astype("int64").tolist()
+                held += [x for x in zip(at, frame["call_id"].tolist(), frame["ok"].tolist(), strict=True) if x[0] > done[0]]
+        held.sort()
+        ready = [x for x in held if x[0] <= mark]
+        held = held[len(ready) :]
+        out = []
+        for at, call, ok in ready:
+            run = 0 if ok else run + 1
+            done = (at, call)
+            if run == threshold:
+                out.append((key[0], call, at, run))
+        lists = [list(map(kind, x)) for kind, x in zip((int, str, bool), zip(*held, strict=True) if held else ([], [], []), strict=True)]
+        state.update((run, *done, *lists))
+        if held:
+            state.setTimeoutTimestamp(max(held[0][0] // 1000, mark // 1000) + 1)
+        if out:
+            yield pd.DataFrame(out, columns=["dependency", "call_id", "ts_us", "run"])
+
+    rows = calls.withWatermark(time, delay).select(
+        "dependency", F.col("call_id").cast("string").alias("call_id"), F.coalesce("ok", F.lit(False)).alias("ok"), F.unix_micros(time).alias("_ts"), time
+    )
+    found = rows.groupBy("dependency").applyInPandasWithState(
+        update, "dependency string, call_id string, ts_us long, run long", RUN_STATE, "append", GroupStateTimeout.EventTimeTimeout
+    )
+    call_type = calls.schema["call_id"].dataType
+    return found.select("dependency", F.col("call_id").cast(call_type).alias("call_id"), F.timestamp_micros("ts_us").alias(time), "run")
+
+
+def close_failure_runs(emitted: DataFrame, raw: DataFrame, time: str = "ts", threshold: int = FAILURE_RUN, delay: str = "1 minute", span: str = "1 hour") -> DataFrame:
+    """All runs of a stream that has ended: those it emitted, and those that calls beyond its watermark complete."""
+    last = raw.agg(F.max(time).alias("last")).first()["last"]
+    if last is None:
+        return emitted
+    late = failure_runs(raw, time, threshold, span).where(F.col(time) > F.lit(last) - F.expr(f"INTERVAL {delay}"))
+    return emitted.unionByName(late.join(emitted.select("dependency", "call_id"), ["dependency", "call_id"], "left_anti"))
+
+
 def stream_answers(events: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """``(trace_id, answer, status)`` once a trace is done, failed or has gone quiet.
 
@@ -77,7 +135,7 @@ def stream_answers(events: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFram
                     if kind == "reset":
                         reset = max(reset, int(seq))
                     elif kind == "token":
-                        tokens[str(seq)] = content
+                        tokens[str(seq)] = content or ""
                     elif kind in ("done", "error"):
                         status = kind
             tokens = {s: t for s, t in tokens.items() if int(s) > reset}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 import time
 
 import pytest
@@ -205,6 +206,37 @@ def test_open_windows_and_sessions_are_closed_once(spark, tmp_path):
     assert done.count() == flows.session_metrics(named).count()
 
 
+def test_streamed_failure_runs_cross_batches(spark, tmp_path):
+    """Runs over batches in any order within the delay equal the batch form; later calls change nothing."""
+    draw = random.Random(4)
+    calls = [(d, i, f"2024-01-01 10:{i // 4:02d}:{i % 4 * 15:02d}", draw.random() < 0.4) for i in range(200) for d in ("a", "b") if draw.random() < 0.8]
+    schema = "dependency string, call_id long, ts string, ok boolean"
+    raw = spark.createDataFrame(calls, schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    for k, part in enumerate([calls[i : i + 60] for i in range(0, len(calls), 60)] + [[("a", 999, "2024-01-01 09:00:00", False)]]):
+        draw.shuffle(part)
+        df = spark.createDataFrame(part, schema).withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.1)
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    flows.write_files(state.stream_failure_runs(stream, threshold=3, delay="5 minutes"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    emitted = spark.read.parquet(str(tmp_path / "out"))
+    wanted = {(r.dependency, r.call_id, r.run) for r in flows.failure_runs(raw, threshold=3).collect()}
+    early = {(r.dependency, r.call_id, r.run) for r in emitted.collect()}
+    assert early < wanted and len(early) > len(wanted) / 2
+    for _ in range(2):
+        emitted = state.close_failure_runs(emitted, raw, threshold=3, delay="5 minutes")
+        assert {(r.dependency, r.call_id, r.run) for r in emitted.collect()} == wanted and emitted.count() == len(wanted)
+
+
+def test_answers_with_null_tokens(spark, tmp_path):
+    schema = "trace_id long, seq long, type string, content string"
+    rows = [(1, 0, "token", "a"), (1, 1, "token", None), (1, 2, "token", "b"), (1, 3, "done", None), (2, 0, "token", None), (2, 1, "error", "x")]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    flows.write_files(state.stream_answers(stream, None), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [(1, "ab", "done"), (2, "", "error")]
+
+
 def test_unmatched_votes_and_requests_are_closed(spark):
     schema = "trace_id string, created_at timestamp, route string, verdict string, reason string"
     rows = [(t, f"2024-01-0{d} 00:00:00", "r", v, None) for t, d, v in (("a", 1, "up"), ("b", 2, None), ("c", 3, "down"), ("a", 4, "down"))]
