@@ -22,6 +22,8 @@ columns are not read.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -35,10 +37,27 @@ from folioscope.llm.shared import Texts, in_arrow, text_blocks, words_of, writte
 Pattern = tuple[dict[int, int], int]
 
 
+#: Words of ASCII fall into these parts, each a token run of its own; words with other signs are not cut here.
+PARTS = re.compile(r"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
+WORD_END = "</w>"
+#: Bytes of text that are tokenised at once: a word is looked up once in each block.
+BLOCK = 4 << 20
+
+
+def parts_of(word: str) -> int:
+    """How many runs of tokens a word becomes, 0 if that is left to the library."""
+    if word.isascii():
+        if word.isalpha():
+            return 1
+        return 0 if "'" in word or "<|" in word else len(PARTS.findall(word))
+    return int(word.isalpha() and unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 class Vocabulary:
     """Token ids of words, worked out by the library once per word and worker."""
 
     LIMIT = 1_000_000
+    TOGETHER = 512
     loaded: dict[str, "Vocabulary"] = {}
 
     def __init__(self, path: str):
@@ -46,6 +65,9 @@ class Vocabulary:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for name, i in names.items() if name.endswith(WORD_END)]] = True
         self.clear()
 
     @classmethod
@@ -55,28 +77,67 @@ class Vocabulary:
         return cls.loaded[path]
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.flat, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.offsets = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64)
+        self.size = 0
 
     def numbers(self, hashes: np.ndarray, text: object) -> np.ndarray:
         """Numbers of entries for hashes; ``text(i)`` gives the i-th word for those not met yet."""
         if len(self.known) > self.LIMIT:
             self.clear()
         unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        get = self.known.get
-        number = np.fromiter((get(h, -1) for h in unique.tolist()), np.int64, len(unique))
+        place = np.searchsorted(self.known, unique)
+        number = np.full(len(unique), -1)
+        inside = np.flatnonzero(place < len(self.known))
+        met = inside[self.known[place[inside]] == unique[inside]]
+        number[met] = self.number[place[met]]
         new = np.flatnonzero(number < 0)
         if len(new):
-            coded = self.tokenizer.encode_batch([text(i) for i in first[new].tolist()], add_special_tokens=False)
-            at = len(self.offsets) - 1
-            arrays = [np.array(c.ids, np.uint32) for c in coded]
-            self.flat = np.concatenate([self.flat, *arrays])
-            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum([len(a) for a in arrays])])
-            number[new] = np.arange(at, at + len(new))
-            self.known.update(zip(unique[new].tolist(), number[new].tolist(), strict=True))
+            words = [text(i) for i in first[new].tolist()]
+            parts = np.array([parts_of(w) for w in words])
+            ids, sizes = self._encoded(words, parts)
+            order = np.append(np.flatnonzero(parts), np.flatnonzero(parts == 0))
+            number[new[order]] = self.size + np.arange(len(new))
+            self._keep(ids, sizes)
+            self.known = np.insert(self.known, place[new], unique[new])
+            self.number = np.insert(self.number, place[new], number[new])
         return number[back]
 
+    def _encoded(self, words: list[str], parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and their numbers, of words with known parts first.
+
+        Those are encoded many at a time: the last token of every part, and no other, carries the word end.
+        """
+        plain = np.flatnonzero(parts)
+        groups = [plain[at : at + self.TOGETHER] for at in range(0, len(plain), self.TOGETHER)]
+        coded = self.tokenizer.encode_batch_fast([" ".join(words[i] for i in g) for g in groups], add_special_tokens=False)
+        ids, sizes = [], []
+        for group, found in zip(groups, coded, strict=True):
+            flat = np.array(found.ids, np.uint32)
+            ends = np.flatnonzero(self.ends[flat])
+            last = np.cumsum(parts[group]) - 1
+            if len(ends) != last[-1] + 1:
+                raise RuntimeError("the tokenizer cuts words in another way")
+            ids.append(flat)
+            sizes.append(np.diff(ends[last], prepend=-1))
+        others = self.tokenizer.encode_batch([words[i] for i in np.flatnonzero(parts == 0)], add_special_tokens=False)
+        ids += [np.array(c.ids, np.uint32) for c in others]
+        sizes.append([len(c.ids) for c in others])
+        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.concatenate(sizes).astype(np.int64)
+
+    def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Append to buffers that double as they fill."""
+        begin = self.offsets[self.size]
+        for name, need in (("flat", begin + len(ids)), ("offsets", self.size + len(sizes) + 1)):
+            old = getattr(self, name)
+            if need > len(old):
+                grown = np.zeros(2 * int(need), old.dtype)
+                grown[: len(old)] = old
+                setattr(self, name, grown)
+        self.flat[begin : begin + len(ids)] = ids
+        self.offsets[self.size + 1 : self.size + 1 + len(sizes)] = begin + np.cumsum(sizes)
+        self.size += len(sizes)
+
 
 def token_ids(texts: Texts, vocabulary: Vocabulary, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids of all rows, each closed by ``end_id``, and where each row begins.
@@ -86,7 +147,7 @@ def token_ids(texts: Texts, vocabulary: Vocabulary, end_id: int) -> tuple[np.nda
     words = words_of(texts, lower=False)
     data = texts.data.tobytes()
     number = vocabulary.numbers(words.hash, lambda i: data[words.start[i] : words.end[i]].decode())
-    size = np.diff(vocabulary.offsets)[number]
+    size = vocabulary.offsets[number + 1] - vocabulary.offsets[number]
     row_size = np.zeros(texts.rows, np.int64)
     np.add.at(row_size, words.rows(), size)
     offsets = np.append(0, np.cumsum(row_size + 1))
@@ -102,7 +163,7 @@ def pieces_of(docs: DataFrame, path: str, max_tokens: int, end_id: int) -> DataF
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         vocabulary = Vocabulary.at(path)
-        for texts in text_blocks(batch.column(1)):
+        for texts in text_blocks(batch.column(1), BLOCK):
             ids, offsets = token_ids(texts, vocabulary, end_id)
             ids = ids.astype("<u4")
             n = np.diff(offsets)
