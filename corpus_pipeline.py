@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import decontaminate, jaccard, packing, secret_scan, toxicity
-from folioscope.llm.shared import documents_of, written
+from folioscope.llm.shared import documents_of, likely_split, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go; those without an id cannot be judged and stay."""
+    """Rows that the toxicity model rejects go, with an id or without."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.kept(docs, model).select(*COLUMNS)
 
@@ -25,12 +25,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the smallest id stays; a repeated id stays once.
 
-    Rows without an id are in no class and stay.
+    Rows without an id are in no class and stay. Of rows with one id the smallest by text stays, null
+    first. Only texts whose id may have to go, or is repeated, are shuffled.
     """
-    classes = jaccard.near_duplicates(docs.select("doc_id", "text"))
-    first = classes.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id").dropDuplicates(["doc_id"])
-    return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    classes = jaccard.near_duplicates(docs.select("doc_id", "text")).where("doc_id is not null")
+    ids = classes.groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("rows"))
+    ids = written(ids.where("first <> doc_id or rows > 1"), "pipeline-ids")
+    asked, kept = likely_split(docs.select(*COLUMNS), ids, "doc_id")
+    told = asked.join(ids, "doc_id", "left")
+    others = [c for c in COLUMNS if c != "doc_id"]
+    once = told.where("first = doc_id").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row")).select("doc_id", "row.*")
+    return kept.unionByName(told.where("first is null").select(*COLUMNS)).unionByName(once.select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
