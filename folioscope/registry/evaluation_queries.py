@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.operators import evaluation as V
@@ -248,26 +248,37 @@ def cost_by_type(spark: SparkSession, d: str) -> DataFrame:
 def compare_runs(spark: SparkSession, d: str) -> DataFrame:
     judged = V.judge_routing(tool_runs(spark, d))
     rows = V.compare_runs(V.routing_summary(judged), V.routing_summary(judged.where("k >= 50")))
-    return _rounded(rows.where("metric in ('n', 'failed', 'tool_ok_pass', 'keyword_coverage')"), ["metric"])
+    return _rounded(rows, ["metric"])
+
+
+def _digest(texts: str) -> Column:
+    """One digest for a list of texts, NULL for none."""
+    return F.md5(F.array_join(texts, "\n").cast("binary"))
 
 
 def export_samples(spark: SparkSession, d: str) -> DataFrame:
-    rows = V.export_samples(tool_runs(spark, d))
-    return rows.groupBy("combo").agg(
-        F.count("*").alias("samples"),
-        F.count("reference").alias("with_reference"),
-        F.sum(F.size("retrieved_contexts")).cast("long").alias("contexts"),
-        F.max(F.get("citations", 0)).alias("last_citation"),
+    """Every sample, its texts as digests."""
+    return V.export_samples(tool_runs(spark, d)).select(
+        "combo",
+        F.md5(F.col("user_input").cast("binary")).alias("asked"),
+        F.md5(F.col("response").cast("binary")).alias("answered"),
+        _digest("retrieved_contexts").alias("contexts"),
+        F.array_join("citations", "|").alias("citations"),
+        F.md5(F.col("reference").cast("binary")).alias("reference"),
     )
 
 
 def score_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Every cell with what its metric may see, as digests."""
     plan = V.score_plan(V.export_samples(tool_runs(spark, d)))
-    return plan.groupBy("metric", "skipped").agg(
-        F.count("*").alias("cells"),
-        F.count("response").alias("with_response"),
-        F.count("retrieved_contexts").alias("with_contexts"),
-        F.count("reference").alias("with_reference"),
+    return plan.select(
+        "combo",
+        F.md5(F.col("user_input").cast("binary")).alias("asked"),
+        "metric",
+        "skipped",
+        F.md5(F.col("response").cast("binary")).alias("answered"),
+        _digest("retrieved_contexts").alias("contexts"),
+        F.md5(F.col("reference").cast("binary")).alias("reference"),
     )
 
 
@@ -405,6 +416,9 @@ _SUMMARY = """count(*) FILTER (error IS NULL) AS n, count(*) FILTER (error IS NO
   round(avg(len(tools) + 1) FILTER (error IS NULL), 4) AS avg_model_calls, round(avg(len(ctx)) FILTER (error IS NULL), 4) AS avg_contexts,
   count(*) FILTER (error IS NULL AND len(ctx) = 0) AS zero_context_runs, CAST(coalesce(sum(tool_failures) FILTER (error IS NULL), 0) AS BIGINT) AS tool_failures"""
 
+#: The same without rounding.
+_EXACT_SUMMARY = _SUMMARY.replace("round(", "(").replace(", 4)", ")")
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -438,18 +452,18 @@ ORACLES = {
         round(median(first_token_s), 4) AS median_first_token_s, round(max(first_token_s), 4) AS max_first_token_s FROM good""",
     "cost_by_type": f"""WITH {RUNS_SQL} SELECT type, count(*) AS n, round(avg(len(tools) + 1), 4) AS avg_model_calls, round(median(total_s), 4) AS median_total_s,
         round(max(total_s), 4) AS max_total_s FROM good GROUP BY type""",
-    "compare_runs": f"""WITH {RUNS_SQL}, s AS (SELECT false AS old, {_SUMMARY} FROM judged UNION ALL SELECT true, {_SUMMARY} FROM judged WHERE k >= 50),
-      t AS (SELECT old, 'n' AS metric, n::DOUBLE AS v FROM s UNION ALL SELECT old, 'failed', failed FROM s UNION ALL SELECT old, 'tool_ok_pass', tool_ok_pass FROM s),
-      c AS (SELECT false AS old, 'keyword_coverage' AS metric, avg(keyword_ratio) AS v FROM good UNION ALL SELECT true, 'keyword_coverage', avg(keyword_ratio) FROM good WHERE k >= 50),
-      u AS (FROM t UNION ALL FROM c)
+    "compare_runs": f"""WITH {RUNS_SQL}, s AS (SELECT false AS old, {_EXACT_SUMMARY} FROM judged UNION ALL SELECT true, {_EXACT_SUMMARY} FROM judged WHERE k >= 50),
+      d AS (SELECT old, COLUMNS(* EXCLUDE old)::DOUBLE FROM s),
+      u AS (FROM d UNPIVOT INCLUDE NULLS (v FOR metric IN (COLUMNS(* EXCLUDE (old)))))
       SELECT metric, round(max(v) FILTER (NOT old), 4) AS value, round(max(v) FILTER (old), 4) AS baseline,
         round(max(v) FILTER (NOT old) - max(v) FILTER (old), 4) AS delta FROM u GROUP BY metric""",
-    "export_samples": f"""WITH {RUNS_SQL} SELECT 'agent' AS combo, count(*) AS samples, count(ground_truth) AS with_reference, CAST(sum(len(ctx)) AS BIGINT) AS contexts,
-        max(ctx[1] || ' › （无标题正文）') AS last_citation FROM good""",
+    "export_samples": f"""WITH {RUNS_SQL} SELECT 'agent' AS combo, md5(question) AS asked, md5(answer) AS answered, md5(CASE WHEN len(ctx) > 0 THEN 'text ' || k ELSE '' END) AS contexts,
+        coalesce(array_to_string([x || ' › （无标题正文）' FOR x IN ctx], '|'), '') AS citations, md5(nullif(ground_truth, '')) AS reference FROM good""",
     "score_plan": f"""WITH {RUNS_SQL}, m AS (SELECT unnest(['context_precision', 'context_recall', 'faithfulness', 'answer_relevancy']) AS metric,
         unnest([true, true, false, false]) AS ref, unnest([false, false, true, true]) AS ans, unnest([true, true, true, false]) AS ctxs)
-      SELECT metric, CASE WHEN ref AND ground_truth IS NULL THEN '缺少 ground_truth' END AS skipped, count(*) AS cells, count(*) FILTER (ans) AS with_response,
-        count(*) FILTER (ctxs) AS with_contexts, count(*) FILTER (ref AND ground_truth IS NOT NULL) AS with_reference FROM good, m GROUP BY 1, 2""",
+      SELECT 'agent' AS combo, md5(question) AS asked, metric, CASE WHEN ref AND ground_truth IS NULL THEN '缺少 ground_truth' END AS skipped,
+        CASE WHEN ans THEN md5(answer) END AS answered, CASE WHEN ctxs THEN md5(CASE WHEN len(ctx) > 0 THEN 'text ' || k ELSE '' END) END AS contexts,
+        CASE WHEN ref THEN md5(ground_truth) END AS reference FROM good, m""",
     "score_summary": f"WITH {SCORES_SQL} SELECT combo, metric, round(avg(value), 4) AS mean, count(value) AS valid, count(*) AS rows FROM ja GROUP BY ALL",
     "failure_reasons": f"WITH {SCORES_SQL} SELECT split_part(error, ':', 1) AS reason, count(*) AS cells FROM ja WHERE error IS NOT NULL GROUP BY ALL",
     "judge_overlap": f"""WITH {SCORES_SQL}, a AS (SELECT DISTINCT combo, user_input FROM ja), b AS (SELECT DISTINCT combo, user_input FROM jb)
