@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.operators import chunking as C
 from folioscope.operators import embedding as E
 from folioscope.operators import evaluation as V
 from folioscope.operators import retrieval as R
 from folioscope.plans.retrieve import COMBOS, RetrieveOptions, ablation, retrieve, retrieve_with_diagnostics
-from folioscope.registry.derive import CORPUS_SQL, corpus, judged_questions, load, questions, spread
+from folioscope.registry.chunk_queries import CHUNKS_SQL
+from folioscope.registry.derive import CORPUS_SQL, corpus, judged_questions, load, markdown, questions, spread
 
 OPTIONS = RetrieveOptions()
 EMBEDDER = E.get_embedder("hashing")
@@ -199,6 +201,12 @@ def retrieve_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return _flat_hits(retrieve(questions(spark, d), _vectors(spark, d), EMBEDDER, RetrieveOptions(hybrid=True)))
 
 
+def retrieve_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """From documents to answers: cut into chunks, embed them with their headings, search both legs, rerank."""
+    chunks = E.embed_chunks(C.chunk_documents(markdown(spark, d)), EMBEDDER)
+    return _flat_hits(retrieve(questions(spark, d), chunks, EMBEDDER, RetrieveOptions(hybrid=True, rerank=True)))
+
+
 def retrieval_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     options = RetrieveOptions(hybrid=True, rerank=True)
     return retrieve_with_diagnostics(questions(spark, d), _vectors(spark, d), EMBEDDER, options)[1]
@@ -316,6 +324,13 @@ scored AS (
 _HIT_COLUMNS = """query_id, rank, chunk_id, source || ' › ' || heading AS citation, score_type,
   round(similarity, 4) AS similarity, round(bm25_score, 4) AS bm25_score, round(rrf_score, 6) AS rrf_score"""
 
+#: The legs over chunks of the Markdown corpus, whose vectors are those of heading and body.
+CHUNK_LEGS_SQL = (
+    CHUNKS_SQL
+    + ", corpus AS MATERIALIZED (SELECT chunk_id, source, heading, content FROM chunks)"
+    + LEGS_SQL[len(CORPUS_SQL) :].replace("string_split(lower(content), '')", "string_split(lower(CASE WHEN heading = '' THEN content ELSE heading || chr(10) || content END), '')")
+)
+
 QUERIES = {
     "tokenize_bigram": tokenize_bigram,
     "embed_column": embed_column,
@@ -334,6 +349,7 @@ QUERIES = {
     "backfill_candidates": backfill_candidates,
     "lexical_rerank": lexical_rerank,
     "retrieve_hybrid": retrieve_hybrid,
+    "retrieve_chunks": retrieve_chunks,
     "retrieve_hybrid_rerank": retrieve_hybrid_rerank,
     "retrieval_diagnostics": retrieval_diagnostics,
     "ablation_scores": ablation_scores,
@@ -384,6 +400,8 @@ ORACLES = {
       SELECT query_id, rank, chunk_id, round(pair, 4) AS rerank_score FROM r WHERE rank <= 5""",
     "retrieve_hybrid": f"""WITH {LEGS_SQL} SELECT {_HIT_COLUMNS}, CAST(NULL AS DOUBLE) AS rerank_score, round(score, 4) AS score
       FROM ranked WHERE combo = 'hybrid'""",
+    "retrieve_chunks": f"""WITH RECURSIVE {CHUNK_LEGS_SQL} SELECT {_HIT_COLUMNS}, round(pair, 4) AS rerank_score, round(score, 4) AS score
+      FROM ranked WHERE combo = 'hybrid+rerank'""",
     "retrieve_hybrid_rerank": f"""WITH {LEGS_SQL} SELECT {_HIT_COLUMNS}, round(pair, 4) AS rerank_score, round(score, 4) AS score
       FROM ranked WHERE combo = 'hybrid+rerank'""",
     "retrieval_diagnostics": f"""WITH {LEGS_SQL}
