@@ -125,6 +125,18 @@ def expand_section(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("request_id", "status", "heading", "chunks", digest("body").alias("digest"), "hint")
 
 
+def expand_tool(spark: SparkSession, d: str) -> DataFrame:
+    """The section tool: bodies cut to the token budget of one call."""
+    rows = P.expand_section(expand_requests(spark, d), chunks(spark, d), 50)
+    return rows.select("request_id", "status", "chunks", digest("body").alias("digest"), "truncated")
+
+
+def literal_tool(spark: SparkSession, d: str) -> DataFrame:
+    """The literal tool: hits packed into the token budget of one call and rendered."""
+    rows = P.find_literal(literal_requests(spark, d), chunks(spark, d))
+    return rows.select("request_id", "status", "total", "shown", digest("rendered").alias("digest"), "truncated")
+
+
 def heading_hints(spark: SparkSession, d: str) -> DataFrame:
     return K.heading_hints(chunks(spark, d))
 
@@ -287,6 +299,8 @@ QUERIES = {
     "literal_lookup": literal_lookup,
     "stitch_section": stitch_section,
     "expand_section": expand_section,
+    "expand_tool": expand_tool,
+    "literal_tool": literal_tool,
     "heading_hints": heading_hints,
     "estimate_tokens": estimate_tokens,
     "truncate_tokens": truncate_tokens,
@@ -322,6 +336,27 @@ ORACLES = {
         CASE WHEN s.grade IS NOT NULL THEN coalesce(nullif(s.heading, ''), '（无标题正文）') END AS heading, coalesce(s.chunks, 0) AS chunks, md5(s.body) AS digest,
         CASE WHEN k.source IS NULL THEN (SELECT hint FROM names) WHEN s.grade IS NULL THEN h.hint END AS hint
       FROM expand_requests r LEFT JOIN known k USING (source) LEFT JOIN s USING (request_id) LEFT JOIN hints h ON h.source = r.source""",
+    "expand_tool": f"""WITH RECURSIVE {EXPAND_SQL},
+      t AS (SELECT r.request_id, r.source, s.heading, s.body, s.chunks, s.grade, k.source IS NOT NULL AS is_known
+        FROM expand_requests r LEFT JOIN known k USING (source) LEFT JOIN s USING (request_id)),
+      c AS (SELECT *, {tokens_sql(LABEL)} + 1 AS lab, {tokens_sql('body')} AS cost FROM t)
+      SELECT request_id, CASE WHEN NOT is_known THEN 'no_document' WHEN grade = 1 THEN 'exact' WHEN grade = 2 THEN 'partial' ELSE 'no_section' END AS status,
+        coalesce(chunks, 0) AS chunks, md5(CASE WHEN cost + lab <= {K.EXPAND_TOKENS} THEN body ELSE substr(body, 1, 4 * ({K.EXPAND_TOKENS} - lab)) END) AS digest,
+        cost + lab > {K.EXPAND_TOKENS} AS truncated FROM c""",
+    "literal_tool": f"""WITH RECURSIVE {FOUND_SQL},
+      h AS (SELECT f.request_id, f.rank, c.* FROM f JOIN chunks c USING (source, chunk_index) WHERE rank <= 40),
+      cost AS (SELECT *, {tokens_sql(LABEL)} + 1 AS lab, {tokens_sql('content')} + {tokens_sql(LABEL)} + 1 AS cost FROM h),
+      used AS (SELECT *, sum(cost) OVER (PARTITION BY request_id ORDER BY rank) AS used, sum(cost) OVER (PARTITION BY request_id) AS all_cost FROM cost),
+      p AS (SELECT request_id, rank, {LABEL} AS label, all_cost > {K.PAYLOAD_TOKENS} AS cut,
+          CASE WHEN used <= {K.PAYLOAD_TOKENS} THEN content ELSE substr(content, 1, 4 * ({K.PAYLOAD_TOKENS} - lab)) END AS content
+        FROM used WHERE used <= {K.PAYLOAD_TOKENS} OR (rank = 1 AND lab < {K.PAYLOAD_TOKENS})),
+      g AS (SELECT request_id, md5(string_agg(label || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS digest, bool_or(cut) AS cut
+        FROM p GROUP BY request_id),
+      t AS (SELECT request_id, max(total) AS total FROM f GROUP BY request_id)
+      SELECT r.request_id, CASE WHEN coalesce(total, 0) > 0 THEN 'ok'
+          WHEN source IS NOT NULL AND source NOT IN (SELECT source FROM chunks) THEN 'no_document' ELSE 'empty' END AS status,
+        coalesce(total, 0) AS total, least(coalesce(total, 0), 40) AS shown, digest, coalesce(cut, false) OR coalesce(total, 0) > 40 AS truncated
+      FROM literal_requests r LEFT JOIN t USING (request_id) LEFT JOIN g USING (request_id)""",
     "heading_hints": f"WITH RECURSIVE {CHUNKS_SQL}, {HINTS_SQL} SELECT source, hint, headings FROM hints",
     "estimate_tokens": f"SELECT doc_id, {tokens_sql('text')} AS tokens FROM documents",
     "truncate_tokens": "SELECT doc_id, length(substr(text, 1, 400)) AS chars, md5(substr(text, 1, 400)) AS digest FROM documents",
