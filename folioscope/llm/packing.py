@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import Texts, in_arrow, text_blocks, words_of, written
+from folioscope.llm.shared import Texts, give_back, in_arrow, text_blocks, words_of, written
 
 Pattern = tuple[dict[int, int], int]
 
@@ -41,7 +41,7 @@ Pattern = tuple[dict[int, int], int]
 PARTS = re.compile(r"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
 WORD_END = "</w>"
 #: Bytes of text that are tokenised at once: a word is looked up once in each block.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 
 def parts_of(word: str) -> int:
@@ -180,6 +180,7 @@ def pieces_of(docs: DataFrame, path: str, max_tokens: int, end_id: int) -> DataF
                 "length": length,
                 "ids_crc32": [zlib.crc32(ids[a : a + k]) for a, k in zip(begin.tolist(), length.tolist(), strict=True)],
             }
+        give_back()
 
     return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

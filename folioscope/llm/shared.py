@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,6 +41,14 @@ def bucket(divisor: int) -> object:
     return F.crc32(F.col("doc_id").cast("string")) % divisor
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker goes on with tasks of other operators."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def in_arrow(df: DataFrame, function: object, schema: T.StructType | str) -> DataFrame:
     """``mapInArrow`` whose batches are cast to ``schema``; ``function`` maps one batch to tables."""
     target = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema

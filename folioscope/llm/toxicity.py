@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import LOWER, Texts, in_arrow, mix, streamed, text_blocks, words_of
+from folioscope.llm.shared import LOWER, Texts, give_back, in_arrow, mix, streamed, text_blocks, words_of
 
 LETTERS = 32
 WIDEST = 20
@@ -385,6 +385,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, max_bytes: i
                     texts.append(text)
                     toxic.append(int(bool(label)))
         model = fit(texts, toxic)
+        del texts, toxic
+        give_back()
         yield {"weights": pa.array([model.weights.tobytes()]), **{c: pa.array([float(getattr(model, c))]) for c in ("bias", "slope", "shift")}}
 
     fitted = streamed(rows, run, "weights binary, bias double, slope double, shift double").toArrow().to_pylist()
