@@ -113,17 +113,16 @@ def failure_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_failure_runs(spark: SparkSession, d: str) -> DataFrame:
-    """The calls in several batches of time, shuffled inside; state carries runs from batch to batch."""
+    """The calls in several batches of time, shuffled inside; files carry runs from batch to batch."""
     raw = _calls(load(spark, d, "events"))
     folder = _folder(spark)
-    low, high = raw.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
-    for part in range(5):  # one batch after the other, each in an order of its own
-        share = F.least(F.lit(4), F.floor((F.unix_micros("ts") - low) * 5 / max(1, high - low)))
-        raw.where(share == part).repartition(1, "dependency").sortWithinPartitions(F.xxhash64("call_id")).write.mode("append").parquet(folder)
-    calls = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    rows = _run(spark, state.stream_failure_runs(calls, delay="2 hours"))
-    rows = state.close_failure_runs(rows, raw, delay="2 hours", span="6 hours")
-    return rows.select("dependency", "call_id", "run")
+    low, high = (x or 0 for x in raw.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first())
+    share = F.least(F.lit(4), F.floor((F.unix_micros("ts") - low) * 5 / max(1, high - low)))
+    for part in range(5):  # one batch after the other: a run of the stream takes all files that are new
+        raw.where(share == part).repartition("call_id").write.mode("append").parquet(f"{folder}/in")
+        calls = spark.readStream.schema(raw.schema).parquet(f"{folder}/in")
+        flows.run_batches(calls, f"{folder}/runs", f"{folder}/checkpoint", delay="2 hours", span="6 hours").awaitTermination()
+    return flows.read_runs(raw, f"{folder}/runs", span="6 hours").select("dependency", "call_id", "run")
 
 
 def stream_feedback_join(spark: SparkSession, d: str) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from folioscope.operators.chunking import chunk_documents
 from folioscope.operators.embedding import Embedder, embed_chunks
@@ -140,11 +141,11 @@ def close_sessions(emitted: DataFrame, raw: DataFrame, gap: str = "30 minutes",
     return emitted.unionByName(held.join(emitted.select(*keys), keys, "left_anti").select(*emitted.columns))
 
 
-def failure_runs(calls: DataFrame, time: str = "ts", threshold: int = FAILURE_RUN, span: str = "1 hour") -> DataFrame:
-    """Calls that complete a run of ``threshold`` consecutive failures of a dependency (batch).
+def _runs(calls: DataFrame, time: str, span: str, carry: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """``calls`` with the length of the run each belongs to, and ``(dependency, run)`` at their end.
 
     A dependency may own a third of all calls, so runs are counted inside time spans and carried
-    over from span to span on one row per span.
+    over from span to span on one row per span. ``carry(dependency, run)`` are the runs open before.
     """
     order = ["dependency", "_span"]
     rows = calls.withColumn("_span", F.window(time, span)["start"])
@@ -155,23 +156,84 @@ def failure_runs(calls: DataFrame, time: str = "ts", threshold: int = FAILURE_RU
     # The first stretch of a span has no success before it and continues the last span's run.
     rows = rows.withColumn("_run", F.row_number().over(streak) - F.when(F.col("_wins") > 0, 1).otherwise(0))
     spans = rows.groupBy(*order).agg(
-        F.count("*").alias("_n"),
         F.max("_wins").alias("_won"),
         F.max_by("_run", F.struct(F.col(time), F.col("call_id"))).alias("_tail"),
     )
+    if carry is None:
+        spans = spans.withColumn("_before", F.lit(0).cast("long"))
+    else:
+        spans = materialise(spans).join(carry.select("dependency", F.col("run").alias("_before")), "dependency", "left")
     # One row per span: group the spans behind each one that saw a success and sum their tails.
     by_span = Window.partitionBy("dependency").orderBy("_span")
     spans = spans.withColumn("_group", F.sum((F.col("_won") > 0).cast("int")).over(by_span))
     stretch = Window.partitionBy("dependency", "_group").orderBy("_span").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spans = spans.withColumn("_end", F.sum("_tail").over(stretch))
-    carry = spans.select(*order, F.coalesce(F.lag("_end").over(by_span), F.lit(0)).alias("_carry"))
+    before = F.coalesce("_before", F.lit(0))
+    spans = spans.withColumn("_end", F.sum("_tail").over(stretch) + F.when(F.coalesce("_group", F.lit(0)) == 0, before).otherwise(0))
+    opened = spans.select(*order, F.coalesce(F.lag("_end").over(by_span), before).alias("_carry"))
     total = F.when(F.col("ok"), 0).otherwise(F.col("_run") + F.when(F.col("_wins") == 0, F.col("_carry")).otherwise(0))
-    return (
-        rows.join(carry, order)
-        .withColumn("run", total)
-        .where(F.col("run") == threshold)
-        .select("dependency", "call_id", F.col(time), F.col("run").cast("long").alias("run"))
-    )
+    ends = spans.groupBy("dependency").agg(F.max_by("_end", "_span").cast("long").alias("run"))
+    return rows.join(opened, order).withColumn("run", total.cast("long")), ends
+
+
+def failure_runs(calls: DataFrame, time: str = "ts", threshold: int = FAILURE_RUN, span: str = "1 hour", carry: DataFrame | None = None) -> DataFrame:
+    """Calls that complete a run of ``threshold`` consecutive failures of a dependency (batch)."""
+    rows, _ = _runs(calls, time, span, carry)
+    return rows.where(F.col("run") == threshold).select("dependency", "call_id", F.col(time), "run")
+
+
+def run_batches(calls: DataFrame, path: str, checkpoint: str, time: str = "ts", threshold: int = FAILURE_RUN, delay: str = "1 minute", span: str = "1 hour") -> StreamingQuery:
+    """:func:`failure_runs` over a stream, batch by batch, each spread over time spans; read by :func:`read_runs`.
+
+    A call is judged once the stream is ``delay`` past it. What goes from batch to batch is a row per dependency
+    and the calls that still wait, in a folder per batch that a repeated batch replaces. A call that comes
+    later than that would change runs that were reported: it is left to :func:`failure_runs`.
+    """
+    spark = calls.sparkSession
+    fields = ["dependency", "call_id", time, "ok"]
+
+    def judge(batch: DataFrame, batch_id: int) -> None:
+        fresh, last = batch.select(*fields), batch.agg(F.max(time).alias("last"))
+        carry = None
+        if batch_id:
+            old = spark.read.parquet(_part(path, "last", batch_id - 1))
+            mark = old.first()["last"]
+            if mark is not None:
+                fresh = fresh.where(F.col(time) > F.lit(mark) - F.expr(f"INTERVAL {delay}"))
+            held, carry = _waiting(calls, path, batch_id - 1, fields)
+            fresh, last = fresh.unionByName(held), last.unionByName(old).agg(F.max("last").alias("last"))
+        last.write.mode("overwrite").parquet(_part(path, "last", batch_id))
+        mark = spark.read.parquet(_part(path, "last", batch_id)).first()["last"]
+        passed = F.lit(False) if mark is None else F.col(time) <= F.lit(mark) - F.expr(f"INTERVAL {delay}")
+        fresh.where(~passed).write.mode("overwrite").parquet(_part(path, "held", batch_id))
+        rows, ends = _runs(fresh.where(passed), time, span, carry)
+        found = rows.where(F.col("run") == threshold).select("dependency", "call_id", time, "run")
+        found.write.mode("overwrite").parquet(_part(path, "out", batch_id))
+        if carry is not None:
+            ends = ends.unionByName(carry.join(ends.select("dependency"), "dependency", "left_anti"))
+        ends.write.mode("overwrite").parquet(_part(path, "carry", batch_id))
+
+    return calls.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _part(path: str, what: str, batch_id: int) -> str:
+    return f"{path}/{what}/batch={batch_id}"
+
+
+def _waiting(calls: DataFrame, path: str, batch_id: int, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The calls that wait after a batch, and the runs that are open before them."""
+    kept = calls.select(*fields).schema
+    runs = StructType([kept["dependency"], StructField("run", LongType())])
+    read = calls.sparkSession.read
+    return read.schema(kept).parquet(_part(path, "held", batch_id)), read.schema(runs).parquet(_part(path, "carry", batch_id))
+
+
+def read_runs(calls: DataFrame, path: str, time: str = "ts", threshold: int = FAILURE_RUN, span: str = "1 hour") -> DataFrame:
+    """All runs of a :func:`run_batches` that has ended: reported ones, and those that waiting calls complete."""
+    spark = calls.sparkSession
+    last = spark.read.parquet(f"{path}/last").agg(F.max("batch")).first()[0]
+    held, carry = _waiting(calls, path, last, ["dependency", "call_id", time, "ok"])
+    late = failure_runs(held, time, threshold, span, carry)
+    return spark.read.schema(late.schema).parquet(f"{path}/out").select(*late.columns).unionByName(late)
 
 
 # ---------------------------------------------------------------- feedback

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegralType
 
 from folioscope.operators.dialogue import SUMMARY_KEEP, SUMMARY_TRIGGER
 from folioscope.streaming.flows import FAILURE_RUN, failure_runs
@@ -63,7 +64,7 @@ def stream_conversations(turns: DataFrame, trigger: int = SUMMARY_TRIGGER, keep:
     )
 
 
-RUN_STATE = "run long, done_us long, done_id string, held_us array<long>, held_id array<string>, held_ok array<boolean>"
+RUN_STATE = "run long, done_us long, held_us array<long>, held_id array<{id}>, held_ok array<boolean>"
 
 
 def stream_failure_runs(calls: DataFrame, time: str = "ts", threshold: int = FAILURE_RUN, delay: str = "1 minute") -> DataFrame:
@@ -74,40 +75,42 @@ def stream_failure_runs(calls: DataFrame, time: str = "ts", threshold: int = FAI
     comes later than that would change runs that were reported: it is left to :func:`flows.failure_runs`.
     """
 
+    # Calls of one time are ordered by their ids: numbers as numbers, all else as text.
+    kind, native = ("long", int) if isinstance(calls.schema["call_id"].dataType, IntegralType) else ("string", str)
+
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run, done, held = 0, (-1 << 62, ""), []
+        run, done, held = 0, -1 << 62, []
         if state.exists:
-            run, done_us, done_id, *lists = state.get
-            done, held = (done_us, done_id), list(zip(*lists, strict=True))
+            run, done, *lists = state.get
+            held = list(zip(*lists, strict=True))
         mark = state.getCurrentWatermarkMs() * 1000
         if not state.hasTimedOut:
             for frame in frames:
                 at = frame["_ts"].astype("int64").tolist()
-                held += [x for x in zip(at, frame["call_id"].tolist(), frame["ok"].tolist(), strict=True) if x[0] > done[0]]
+                held += [x for x in zip(at, frame["call_id"].tolist(), frame["ok"].tolist(), strict=True) if x[0] > done]
         held.sort()
         ready = [x for x in held if x[0] <= mark]
         held = held[len(ready) :]
         out = []
         for at, call, ok in ready:
             run = 0 if ok else run + 1
-            done = (at, call)
+            done = at
             if run == threshold:
                 out.append((key[0], call, at, run))
-        lists = [list(map(kind, x)) for kind, x in zip((int, str, bool), zip(*held, strict=True) if held else ([], [], []), strict=True)]
-        state.update((run, *done, *lists))
+        lists = [list(map(kind, x)) for kind, x in zip((int, native, bool), zip(*held, strict=True) if held else ([], [], []), strict=True)]
+        state.update((run, done, *lists))
         if held:
             state.setTimeoutTimestamp(max(held[0][0] // 1000, mark // 1000) + 1)
         if out:
             yield pd.DataFrame(out, columns=["dependency", "call_id", "ts_us", "run"])
 
     rows = calls.withWatermark(time, delay).select(
-        "dependency", F.col("call_id").cast("string").alias("call_id"), F.coalesce("ok", F.lit(False)).alias("ok"), F.unix_micros(time).alias("_ts"), time
+        "dependency", F.col("call_id").cast(kind).alias("call_id"), F.coalesce("ok", F.lit(False)).alias("ok"), F.unix_micros(time).alias("_ts"), time
     )
     found = rows.groupBy("dependency").applyInPandasWithState(
-        update, "dependency string, call_id string, ts_us long, run long", RUN_STATE, "append", GroupStateTimeout.EventTimeTimeout
+        update, f"dependency string, call_id {kind}, ts_us long, run long", RUN_STATE.format(id=kind), "append", GroupStateTimeout.EventTimeTimeout
     )
-    call_type = calls.schema["call_id"].dataType
-    return found.select("dependency", F.col("call_id").cast(call_type).alias("call_id"), F.timestamp_micros("ts_us").alias(time), "run")
+    return found.select("dependency", F.col("call_id").cast(calls.schema["call_id"].dataType).alias("call_id"), F.timestamp_micros("ts_us").alias(time), "run")
 
 
 def close_failure_runs(emitted: DataFrame, raw: DataFrame, time: str = "ts", threshold: int = FAILURE_RUN, delay: str = "1 minute", span: str = "1 hour") -> DataFrame:

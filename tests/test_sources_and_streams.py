@@ -308,3 +308,27 @@ def test_contents_lines_that_close_leave_nothing_open(spark):
     lines = ["1 foo", "3 bar ..... 7", "2 bar ..... 9", "4 long title that", "goes on ..... 12", *[f"{k} more {k} ..... {k}" for k in range(5, 9)]]
     got = {r.number: r.title for r in P.parse_toc(pages_of(spark, [lines])).collect()}
     assert got["2"] == "bar" and got["4"].startswith("long title that goes on") and got["1"].startswith("foo") and "3" not in got
+
+
+def test_failure_runs_by_batches_carry_runs_and_order_ties_by_number(spark, tmp_path):
+    """Batches, shuffled inside, equal the batch form; ids of one time count as numbers in the keyed form too."""
+    draw = random.Random(7)
+    calls = [(d, i, f"2024-01-01 {10 + i // 120:02d}:{i // 4 % 30 * 2:02d}:00", draw.random() < 0.3) for i in range(480) for d in ("a", "b") if draw.random() < 0.8]
+    schema = "dependency string, call_id long, ts string, ok boolean"
+
+    def table(rows):
+        return spark.createDataFrame(rows, schema).withColumn("ts", F.col("ts").cast("timestamp"))
+
+    raw = table(calls)
+    wanted = {(r.dependency, r.call_id, r.run) for r in flows.failure_runs(raw).collect()}
+    for part in (calls[i : i + 200] for i in range(0, len(calls), 200)):
+        draw.shuffle(part)
+        table(part).repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(raw.schema).parquet(str(tmp_path / "in"))
+        flows.run_batches(stream, str(tmp_path / "runs"), str(tmp_path / "ck"), delay="5 minutes").awaitTermination()
+    got = [(r.dependency, r.call_id, r.run) for r in flows.read_runs(raw, str(tmp_path / "runs")).collect()]
+    assert set(got) == wanted and len(got) == len(wanted) > 10
+    stream = spark.readStream.schema(raw.schema).parquet(str(tmp_path / "in"))
+    flows.write_files(state.stream_failure_runs(stream, delay="5 minutes"), str(tmp_path / "out"), str(tmp_path / "ck2")).awaitTermination()
+    early = {(r.dependency, r.call_id, r.run) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert early <= wanted and len(early) > len(wanted) / 2
