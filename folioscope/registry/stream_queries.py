@@ -24,9 +24,10 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _stream(spark: SparkSession, d: str, table: str) -> DataFrame:
-    """A given table as a file stream."""
+    """A given table, one file or a folder of files, as a file stream."""
     schema = load(spark, d, table).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(d)
+    # A stream over a plain path takes folders only; a pattern may name either.
+    return spark.readStream.schema(schema).parquet(f"{d}/{table}.parque[t]")
 
 
 def _run(spark: SparkSession, stream: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from folioscope import schemas
 from folioscope.operators import chunking as C
 from folioscope.operators import embedding as E
 from folioscope.operators import pagetext as P
+from folioscope.registry import stream_queries
 from folioscope.sources import files
 from folioscope.sources.store import ChunkTable, list_documents
 from folioscope.streaming import flows, state
@@ -332,3 +333,16 @@ def test_failure_runs_by_batches_carry_runs_and_order_ties_by_number(spark, tmp_
     flows.write_files(state.stream_failure_runs(stream, delay="5 minutes"), str(tmp_path / "out"), str(tmp_path / "ck2")).awaitTermination()
     early = {(r.dependency, r.call_id, r.run) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert early <= wanted and len(early) > len(wanted) / 2
+
+
+def test_a_table_in_a_folder_is_streamed_like_one_file(spark, tmp_path):
+    """Larger tables are folders of files."""
+    rows = [(c, t, "system" if t == 1 else "user", f"{c}-{t}") for c in range(6) for t in range(4)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns.repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    docs = spark.createDataFrame([(i, f"title {i}\nbody") for i in range(5)], "doc_id long, text string")
+    docs.repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    answers = stream_queries.stream_answers(spark, str(tmp_path)).collect()
+    assert sorted((r.trace_id, r.answer) for r in answers) == [(c, f"{c}-2{c}-3") for c in range(6)]
+    assert {(r.conv_id, r.total) for r in stream_queries.stream_conversations(spark, str(tmp_path)).collect()} == {(c, 4) for c in range(6)}
+    assert stream_queries.stream_index(spark, str(tmp_path)).count() == 5
