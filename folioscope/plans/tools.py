@@ -53,15 +53,19 @@ def search_docs(
 
 
 def expand_section(requests: DataFrame, chunks: DataFrame, max_overlap: int = 50, budget: int = K.EXPAND_TOKENS) -> DataFrame:
-    """:func:`folioscope.operators.context.expand_section` with the body cut to a token budget."""
+    """:func:`folioscope.operators.context.expand_section` with the body cut to a token budget.
+
+    A heading that takes the whole budget leaves an empty body, which counts as cut.
+    """
     sections = K.expand_section(requests, chunks, max_overlap)
     found = sections.where("body is not null").select(
         "request_id", F.lit(1).alias("rank"), "source", "heading", F.col("body").alias("content")
     )
     packed = K.pack_contexts(found, max(_budget(K.PAYLOAD_TOKENS), budget), by=("request_id",))
-    return sections.drop("body").join(
-        packed.select("request_id", F.col("content").alias("body"), "truncated"), "request_id", "left"
-    )
+    has_body = F.col("body").isNotNull()
+    return sections.join(packed.select("request_id", F.col("content").alias("_kept"), "truncated"), "request_id", "left").withColumns(
+        {"body": F.coalesce("_kept", F.when(has_body, "")), "truncated": F.coalesce("truncated", F.when(has_body, True))}
+    ).drop("_kept")
 
 
 def find_literal(requests: DataFrame, chunks: DataFrame, budget: int = K.PAYLOAD_TOKENS) -> DataFrame:

@@ -13,6 +13,7 @@ from folioscope.functions.literals import match_literals
 from folioscope.operators import chunking as C
 from folioscope.operators import context as K
 from folioscope.operators import dialogue as D
+from folioscope.plans import tools
 
 HISTORY = "array<struct<role:string,content:string>>"
 
@@ -162,3 +163,12 @@ def test_reasoning_and_verdicts(spark):
     texts = ["是", "不是否", "<think>否</think>是的", "可能", "好好好好是", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(D.parse_yes_no("t")).collect()] == [True, False, True, None, None, None]
+
+
+def test_a_heading_over_the_budget_leaves_an_empty_body(spark):
+    """The section is found and cut to nothing; it is not a section without a body."""
+    title = "w" * 4 * K.EXPAND_TOKENS
+    chunks = spark.createDataFrame([("a.md", 0, title, "body"), ("b.md", 0, "h", "body")], "source string, chunk_index int, heading string, content string")
+    asked = spark.createDataFrame([(1, "a.md", title), (2, "b.md", "h"), (3, "c.md", "h")], "request_id long, source string, heading string")
+    got = {r.request_id: (r.status, r.chunks, r.body, r.truncated) for r in tools.expand_section(asked, chunks).collect()}
+    assert got == {1: ("exact", 1, "", True), 2: ("exact", 1, "body", False), 3: ("no_document", 0, None, None)}
