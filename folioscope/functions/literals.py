@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,19 +13,24 @@ from pyspark.sql import types as T
 PLAIN_LIMIT = 64
 BLOCK_LIMIT = 20_000
 BLOCK_BYTES = 8 << 20
+#: Texts that are scanned at once.
+SCAN_ROWS = 256
 
 
 def _automaton_match(text: Column, patterns: list[str]) -> Column:
     """All patterns of a block in one scan per text."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def match(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = ahocorasick.Automaton()
         for pattern in patterns:
             machine.add_word(pattern, pattern)
         machine.make_automaton()
         for texts in batches:
-            yield texts.map(lambda t: sorted({hit for _, hit in machine.iter(t)}) if t else [])
+            # A batch of the engine may hold many long texts; only a few become Python strings at once.
+            for at in range(0, len(texts), SCAN_ROWS):
+                part = texts.slice(at, SCAN_ROWS).to_pylist()
+                yield pa.array([sorted({hit for _, hit in machine.iter(t)}) if t else [] for t in part], pa.list_(pa.string()))
 
     return match(text)
 

@@ -8,11 +8,14 @@ from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HASH_DIM = 256
+#: Texts that are embedded at once.
+EMBED_ROWS = 256
 
 
 def _slot_hash(pair: int) -> int:
@@ -45,13 +48,17 @@ def _hash_vector(text: str, dim: int, known: dict[int, int]) -> np.ndarray:
 def hash_embed(text: Column | str, dim: int = HASH_DIM) -> Column:
     """Unit vector of hashed two-character windows over the whole lower-cased text."""
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[int, int] = {}
         for texts in batches:
-            if len(known) > 1 << 20:  # keep the memo small on texts with many scripts
-                known.clear()
-            yield texts.map(lambda t: _hash_vector(t or "", dim, known))
+            # A batch of the engine may hold many long texts; vectors are made and passed on in small pieces.
+            for at in range(0, len(texts), EMBED_ROWS):
+                if len(known) > 1 << 18:  # keep the memo small on texts with many scripts
+                    known.clear()
+                part = [_hash_vector(t or "", dim, known) for t in texts.slice(at, EMBED_ROWS).to_pylist()]
+                starts = pa.array(np.arange(0, (len(part) + 1) * dim, dim, dtype=np.int32))
+                yield pa.ListArray.from_arrays(starts, pa.array(np.concatenate(part)))
 
     return encode(text)
 

@@ -197,3 +197,22 @@ def test_cosine_keeps_the_type_of_ids(spark):
     chunks = spark.createDataFrame([(3, [1.0, 0.0]), (4, [0.0, 1.0])], "chunk_id long, vector array<double>")
     found = R.cosine_topk(queries, chunks, 1)
     assert dict(found.dtypes)["chunk_id"] == "bigint" and (found.first().query_id, found.first().chunk_id) == (7, 3)
+
+
+def test_tasks_work_on_pieces_of_one_size(spark):
+    """A batch of many rows or long texts is cut by its words; every row comes once, in order."""
+    import pyarrow as pa
+
+    lists = [["w"] * n for n in (3, 0, 9, 50, 1, 1, 1)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(8)]), pa.array(lists, pa.list_(pa.string()))], names=["chunk_id", "_tokens"])
+    parts = list(R.pieces(iter([batch, batch.slice(0, 0), batch.slice(2, 3)]), "_tokens", 10))
+    assert [p.column("chunk_id").to_pylist() for p in parts] == [["0", "1"], ["2"], ["3"], ["4", "5", "6", "7"], ["2"], ["3"], ["4"]]
+
+
+def test_vectors_of_many_texts_in_one_batch(spark):
+    """Vectors are made in small pieces and still belong to their texts, empty and NULL ones included."""
+    rows = [(i, None if i % 97 == 0 else "" if i % 89 == 0 else f"text {i * i} äö 漢字") for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    got = {r.id: r.v for r in df.select("id", E.hash_embed("text").alias("v")).collect()}
+    for i, text in rows:
+        assert got[i] == E._hash_vector(text or "", E.HASH_DIM, {}).tolist()
