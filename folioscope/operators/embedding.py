@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscope.functions.memory import give_back
+
 HASH_DIM = 256
 #: Texts that are embedded at once.
 EMBED_ROWS = 256
@@ -59,6 +61,8 @@ def hash_embed(text: Column | str, dim: int = HASH_DIM) -> Column:
                 part = [_hash_vector(t or "", dim, known) for t in texts.slice(at, EMBED_ROWS).to_pylist()]
                 starts = pa.array(np.arange(0, (len(part) + 1) * dim, dim, dtype=np.int32))
                 yield pa.ListArray.from_arrays(starts, pa.array(np.concatenate(part)))
+        known.clear()
+        give_back()
 
     return encode(text)
 
