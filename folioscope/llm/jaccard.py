@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import connected
-from folioscope.llm.shared import WORDS, Texts, in_arrow, likely_split, mix, text_blocks, window_hashes, words_of, written
+from folioscope.llm.shared import WORDS, Texts, giving_back, in_arrow, likely_split, mix, ragged, streamed, text_blocks, window_hashes, words_of, written
 
 GROUPS = 128
 MOST_GROUPS = 8192
@@ -38,11 +38,35 @@ SKETCH = 1 << 16
 LEAF = 16
 SMALL = 32
 PART = 8192
+#: Bytes of text that are cut into shingles at once: their hashes stay in the processor's cache.
+BLOCK = 1 << 18
 U = np.uint64
 #: Upper bounds that a byte can stand for: exact up to 100, then rising by 6 % a step.
 BOUND = np.concatenate([np.arange(101), np.ceil(100 * 1.06 ** np.arange(1, 156))]).astype(np.int64)
 
 
+def _sorted_rows(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The values of each row in order; ``rows`` is sorted. Long rows are sorted one by one, which is much faster."""
+    if n * 32 > len(values):
+        return values[np.lexsort((values, rows))]
+    values = values.copy()
+    cuts = np.searchsorted(rows, np.arange(n + 1)).tolist()
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        values[a:b].sort()
+    return values
+
+
+def _by_level(level: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The order by row and level, else as it is."""
+    if n * 32 > len(level):
+        return np.lexsort((level, rows))
+    order = np.empty(len(level), np.int64)
+    cuts = np.searchsorted(rows, np.arange(n + 1)).tolist()
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        order[a:b] = a + level[a:b].argsort(kind="stable")
+    return order
+
+
 def shingle_sets(texts: Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of every row: row numbers and hashes, sorted by row and hash."""
     words = words_of(texts, lower=True)
@@ -56,8 +80,9 @@ def shingle_sets(texts: Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
         whole = WORDS.ranges(sums, words.offsets[short], words.offsets[short + 1])
         rows = np.concatenate([rows, short])
         values = np.concatenate([values, mix(mix(whole) + count[short].astype(U))])
-    order = np.lexsort((values, rows))
-    rows, values = rows[order], values[order]
+        order = np.argsort(rows, kind="stable")
+        rows, values = rows[order], values[order]
+    values = _sorted_rows(values, rows, texts.rows)
     if len(rows):
         new = np.append(True, (rows[1:] != rows[:-1]) | (values[1:] != values[:-1]))
         rows, values = rows[new], values[new]
@@ -83,19 +108,10 @@ def needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def frequency_levels(docs: DataFrame, width: int) -> np.ndarray:
+def frequency_levels(classes: DataFrame) -> np.ndarray:
     """Power of two of the number of documents that hold a shingle, by the first 16 bits of its hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            for texts in text_blocks(batch.column(0)):
-                _, values = shingle_sets(texts, width)
-                seen += np.bincount((values >> U(48)).astype(np.int64), minlength=SKETCH)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(at, pa.int32()), "seen": pa.array(seen[at], pa.int64())})
-
-    counted = docs.select("text").mapInArrow(run, "cell int, seen long").groupBy("cell").agg(F.sum("seen").alias("seen")).toArrow()
+    counted = classes.where("seen is not null").select(F.posexplode("seen").alias("cell", "seen"))
+    counted = counted.groupBy("cell").agg(F.sum("seen").alias("seen")).toArrow()
     out = np.zeros(SKETCH)
     out[counted["cell"].to_numpy()] = counted["seen"].to_numpy()
     return np.log2(1 + out).astype(np.uint8)
@@ -108,31 +124,36 @@ def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 def classes_of(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n, entity, point, fine`` of every row; entity is null for an empty set.
+    """``doc_id, n, entity, point, fine, seen`` of every row; entity is null for an empty set.
 
     ``point`` has ``GROUPS`` counts, ``fine`` about one for two members; groups halve in order, so points of
-    different fineness compare after adding up neighbours.
+    different fineness compare after adding up neighbours. A row more for each task, the only one with
+    ``seen``, counts its documents by the first 16 bits of their shingles' hashes.
     """
 
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        for texts in text_blocks(batch.column(1)):
-            rows, values = shingle_sets(texts, width)
-            n = _sizes(rows, texts.rows)
-            spread = mix(values + U(7))
-            bits = np.clip(np.ceil(np.log2(np.maximum(n, 1) / 2)), np.log2(GROUPS), np.log2(MOST_GROUPS)).astype(np.int64)
-            first = np.append(0, np.cumsum(1 << bits))
-            fine = np.bincount(first[rows] + (spread >> (64 - bits[rows]).astype(U)).astype(np.int64), minlength=first[-1])
-            group = (spread >> U(64 - GROUPS.bit_length() + 1)).astype(np.int64)
-            point = np.bincount(rows * GROUPS + group, minlength=texts.rows * GROUPS)
-            yield {
-                "doc_id": batch.column(0).slice(texts.first, texts.rows),
-                "n": n,
-                "entity": pa.array(_entity(rows, values, texts.rows).view(np.int64), mask=n == 0),
-                "point": _binary(np.searchsorted(BOUND, point).astype(np.uint8), np.full(texts.rows, GROUPS)),
-                "fine": _binary(np.searchsorted(BOUND, fine).astype(np.uint8), 1 << bits),
-            }
-
-    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, entity long, point binary, fine binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        seen = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for texts in text_blocks(batch.column(1), BLOCK):
+                rows, values = shingle_sets(texts, width)
+                seen += np.bincount((values >> U(48)).astype(np.int64), minlength=SKETCH)
+                n = _sizes(rows, texts.rows)
+                spread = mix(values + U(7))
+                bits = np.clip(np.ceil(np.log2(np.maximum(n, 1) / 2)), np.log2(GROUPS), np.log2(MOST_GROUPS)).astype(np.int64)
+                first = np.append(0, np.cumsum(1 << bits))
+                fine = np.bincount(first[rows] + (spread >> (64 - bits[rows]).astype(U)).astype(np.int64), minlength=first[-1])
+                group = (spread >> U(64 - GROUPS.bit_length() + 1)).astype(np.int64)
+                point = np.bincount(rows * GROUPS + group, minlength=texts.rows * GROUPS)
+                yield {
+                    "doc_id": batch.column(0).slice(texts.first, texts.rows),
+                    "n": n,
+                    "entity": pa.array(_entity(rows, values, texts.rows).view(np.int64), mask=n == 0),
+                    "point": _binary(np.searchsorted(BOUND, point).astype(np.uint8), np.full(texts.rows, GROUPS)),
+                    "fine": _binary(np.searchsorted(BOUND, fine).astype(np.uint8), 1 << bits),
+                }
+        yield {"seen": ragged(seen, np.array([SKETCH]), pa.int64())}
+
+    return streamed(docs.select("doc_id", "text"), run, "doc_id long, n long, entity long, point binary, fine binary, seen array<long>")
 
 
 def prefixes_of(docs: DataFrame, levels: np.ndarray, width: int, percent: int) -> DataFrame:
@@ -141,7 +162,7 @@ def prefixes_of(docs: DataFrame, levels: np.ndarray, width: int, percent: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = np.zeros(0, U)
         for batch in batches:
-            for texts in text_blocks(batch.column(0)):
+            for texts in text_blocks(batch.column(0), BLOCK):
                 rows, values = shingle_sets(texts, width)
                 n = _sizes(rows, texts.rows)
                 entity = _entity(rows, values, texts.rows)
@@ -150,8 +171,8 @@ def prefixes_of(docs: DataFrame, levels: np.ndarray, width: int, percent: int) -
                 fresh[first] = True
                 fresh &= ~np.isin(entity, met)
                 met = np.concatenate([met, entity[fresh & (n > 0)]])
-                # The order of all shingles: by level, then by mixed hash.
-                order = np.lexsort((mix(values), levels[(values >> U(48)).astype(np.int64)], rows))
+                # The order of all shingles: by level, then by hash, as they stand in their row.
+                order = _by_level(levels[(values >> U(48)).astype(np.int64)], rows, texts.rows)
                 place = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
                 keep = (place < (n - -(-percent * n // 100) + 1)[rows]) & fresh[rows]
                 yield pa.RecordBatch.from_pydict({
@@ -161,7 +182,7 @@ def prefixes_of(docs: DataFrame, levels: np.ndarray, width: int, percent: int) -
                     "place": pa.array(place[keep].astype(np.int32)),
                 })
 
-    return docs.select("text").mapInArrow(run, "shingle long, entity long, n int, place int")
+    return docs.select("text").mapInArrow(giving_back(run), "shingle long, entity long, n int, place int")
 
 
 def shared_keys(prefixes: DataFrame) -> DataFrame:
@@ -209,7 +230,7 @@ def shared_keys(prefixes: DataFrame) -> DataFrame:
 
     names = ["shingle", "entity", "n", "place", "part"]
     ordered = prefixes.repartition("shingle").sortWithinPartitions("shingle", "n", "entity")
-    return ordered.mapInArrow(run, "shingle long, entity long, n int, place int, part int")
+    return ordered.mapInArrow(giving_back(run), "shingle long, entity long, n int, place int, part int")
 
 
 class CountTree:
@@ -339,7 +360,7 @@ def candidates(rows: DataFrame, percent: int, mode: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs_of(pa.Table.from_batches(held))], ["a", "b"])
 
     ordered = rows.repartition("shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi", "n", "entity")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return ordered.mapInArrow(giving_back(run), "a long, b long").distinct()
 
 
 def plausible(pairs: DataFrame, entities: DataFrame, percent: int) -> DataFrame:
@@ -369,14 +390,15 @@ def verified(pairs: DataFrame, entities: DataFrame, docs: DataFrame, width: int,
     """
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        for texts in text_blocks(batch.column(2), 1 << 19):
+        for texts in text_blocks(batch.column(2), BLOCK):
             here = slice(texts.first, texts.first + texts.rows)
             one_rows, one = shingle_sets(texts, width)
             others = next(text_blocks(batch.column(3).slice(texts.first, texts.rows), 1 << 62))
             two_rows, two = shingle_sets(others, width)
             rows, values = np.concatenate([one_rows, two_rows]), np.concatenate([one, two])
-            order = np.lexsort((values, rows))
-            rows, values = rows[order], values[order]
+            order = np.argsort(rows, kind="stable")
+            rows = rows[order]
+            values = _sorted_rows(values[order], rows, texts.rows)
             same = (rows[1:] == rows[:-1]) & (values[1:] == values[:-1])
             both = np.bincount(rows[1:][same], minlength=texts.rows)
             union = _sizes(one_rows, texts.rows) + _sizes(two_rows, texts.rows) - both
@@ -403,8 +425,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     Two documents link when ``100 * intersection >= percent * union``; ``component_id`` is the smallest
     ``doc_id`` that links reach.
     """
-    classes = written(classes_of(docs, width), "classes")
-    levels = frequency_levels(docs, width)
+    counted = written(classes_of(docs, width), "classes")
+    levels = frequency_levels(counted)
+    classes = counted.where("seen is null").drop("seen")
     keys = written(shared_keys(prefixes_of(docs, levels, width, percent)), "keys")
     told = classes.where("entity is not null and doc_id is not null")
     vectors = [F.first(c).alias(c) for c in ("n", "point", "fine")]
