@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from folioscope.llm.shared import Texts, in_arrow, ragged, text_blocks, window_hashes, words_of
 
 BLOCK = 32 << 20
+#: Bytes of document text that are looked up at once.
+TEXT_BLOCK = 1 << 18
 
 
 @dataclass
@@ -126,7 +128,7 @@ def common_tiles(docs: DataFrame, benchmark: DataFrame, min_match: int = 5) -> D
 
     def of(index: Index) -> DataFrame:
         def run(batch: pa.RecordBatch) -> Iterator[dict]:
-            for texts in text_blocks(batch.column(1)):
+            for texts in text_blocks(batch.column(1), TEXT_BLOCK):
                 found = list(tilings(texts, index))
                 tiles = np.array([t for _, _, some in found for t in some], np.int64).reshape(-1, 3)
                 count = np.array([len(some) for _, _, some in found], np.int64)
@@ -171,7 +173,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage: f
 def _judging(index: Index) -> object:
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         ids = np.array([*index.ids, 0], object)
-        for texts in text_blocks(batch.column(1)):
+        for texts in text_blocks(batch.column(1), TEXT_BLOCK):
             here = batch.slice(texts.first, texts.rows)
             share, item, tiles = _worst(texts, index)
             old = here.column(3).to_numpy()
@@ -195,7 +197,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage: f
     for index in indexes(benchmark, min_match):
 
         def run(batch: pa.RecordBatch, index: Index = index) -> Iterator[pa.Table]:
-            good = [_worst(texts, index)[0] < coverage for texts in text_blocks(batch.column(at))]
+            good = [_worst(texts, index)[0] < coverage for texts in text_blocks(batch.column(at), TEXT_BLOCK)]
             if good:
                 yield pa.Table.from_batches([batch.filter(pa.array(np.concatenate(good)))])
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import Texts, give_back, in_arrow, text_blocks, words_of, written
+from folioscope.llm.shared import Texts, give_back, in_arrow, text_blocks, words_in_runs, written
 
 Pattern = tuple[dict[int, int], int]
 
@@ -41,7 +41,9 @@ Pattern = tuple[dict[int, int], int]
 PARTS = re.compile(r"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
 WORD_END = "</w>"
 #: Bytes of text that are tokenised at once: a word is looked up once in each block.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
+#: Bytes whose words are found at once.
+RUN = 1 << 18
 
 
 def parts_of(word: str) -> int:
@@ -58,6 +60,8 @@ class Vocabulary:
 
     LIMIT = 1_000_000
     TOGETHER = 512
+    #: Groups of words that the library is given at once: it returns far more than the ids of each.
+    GROUPS = 16
     loaded: dict[str, "Vocabulary"] = {}
 
     def __init__(self, path: str):
@@ -110,19 +114,24 @@ class Vocabulary:
         """
         plain = np.flatnonzero(parts)
         groups = [plain[at : at + self.TOGETHER] for at in range(0, len(plain), self.TOGETHER)]
-        coded = self.tokenizer.encode_batch_fast([" ".join(words[i] for i in g) for g in groups], add_special_tokens=False)
         ids, sizes = [], []
-        for group, found in zip(groups, coded, strict=True):
-            flat = np.array(found.ids, np.uint32)
-            ends = np.flatnonzero(self.ends[flat])
-            last = np.cumsum(parts[group]) - 1
-            if len(ends) != last[-1] + 1:
-                raise RuntimeError("the tokenizer cuts words in another way")
-            ids.append(flat)
-            sizes.append(np.diff(ends[last], prepend=-1))
-        others = self.tokenizer.encode_batch([words[i] for i in np.flatnonzero(parts == 0)], add_special_tokens=False)
-        ids += [np.array(c.ids, np.uint32) for c in others]
-        sizes.append([len(c.ids) for c in others])
+        for at in range(0, len(groups), self.GROUPS):
+            some = groups[at : at + self.GROUPS]
+            coded = self.tokenizer.encode_batch_fast([" ".join(words[i] for i in g) for g in some], add_special_tokens=False)
+            for group, found in zip(some, coded, strict=True):
+                flat = np.array(found.ids, np.uint32)
+                ends = np.flatnonzero(self.ends[flat])
+                last = np.cumsum(parts[group]) - 1
+                if len(ends) != last[-1] + 1:
+                    raise RuntimeError("the tokenizer cuts words in another way")
+                ids.append(flat)
+                sizes.append(np.diff(ends[last], prepend=-1))
+        others = np.flatnonzero(parts == 0)
+        for at in range(0, len(others), self.TOGETHER):
+            coded = self.tokenizer.encode_batch([words[i] for i in others[at : at + self.TOGETHER]], add_special_tokens=False)
+            ids += [np.array(c.ids, np.uint32) for c in coded]
+            sizes.append([len(c.ids) for c in coded])
+        sizes = sizes or [np.zeros(0, np.int64)]
         return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.concatenate(sizes).astype(np.int64)
 
     def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> None:
@@ -144,7 +153,7 @@ def token_ids(texts: Texts, vocabulary: Vocabulary, end_id: int) -> tuple[np.nda
 
     The tokenizer drops white space and never joins over it, so a text is the ids of its words in turn.
     """
-    words = words_of(texts, lower=False)
+    words = words_in_runs(texts, lower=False, limit=RUN)
     data = texts.data.tobytes()
     number = vocabulary.numbers(words.hash, lambda i: data[words.start[i] : words.end[i]].decode())
     size = vocabulary.offsets[number + 1] - vocabulary.offsets[number]
@@ -152,9 +161,12 @@ def token_ids(texts: Texts, vocabulary: Vocabulary, end_id: int) -> tuple[np.nda
     np.add.at(row_size, words.rows(), size)
     offsets = np.append(0, np.cumsum(row_size + 1))
     out = np.full(offsets[-1], end_id, np.uint32)
-    place = np.cumsum(size) - size + words.rows()
-    step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    out[np.repeat(place, size) + step] = vocabulary.flat[np.repeat(vocabulary.offsets[number], size) + step]
+    # A token stands as many places further on as rows were closed before it.
+    at = np.arange(int(size.sum()))
+    source = np.repeat(vocabulary.offsets[number] - (np.cumsum(size) - size), size)
+    source += at
+    at += np.repeat(words.rows(), size)
+    out[at] = vocabulary.flat[source]
     return out, offsets
 
 

@@ -33,6 +33,8 @@ from folioscope.llm.shared import LOWER, Texts, give_back, in_arrow, mix, stream
 LETTERS = 32
 WIDEST = 20
 DECAY = 0.8
+#: Bytes of text that are scored at once.
+TEXT_BLOCK = 1 << 19
 #: Letters a-z, digits, marks, and bytes of other scripts in four classes.
 CLASS = np.full(256, 27, np.int64)
 CLASS[97:123] = np.arange(26)
@@ -399,7 +401,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score, predicted`` of every row; one pass without a shuffle."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        for texts in text_blocks(batch.column(1)):
+        for texts in text_blocks(batch.column(1), TEXT_BLOCK):
             score = model.scores(texts)
             yield {
                 "doc_id": batch.column(0).slice(texts.first, texts.rows),
@@ -416,7 +418,7 @@ def kept(docs: DataFrame, model: Model) -> DataFrame:
     at = schema.names.index("text")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.Table]:
-        good = [model.scores(texts) < 0.5 for texts in text_blocks(batch.column(at))]
+        good = [model.scores(texts) < 0.5 for texts in text_blocks(batch.column(at), TEXT_BLOCK)]
         if good:
             yield pa.Table.from_batches([batch.filter(pa.array(np.concatenate(good)))])
 
