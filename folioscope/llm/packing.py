@@ -25,29 +25,34 @@ import os
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import Texts, give_back, in_arrow, text_blocks, words_in_runs, written
+from folioscope.llm.shared import BYTES, LOWER, SPACE, Texts, U, give_back, in_arrow, mix, smaller, text_blocks, written
 
 Pattern = tuple[dict[int, int], int]
 
 
-#: Words of ASCII fall into these parts, each a token run of its own; words with other signs are not cut here.
+#: Units of ASCII fall into these parts, each a token run of its own; units with other signs are not cut here.
 PARTS = re.compile(r"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
+#: Kinds of bytes that a unit is made of: 1 for ASCII letters, digits and all other signs than ASCII, 2 for the rest, 0 for space.
+KIND = np.full(256, 2, np.uint8)
+KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+KIND[SPACE] = 0
 WORD_END = "</w>"
-#: Bytes of text that are tokenised at once: a word is looked up once in each block.
+#: Bytes of text that are tokenised at once: a unit is looked up once in each block.
 BLOCK = 1 << 20
 #: Bytes whose words are found at once.
 RUN = 1 << 18
 
 
 def parts_of(word: str) -> int:
-    """How many runs of tokens a word becomes, 0 if that is left to the library."""
+    """How many runs of tokens a unit becomes, 0 if its whole word is left to the library."""
     if word.isascii():
         if word.isalpha():
             return 1
@@ -56,8 +61,10 @@ def parts_of(word: str) -> int:
 
 
 class Vocabulary:
-    """Token ids of words, worked out by the library once per word and worker."""
+    """Token ids of units and words, worked out by the library once for each of them and worker."""
 
+    #: In place of the number of a unit whose words are left to the library.
+    LEFT = -2
     LIMIT = 1_000_000
     TOGETHER = 512
     #: Groups of words that the library is given at once: it returns far more than the ids of each.
@@ -85,54 +92,62 @@ class Vocabulary:
         self.flat, self.offsets = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64)
         self.size = 0
 
-    def numbers(self, hashes: np.ndarray, text: object) -> np.ndarray:
-        """Numbers of entries for hashes; ``text(i)`` gives the i-th word for those not met yet."""
+    def make_room(self) -> None:
+        """Forget the entries when they are too many; numbers given before are void then."""
         if len(self.known) > self.LIMIT:
             self.clear()
+
+    def numbers(self, hashes: np.ndarray, texts: Callable[[np.ndarray], list[str]], whole: bool = False) -> np.ndarray:
+        """Numbers of entries for hashes; ``texts`` gives the texts at places, for those not met yet.
+
+        A ``whole`` word is left to the library, a unit that cannot be told apart from its neighbours is ``LEFT``.
+        """
         unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         place = np.searchsorted(self.known, unique)
         number = np.full(len(unique), -1)
         inside = np.flatnonzero(place < len(self.known))
         met = inside[self.known[place[inside]] == unique[inside]]
         number[met] = self.number[place[met]]
-        new = np.flatnonzero(number < 0)
+        new = np.flatnonzero(number == -1)
         if len(new):
-            words = [text(i) for i in first[new].tolist()]
-            parts = np.array([parts_of(w) for w in words])
-            ids, sizes = self._encoded(words, parts)
-            order = np.append(np.flatnonzero(parts), np.flatnonzero(parts == 0))
-            number[new[order]] = self.size + np.arange(len(new))
-            self._keep(ids, sizes)
+            words = texts(first[new])
+            parts = np.zeros(len(words), np.int64) if whole else np.array([parts_of(w) for w in words])
+            asked = np.arange(len(words)) if whole else np.flatnonzero(parts)
+            number[new] = self.LEFT
+            number[new[asked]] = self.size + np.arange(len(asked))
+            self._keep(*(self._alone(words) if whole else self._together([words[i] for i in asked.tolist()], parts[asked])))
             self.known = np.insert(self.known, place[new], unique[new])
             self.number = np.insert(self.number, place[new], number[new])
         return number[back]
 
-    def _encoded(self, words: list[str], parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and their numbers, of words with known parts first.
+    def _together(self, words: list[str], parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and their numbers, of units with known parts.
 
-        Those are encoded many at a time: the last token of every part, and no other, carries the word end.
+        They are encoded many at a time: the last token of every part, and no other, carries the word end.
         """
-        plain = np.flatnonzero(parts)
-        groups = [plain[at : at + self.TOGETHER] for at in range(0, len(plain), self.TOGETHER)]
-        ids, sizes = [], []
-        for at in range(0, len(groups), self.GROUPS):
-            some = groups[at : at + self.GROUPS]
-            coded = self.tokenizer.encode_batch_fast([" ".join(words[i] for i in g) for g in some], add_special_tokens=False)
-            for group, found in zip(some, coded, strict=True):
+        cuts = range(0, len(words), self.TOGETHER)
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(cuts), self.GROUPS):
+            some = cuts[at : at + self.GROUPS]
+            coded = self.tokenizer.encode_batch_fast([" ".join(words[a : a + self.TOGETHER]) for a in some], add_special_tokens=False)
+            for a, found in zip(some, coded, strict=True):
                 flat = np.array(found.ids, np.uint32)
                 ends = np.flatnonzero(self.ends[flat])
-                last = np.cumsum(parts[group]) - 1
+                last = np.cumsum(parts[a : a + self.TOGETHER]) - 1
                 if len(ends) != last[-1] + 1:
                     raise RuntimeError("the tokenizer cuts words in another way")
                 ids.append(flat)
                 sizes.append(np.diff(ends[last], prepend=-1))
-        others = np.flatnonzero(parts == 0)
-        for at in range(0, len(others), self.TOGETHER):
-            coded = self.tokenizer.encode_batch([words[i] for i in others[at : at + self.TOGETHER]], add_special_tokens=False)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and their numbers, of words that the library cuts."""
+        ids, sizes = [np.zeros(0, np.uint32)], []
+        for at in range(0, len(words), self.TOGETHER):
+            coded = self.tokenizer.encode_batch_fast(words[at : at + self.TOGETHER], add_special_tokens=False)
             ids += [np.array(c.ids, np.uint32) for c in coded]
-            sizes.append([len(c.ids) for c in coded])
-        sizes = sizes or [np.zeros(0, np.int64)]
-        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.concatenate(sizes).astype(np.int64)
+            sizes += [len(c.ids) for c in coded]
+        return np.concatenate(ids), np.array(sizes, np.int64)
 
     def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> None:
         """Append to buffers that double as they fill."""
@@ -148,24 +163,107 @@ class Vocabulary:
         self.size += len(sizes)
 
 
+def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of spans one after the other, each followed by a blank, and where each ends before it."""
+    size = end - start + 1
+    ends = np.cumsum(size)
+    at = np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+    flat = data[np.minimum(at, len(data) - 1)]
+    flat[ends - 1] = 32
+    return flat, ends - 1
+
+
+@dataclass
+class Units:
+    """Runs of one kind of bytes inside the words of a block, in order: byte ranges, hashes without case, words.
+
+    ``first`` marks the first unit of a word, ``row`` is the text, ``special`` marks units with signs that tie
+    a word together.
+    """
+
+    start: np.ndarray
+    end: np.ndarray
+    hash: np.ndarray
+    row: np.ndarray
+    first: np.ndarray
+    special: np.ndarray
+
+
+def units_of(texts: Texts) -> Units:
+    """The units of a block; sums over bytes are held for ``RUN`` bytes at a time only."""
+    found = [np.zeros((2, 0), np.int64)]
+    hashes = [np.zeros(0, U)]
+    for run in smaller(texts, RUN):
+        if not len(run.data):
+            continue
+        kind = KIND[run.data]
+        new = np.append(True, kind[1:] != kind[:-1])
+        cuts = run.offsets[1:-1]
+        new[cuts[cuts < len(kind)]] = True
+        start = np.flatnonzero(new)
+        solid = kind[start] != 0
+        end = np.append(start[1:], len(kind))[solid]
+        start = start[solid]
+        # Case of ASCII letters does not count beside other letters; words with other signs are looked at as they are.
+        hashes.append(mix(BYTES.ranges(BYTES.prefixes(LOWER[run.data]), start, end) + (end - start).astype(U)))
+        found.append(np.stack([start, end]) + texts.offsets[run.first])
+    start, end = np.concatenate(found, axis=1)
+    row = np.repeat(np.arange(texts.rows), np.diff(np.searchsorted(start, texts.offsets)))
+    first = np.ones(len(start), bool)
+    first[1:] = (start[1:] != end[:-1]) | (row[1:] != row[:-1])
+    special = np.zeros(len(start), bool)
+    tied = np.append(np.flatnonzero(texts.data == 39), np.flatnonzero((texts.data[:-1] == 60) & (texts.data[1:] == 124)))
+    special[np.searchsorted(start, tied, "right") - 1] = True
+    return Units(start, end, np.concatenate(hashes), row, first, special)
+
+
 def token_ids(texts: Texts, vocabulary: Vocabulary, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids of all rows, each closed by ``end_id``, and where each row begins.
 
-    The tokenizer drops white space and never joins over it, so a text is the ids of its words in turn.
+    The tokenizer drops white space and never joins over it, so a text is the ids of its words in turn. It
+    cuts words between letters or digits and other ASCII signs, so a word is the ids of its units in turn;
+    a word with signs of other kinds, or with those that tie it together, is looked up as a whole.
     """
-    words = words_in_runs(texts, lower=False, limit=RUN)
-    data = texts.data.tobytes()
-    number = vocabulary.numbers(words.hash, lambda i: data[words.start[i] : words.end[i]].decode())
+    vocabulary.make_room()
+    units = units_of(texts)
+
+    def named(start: np.ndarray, end: np.ndarray) -> Callable[[np.ndarray], list[str]]:
+        return lambda at: spans(texts.data, start[at], end[at])[0].tobytes()[:-1].decode().split(" ")
+
+    word = np.cumsum(units.first) - 1
+    first = np.flatnonzero(units.first)
+    whole = np.zeros(len(first), bool)
+    whole[word[units.special]] = True
+    free = np.flatnonzero(~whole[word])
+    number = np.full(len(word), vocabulary.LEFT)
+    number[free] = vocabulary.numbers(units.hash[free], named(units.start[free], units.end[free]))
+    whole[word[number == vocabulary.LEFT]] = True
+    tied = np.flatnonzero(whole)
+    row = units.row
+    if len(tied):
+        start, end = units.start[first[tied]], units.end[np.append(first[1:], len(word))[tied] - 1]
+        hashes = np.zeros(len(tied), U)
+        ends = np.cumsum(end - start)
+        at = 0
+        while at < len(tied):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + RUN, "right")))
+            flat, stop = spans(texts.data, start[at:to], end[at:to])
+            size = end[at:to] - start[at:to]
+            hashes[at:to] = mix(mix(BYTES.ranges(BYTES.prefixes(flat), stop - size, stop) + size.astype(U)))
+            at = to
+        kept = units.first | ~whole[word]
+        number[first[tied]] = vocabulary.numbers(hashes, named(start, end), whole=True)
+        number, row = number[kept], row[kept]
     size = vocabulary.offsets[number + 1] - vocabulary.offsets[number]
     row_size = np.zeros(texts.rows, np.int64)
-    np.add.at(row_size, words.rows(), size)
+    np.add.at(row_size, row, size)
     offsets = np.append(0, np.cumsum(row_size + 1))
     out = np.full(offsets[-1], end_id, np.uint32)
     # A token stands as many places further on as rows were closed before it.
     at = np.arange(int(size.sum()))
     source = np.repeat(vocabulary.offsets[number] - (np.cumsum(size) - size), size)
     source += at
-    at += np.repeat(words.rows(), size)
+    at += np.repeat(row, size)
     out[at] = vocabulary.flat[source]
     return out, offsets
 

@@ -72,3 +72,35 @@ def test_library_gets_bounded_numbers_of_words(monkeypatch):
     ids, offsets = token_ids(block_of(texts), vocabulary, 0)
     assert ids.tolist() == want.tolist() and offsets.tolist() == want_offsets.tolist()
     assert max(given) <= 128 and sum(given) == 3000
+
+
+def test_a_unit_is_tokenised_once_whatever_signs_follow(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    vocabulary = Vocabulary(path)
+    given: list[int] = []
+    inner = vocabulary.tokenizer
+
+    class Counting:
+        def encode_batch_fast(self, some, **kwargs):
+            given.append(sum(len(x.split()) for x in some))
+            return inner.encode_batch_fast(some, **kwargs)
+
+    vocabulary.tokenizer = Counting()
+    words = [f"{a}{b}ü{c}" for a in "abcde" for b in "fghij" for c in "klmn"]
+    texts = [" ".join(w + sign for w in words) for sign in ("", ".", ",", "!", "###")] + [" ".join(words).title().replace("Ü", "ü")]
+    ids, offsets = token_ids(block_of(texts), vocabulary, 0)
+    for i, text in enumerate(texts):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == [*inner.encode(text, add_special_tokens=False).ids, 0]
+    assert sum(given) == len(words) + 4
+
+
+def test_signs_that_tie_a_word_together_are_left_to_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    vocabulary = Vocabulary(path)
+    draw = np.random.default_rng(5)
+    signs = [*"aZé.,'<|>1-ß", "́", "J̌", "İ", "ς", "Σ", " ", "\u0085", "\x1c", "«", "中", "한", "하", "½", "٣", "'s", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", " ", "\n", "̸", "=", "Å", "🙂", "\x00", "ª", "ﬁ"]
+    for _ in range(20):
+        texts = ["".join(draw.choice(signs, draw.integers(0, 40))) for _ in range(60)]
+        ids, offsets = token_ids(block_of(texts), vocabulary, 0)
+        for i, text in enumerate(texts):
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == [*vocabulary.tokenizer.encode(text, add_special_tokens=False).ids, 0], text
