@@ -9,7 +9,7 @@ survivors are verified on the whole sets.
 So that no tree has to hold all documents, the trees are built over buckets: two sets with Jaccard
 similarity ``t`` share one of the first ``n - ceil(t n) + 1`` shingles of each in any common order. The
 order puts shingles last that a sketch of fixed size, counted over all documents, finds frequent; a
-line that stands in a third of all texts then is in the bucket key of few. Equal sets are one entity
+line that stands in a third of all texts, or in one of some thousands, then is in the bucket key of few. Equal sets are one entity
 from the start. Links are searched in rounds, since only classes are asked for: first one partner per
 entity and bucket, then the most promising one in another class, and at last, among entities that are
 not in one class yet, every surviving pair. No link between classes is lost.
@@ -30,11 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import connected
-from folioscope.llm.shared import WORDS, Texts, giving_back, in_arrow, likely_split, mix, ragged, streamed, text_blocks, window_hashes, words_of, written
+from folioscope.llm.shared import WORDS, Texts, giving_back, in_arrow, likely_split, mix, streamed, text_blocks, window_hashes, words_of, written
 
 GROUPS = 128
 MOST_GROUPS = 8192
+#: Cells that shingles are counted in, the fewer ones that counts are given for by default, and cells in a row of counts.
+CELLS = 1 << 21
 SKETCH = 1 << 16
+ROW = 1 << 13
 LEAF = 16
 SMALL = 32
 PART = 8192
@@ -108,13 +111,29 @@ def needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def frequency_levels(classes: DataFrame) -> np.ndarray:
-    """Power of two of the number of documents that hold a shingle, by the first 16 bits of its hash."""
-    counted = classes.where("seen is not null").select(F.posexplode("seen").alias("cell", "seen"))
-    counted = counted.groupBy("cell").agg(F.sum("seen").alias("seen")).toArrow()
-    out = np.zeros(SKETCH)
-    out[counted["cell"].to_numpy()] = counted["seen"].to_numpy()
-    return np.log2(1 + out).astype(np.uint8)
+def _cells(values: np.ndarray) -> np.ndarray:
+    """The cells of shingles: the first bits of their hashes."""
+    return (values >> U(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def frequency_levels(classes: DataFrame, cells: int = SKETCH, steps: int = 1) -> np.ndarray:
+    """Power of two of the number of documents that hold a shingle, in ``steps`` for each, by the first bits of its hash."""
+    width = CELLS // cells
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, seen in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(seen.as_buffer(), np.uint8).astype(np.int64)
+        levels = [(steps * np.log2(1 + x.reshape(-1, width).sum(1))).astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int64()), "level": pa.array(levels, pa.binary())})
+
+    counted = classes.where("seen is not null").select(F.col("n").alias("part"), "seen").repartition("part")
+    found = counted.mapInArrow(giving_back(run), "part long, level binary").toArrow()
+    out = np.zeros((CELLS // ROW, ROW // width), np.uint8)
+    for part, level in zip(found["part"].to_pylist(), found["level"], strict=True):
+        out[part] = np.frombuffer(level.as_buffer(), np.uint8)
+    return out.ravel()
 
 
 def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -127,16 +146,16 @@ def classes_of(docs: DataFrame, width: int) -> DataFrame:
     """``doc_id, n, entity, point, fine, seen`` of every row; entity is null for an empty set.
 
     ``point`` has ``GROUPS`` counts, ``fine`` about one for two members; groups halve in order, so points of
-    different fineness compare after adding up neighbours. A row more for each task, the only one with
-    ``seen``, counts its documents by the first 16 bits of their shingles' hashes.
+    different fineness compare after adding up neighbours. Further rows of each task, the only ones with
+    ``seen``, count its documents by the cells of their shingles, up to 255, ``n`` being the row of cells.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        seen = np.zeros(SKETCH, np.int64)
+        seen = np.zeros(CELLS, np.uint32)
         for batch in batches:
             for texts in text_blocks(batch.column(1), BLOCK):
                 rows, values = shingle_sets(texts, width)
-                seen += np.bincount((values >> U(48)).astype(np.int64), minlength=SKETCH)
+                np.add.at(seen, _cells(values), np.uint32(1))
                 n = _sizes(rows, texts.rows)
                 spread = mix(values + U(7))
                 bits = np.clip(np.ceil(np.log2(np.maximum(n, 1) / 2)), np.log2(GROUPS), np.log2(MOST_GROUPS)).astype(np.int64)
@@ -151,9 +170,11 @@ def classes_of(docs: DataFrame, width: int) -> DataFrame:
                     "point": _binary(np.searchsorted(BOUND, point).astype(np.uint8), np.full(texts.rows, GROUPS)),
                     "fine": _binary(np.searchsorted(BOUND, fine).astype(np.uint8), 1 << bits),
                 }
-        yield {"seen": ragged(seen, np.array([SKETCH]), pa.int64())}
+        seen = np.minimum(seen, 255).astype(np.uint8).reshape(-1, ROW)
+        parts = np.flatnonzero(seen.any(1))
+        yield {"n": parts, "seen": _binary(seen[parts], np.full(len(parts), ROW))}
 
-    return streamed(docs.select("doc_id", "text"), run, "doc_id long, n long, entity long, point binary, fine binary, seen array<long>")
+    return streamed(docs.select("doc_id", "text"), run, "doc_id long, n long, entity long, point binary, fine binary, seen binary")
 
 
 def prefixes_of(docs: DataFrame, levels: np.ndarray, width: int, percent: int) -> DataFrame:
@@ -172,7 +193,7 @@ def prefixes_of(docs: DataFrame, levels: np.ndarray, width: int, percent: int) -
                 fresh &= ~np.isin(entity, met)
                 met = np.concatenate([met, entity[fresh & (n > 0)]])
                 # The order of all shingles: by level, then by hash, as they stand in their row.
-                order = _by_level(levels[(values >> U(48)).astype(np.int64)], rows, texts.rows)
+                order = _by_level(levels[_cells(values)], rows, texts.rows)
                 place = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
                 keep = (place < (n - -(-percent * n // 100) + 1)[rows]) & fresh[rows]
                 yield pa.RecordBatch.from_pydict({
@@ -426,7 +447,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     ``doc_id`` that links reach.
     """
     counted = written(classes_of(docs, width), "classes")
-    levels = frequency_levels(counted)
+    levels = frequency_levels(counted, CELLS, 4)
     classes = counted.where("seen is null").drop("seen")
     keys = written(shared_keys(prefixes_of(docs, levels, width, percent)), "keys")
     told = classes.where("entity is not null and doc_id is not null")

@@ -41,3 +41,13 @@ def test_written_tables_leave_no_shuffle_files(spark):
     table = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
     assert ids.shuffleStatuses().size() <= before
     assert table.agg(F.sum("count")).first()[0] == 1000
+
+
+def test_a_line_of_few_documents_is_no_bucket_key(spark):
+    """Of a million shingles the few that four documents share are told apart, as their order decides the buckets."""
+    rows = [(i, " ".join(map(str, range(2000 * i, 2000 * i + 2000))) + f" line {i % 125} of four documents and no others") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    counted = jaccard.classes_of(docs, 5).cache()
+    rough = np.repeat(jaccard.frequency_levels(counted), jaccard.CELLS // jaccard.SKETCH)
+    found = [jaccard.shared_keys(jaccard.prefixes_of(docs, levels, 5, 75)).count() for levels in (jaccard.frequency_levels(counted, jaccard.CELLS, 4), rough)]
+    assert found[0] < 10 and found[1] > 50
