@@ -5,6 +5,7 @@ Input: ``page_lines(doc_id, page_no, line_no, line)``, one row per text line.
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,16 +52,21 @@ FULL_LINE = 60
 
 def fix_text(text: Column | str) -> Column:
     """Mend the known broken letter pairs, collapse blanks and tabs, trim."""
-    value = F.col(text) if isinstance(text, str) else text
+    value = mended = F.col(text) if isinstance(text, str) else text
     for wrong, right in BROKEN_PAIRS.items():
-        value = F.replace(value, F.lit(wrong), F.lit(right))
-    return strip(F.regexp_replace(value, "[ \\t]+", " "))
+        mended = F.replace(mended, F.lit(wrong), F.lit(right))
+    # Few texts have what all pairs begin with; a blank alone stays as it is.
+    mended = F.when(F.contains(value, F.lit(os.path.commonprefix([*BROKEN_PAIRS]))), mended).otherwise(value)
+    return strip(F.regexp_replace(mended, "[ \\t]{2,}|\\t", " "))
+
+
+def _at_start(*patterns: str) -> str:
+    """Any of the patterns, which all begin with ``^``: told once, else every place of a line is tried for each of them."""
+    return "^(?:" + "|".join(pattern.removeprefix("^") for pattern in patterns) + ")"
 
 
 # One expression for all signs of code, so that a line is scanned once.
-CODE_LINE = "|".join(
-    [PROMPT, BARE_PROMPT, "^(?:" + "|".join(re.escape(word) for word in COMMAND_WORDS) + ")", OUTPUT_LIKE]
-)
+CODE_LINE = _at_start(PROMPT, BARE_PROMPT, *(re.escape(word) for word in COMMAND_WORDS), OUTPUT_LIKE)
 
 
 def _text_of(line: Column | str, stripped: bool) -> Column:
@@ -83,7 +89,7 @@ def is_prose(line: Column | str, stripped: bool = False) -> Column:
     return (
         (F.length(text) >= 12)
         & text.rlike("^\\p{Lu}")
-        & ~text.rlike(f"{PROMPT}|{OUTPUT_LIKE}")
+        & ~text.rlike(_at_start(PROMPT, OUTPUT_LIKE))
         & three_words
         & (letters / F.length(text) > 0.75)
     )
@@ -133,11 +139,15 @@ def running_header(page_lines: DataFrame, ratio: float = 0.5) -> DataFrame:
     ratios from one half on, only a tie can leave two. Equal first lines are counted once before their
     prefixes are listed. Documents without a shared prefix of at least 12 characters are left out.
     """
+    # Pages are counted where their first lines are found, blank ones too, so the lines are read once.
+    first = F.min_by(strip("line"), F.when(nonblank("line"), F.col("line_no")))
     firsts = (
-        page_lines.where(nonblank("line"))
+        page_lines.where(F.col("doc_id").isNotNull())
         .groupBy("doc_id", "page_no")
-        .agg(F.min_by(strip("line"), "line_no").alias("_first"))
-        .groupBy("doc_id", "_first")
+        .agg(first.alias("_first"))
+        .withColumn("pages", F.count("*").over(Window.partitionBy("doc_id")))
+        .where(F.col("_first").isNotNull())
+        .groupBy("doc_id", "pages", "_first")
         .agg(F.count("*").alias("_pages"), F.min("page_no").alias("_page"))
     )
     words = F.regexp_extract_all("_first", F.lit(f"[^{WHITESPACE_CLASS[1:]}+"), F.lit(0))
@@ -146,11 +156,11 @@ def running_header(page_lines: DataFrame, ratio: float = 0.5) -> DataFrame:
     )
     counted = (
         firsts.withColumn("_words", words)
-        .select("doc_id", "_pages", "_page", F.posexplode(prefixes).alias("_n", "header"))
-        .groupBy("doc_id", "_n", "header")
+        .select("doc_id", "pages", "_pages", "_page", F.posexplode(prefixes).alias("_n", "header"))
+        .groupBy("doc_id", "pages", "_n", "header")
         .agg(F.sum("_pages").alias("_seen"), F.min("_page").alias("_page"))
     )
-    shared = counted.join(page_counts(page_lines), "doc_id").where(F.col("_seen") >= F.col("pages") * F.lit(float(ratio)))
+    shared = counted.where(F.col("_seen") >= F.col("pages") * F.lit(float(ratio)))
     followed = shared.groupBy("doc_id", "_n").agg(F.max_by("header", F.struct("_seen", -F.col("_page"))).alias("header"))
     # The walk ends where the best prefix of a length does not extend the one before it.
     length = Window.partitionBy("doc_id").orderBy("_n")
@@ -214,27 +224,88 @@ def parse_toc(page_lines: DataFrame) -> DataFrame:
     )
 
 
-def clean_lines(page_lines: DataFrame, ratio: float = 0.5) -> DataFrame:
-    """Body lines: furniture, running headers, bare page numbers and blank lines are dropped.
+def by_document(page_lines: DataFrame) -> DataFrame:
+    """Lines that are not blank, dealt by document, with ``_strip``, the trimmed line.
 
-    Code keeps its spacing; other lines are mended and split numbers such as ``2. 1`` glued.
+    The text is shuffled here only: the marks below are windows within a document, which need no
+    other deal, and what is told of documents and joined to it has a row for each document.
+    """
+    return page_lines.where(nonblank("line")).repartition("doc_id").withColumn("_strip", strip("line"))
+
+
+def mark_contents(rows: DataFrame) -> DataFrame:
+    """``rows`` of :func:`by_document` with ``_toc`` and ``_entry``: :func:`toc_pages` and :func:`parse_toc` line by line.
+
+    ``_toc`` tells the lines of contents pages, ``_entry`` is the text of the entry a line closes. Whether a
+    line finds another open hangs on the line before, so it is carried on from the last line that leaves
+    the same behind in either case: lines that turn it over are counted from there.
     """
-    rows = page_lines.withColumn("_strip", strip("line")).where("_strip <> ''")
-    rows = rows.where(~F.col("_strip").rlike("^\\d{1,3}\\z"))
-    drop = furniture(page_lines, ratio).select("doc_id", F.col("line").alias("_strip"))
-    headers = running_header(page_lines, ratio)
+    order = Window.partitionBy("doc_id", "page_no").orderBy("line_no", "_strip")
+    page = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    known = F.col("doc_id").isNotNull() & F.col("page_no").isNotNull()
+    rows = rows.withColumns(
+        {"_toc": known & (F.count_if(F.col("_strip").rlike(LEADER)).over(page) >= TOC_LINES), "_above": F.lag("_strip").over(order)}
+    )
+    text = F.col("_strip")
+    glued = F.concat("_above", F.lit(" "), text)
+    opens = text.rlike(NUMBERED) & ~text.rlike(LEADER)
+    alone, both = text.rlike(TOC_ENTRY), F.coalesce(glued.rlike(TOC_ENTRY), text.rlike(TOC_ENTRY))
+    # What a line leaves open after a closed and after an open one.
+    rows = rows.withColumns({"_after_closed": F.col("_toc") & opens & ~alone, "_after_open": F.col("_toc") & opens & ~both})
+    turns = (F.col("_after_closed") & ~F.col("_after_open")).cast("long")
+    rows = rows.withColumn("_turns", F.sum(turns).over(so_far))
+    same = F.when(
+        F.col("_after_closed") == F.col("_after_open"),
+        F.struct(F.col("_after_closed").cast("long").alias("open"), F.col("_turns").alias("turns")),
+    )
+    since = F.last(same, ignorenulls=True).over(before)
+    rows = rows.withColumn("_since", since)
+    turned = F.col("_turns") - turns - F.col("_since.turns")
+    found_open = F.coalesce((F.col("_since.open") + turned) % 2 == 1, F.lit(False))
+    whole = F.when(found_open, glued).otherwise(text)
+    entry = F.when(F.col("_toc") & whole.rlike(TOC_ENTRY), whole)
+    return rows.withColumn("_entry", entry).drop("_above", "_after_closed", "_after_open", "_turns", "_since")
+
+
+def mark_body(rows: DataFrame, page_lines: DataFrame, ratio: float = 0.5) -> DataFrame:
+    """``rows`` of :func:`by_document` with ``_body``, mended ``line`` and trimmed ``_text``: what :func:`clean_lines` keeps of ``page_lines``.
+
+    Furniture is told within a document by a line's pages counted in a window; the pages of a document and its
+    running header come from a row for each page.
+    """
+    by_page = Window.partitionBy("doc_id", "_strip").orderBy("page_no")
+    rows = rows.withColumn("_nth", F.dense_rank().over(by_page))
+    rows = rows.withColumn("_seen", F.max("_nth").over(Window.partitionBy("doc_id", "_strip")))
+    told = page_counts(page_lines).join(running_header(page_lines, ratio), "doc_id", "left")
+    needed = F.greatest(F.lit(2), F.floor(F.col("pages") * F.lit(float(ratio))))
     right_trimmed = F.rtrim(F.col("line"), F.lit(WHITESPACE))
     glued = F.regexp_replace(fix_text("line"), "^(\\d+)\\.\\s+(?=\\d)", "$1.")
+    body = (
+        ~F.col("_strip").rlike("^\\d{1,3}\\z")
+        & (F.col("pages").isNull() | (F.col("_seen") < needed))
+        & (F.col("header").isNull() | ~F.startswith("_strip", "header"))
+    )
     return (
-        rows.join(drop, ["doc_id", "_strip"], "left_anti")
-        .join(headers, "doc_id", "left")
-        .where(F.col("header").isNull() | ~F.startswith("_strip", "header"))
-        .select(
-            "doc_id", "page_no", "line_no", F.when(is_code("_strip", True), right_trimmed).otherwise(glued).alias("line")
-        )
+        rows.join(told, "doc_id", "left")
+        .withColumns({"_body": body, "_code": is_code("_strip", True)})
+        .withColumn("line", F.when(F.col("_code"), right_trimmed).otherwise(glued))
+        # Mended lines are trimmed already, and what is left of code is its trimmed line.
+        .withColumn("_text", F.when(F.col("_code"), F.col("_strip")).otherwise(F.col("line")))
+        .drop("_nth", "_seen", "pages", "header", "_code")
     )
 
 
+def clean_lines(page_lines: DataFrame, ratio: float = 0.5) -> DataFrame:
+    """Body lines: furniture, running headers, bare page numbers and blank lines are dropped.
+
+    Code keeps its spacing; other lines are mended and split numbers such as ``2. 1`` glued.
+    """
+    rows = mark_body(by_document(page_lines), page_lines, ratio)
+    return rows.where("_body").select("doc_id", "page_no", "line_no", "line")
+
+
 # ---------------------------------------------------------------- Markdown
 
 
@@ -244,21 +315,25 @@ def markdown_blocks(page_lines: DataFrame, ratio: float = 0.5) -> DataFrame:
     Lines before and on contents pages are dropped. A document is the unit of order, so windows
     run per document; block numbers are gaps-and-islands sums.
     """
-    toc = parse_toc(page_lines)
     start = toc_pages(page_lines).groupBy("doc_id").agg(F.min("page_no").alias("_start"))
+    marked = mark_body(mark_contents(by_document(page_lines)), page_lines, ratio).join(start, "doc_id", "left")
+    listed = F.col("_entry").isNotNull()
+    body = F.col("_body") & ~F.col("_toc") & (F.col("_start").isNull() | (F.col("page_no") >= F.col("_start")))
+    # Entries meet the lines of their number; the last entry of a number wins.
+    title = F.when(listed, fix_text(F.regexp_extract("_entry", TOC_ENTRY, 2)))
+    at = F.when(listed, F.struct("page_no", "line_no"))
+    number = F.when(listed, F.regexp_extract("_entry", TOC_ENTRY, 1)).otherwise(F.regexp_extract("_text", NUMBERED, 1))
     lines = (
-        clean_lines(page_lines, ratio)
-        .join(toc_pages(page_lines), ["doc_id", "page_no"], "left_anti")
-        .join(start, "doc_id", "left")
-        .where(F.col("_start").isNull() | (F.col("page_no") >= F.col("_start")))
-        .withColumn("_text", strip("line"))
-        .withColumn("_number", F.regexp_extract("_text", NUMBERED, 1))
-        .join(toc.withColumnRenamed("number", "_number").withColumnRenamed("title", "_title"), ["doc_id", "_number"], "left")
+        marked.where(listed | body)
+        .select("doc_id", "page_no", "line_no", "line", "_text", number.alias("_number"), title.alias("_titled"), at.alias("_at"))
+        .withColumn("_title", F.max_by("_titled", "_at").over(Window.partitionBy("doc_id", "_number")))
+        .where(F.col("_at").isNull())
+        .drop("_titled", "_at")
     )
     rest = F.lower(strip(F.regexp_extract("_text", NUMBERED, 2)))
-    heading = F.coalesce(
-        (F.col("_title") != "") & F.startswith(rest, F.lower(F.left("_title", F.lit(TITLE_PREFIX)))), F.lit(False)
-    )
+    heading = F.when(
+        F.coalesce(F.col("_title") != "", F.lit(False)), F.startswith(rest, F.lower(F.left("_title", F.lit(TITLE_PREFIX))))
+    ).otherwise(F.lit(False))
     step = F.col("_text").rlike(STEP) & is_prose(F.regexp_extract("_text", STEP, 2), True)
     fixed = (
         F.when(heading, "heading")

@@ -44,7 +44,9 @@ def page_lines(spark: SparkSession, d: str) -> DataFrame:
         )
     )
     body = lines.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*")
-    pages = lines.groupBy("doc_id", "source", "lang").agg(F.max(page).alias("n")).select(
+    count = (1 + F.floor((F.size(F.split("text", "\n")) - 1) / 6)).cast("int")  # without a text there is no line
+    sizes = docs.where(F.col("text").isNotNull()).select("doc_id", "source", "lang", count.alias("n"))
+    pages = sizes.groupBy("doc_id", "source", "lang").agg(F.max("n").alias("n")).select(
         "doc_id", "source", "lang", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("page_no")
     )
     header = F.concat(F.lit("Manual of collection "), "source", F.lit(" "), "lang", F.lit(" "), "page_no")
@@ -167,12 +169,12 @@ def clean_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def markdown_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return P.markdown_blocks(materialise(page_lines(spark, d)))
+    return P.markdown_blocks(page_lines(spark, d))  # lines kept on disk would take several times the documents' room
 
 
 def assemble_markdown(spark: SparkSession, d: str) -> DataFrame:
     titles = load(spark, d, "documents").select("doc_id", F.concat(F.lit("Manual "), "doc_id").alias("title"))
-    return P.assemble_markdown(materialise(page_lines(spark, d)), titles)
+    return P.assemble_markdown(page_lines(spark, d), titles)
 
 
 QUERIES = {
