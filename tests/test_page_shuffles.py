@@ -97,3 +97,15 @@ def test_mended_text_keeps_blanks_and_mends_pairs(spark):
     wanted = ["Table of T erms To go", "a b", "a b", "T o", "T he x", "no pairs here", "The x", ""]
     lines = spark.createDataFrame(list(enumerate(rows)), "i int, t string")
     assert [r[0] for r in lines.orderBy("i").select(P.fix_text("t")).collect()] == wanted
+
+
+def test_documents_are_put_together_where_their_lines_are(spark):
+    """Blocks are joined to repeated titles without another shuffle of the text, and documents without lines keep their title."""
+    df = drawn(spark)
+    titles = spark.createDataFrame([(1, "one"), (1, "one again"), (None, "null"), (1000, "no lines")], "doc_id long, title string")
+    made = P.assemble_markdown(df, titles)
+    carried = {column: len(shuffles_of(made, column)) for column in ("line", "block", "_body", "_piece")}
+    assert carried == {"line": 1, "block": 0, "_body": 0, "_piece": 0}
+    got = {r.markdown.split("\n")[0]: (r.doc_id, r.markdown.split("\n", 1)[1]) for r in made.collect()}
+    assert got["# no lines"] == (1000, "") and got["# null"] == (None, "")
+    assert got["# one"] == got["# one again"] and len(got["# one"][1]) > 5 and len(got) == 4
